@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, rules, simhash
+from . import chat, decontaminate, mixing, rules, simhash
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op6_mixing": op6_mixing, "op8_rules": op8_rules, "op9_chat": op9_chat}
+    return {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op6_mixing": op6_mixing, "op8_rules": op8_rules, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
