@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, rules, simhash
+from . import chat, decontaminate, mixing, rules, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op6_mixing": op6_mixing, "op8_rules": op8_rules, "op9_chat": op9_chat}
+    return {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op8_rules": op8_rules, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
