@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, rules, simhash, toxicity
+from . import chat, decontaminate, mixing, pii, rules, simhash, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op8_rules": op8_rules, "op9_chat": op9_chat}
+    return {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
