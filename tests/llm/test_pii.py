@@ -58,7 +58,7 @@ def docs(spark):
 
 def test_find(spark):
     df = docs(spark)
-    weights = pii.train(df.where("doc_id != 900"))
+    weights = pii.train(df.where("doc_id < 300 OR doc_id IN (903, 904)"))
     got = {r.doc_id: r for r in pii.find(df, weights).collect()}
     assert len(got) == 306 and pii.find(df).count() == 307
     for r in df.where("doc_id < 905").collect():
@@ -75,7 +75,7 @@ def test_find(spark):
 
 def test_redact(spark):
     df = docs(spark)
-    out = {r.doc_id: r for r in pii.redact(df, pii.train(df.where("doc_id != 900"))).where("doc_id < 905").collect()}
+    out = {r.doc_id: r for r in pii.redact(df, pii.train(df.where("doc_id < 300 OR doc_id IN (903, 904)"))).where("doc_id < 905").collect()}
     assert out[900].text == "ring <PHONE> today. In words later on we say again: <PHONE> please"
     assert out[901].text is None and out[903].text == "plain words only, 2 of 3" and out[903].n_chars == len(out[903].text)
     assert pii.redact(df.where("false")).count() == 0 and pii.find(df.where("false")).count() == 0
