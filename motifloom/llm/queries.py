@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, pii, rules, simhash, toxicity
+from . import chat, decontaminate, mixing, pii, quality, rules, simhash, tokens, toxicity
 from .common import table
 
 
+#: A rank file of byte pieces.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,8 +44,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat}
+    return {"op1_tokens": op1_tokens, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
