@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, pii, quality, rules, simhash, tokens, toxicity
+from . import chat, decontaminate, mixing, passages, pii, quality, rules, simhash, tokens, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_tokens": op1_tokens, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_quality": op10_quality}
+    return {"op1_tokens": op1_tokens, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_passages": op4_passages, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
