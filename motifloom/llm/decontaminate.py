@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, shingle_hashes, text_bytes, words
+from .common import chunks, keep_rows, shingle_hashes, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -209,3 +209,25 @@ def _search(ids: list, texts: list, threshold: float, radius: int):
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
     return step
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of docs in which no item is found, with all their columns, after one scan for each pass of the benchmark."""
+    for ids, texts in _passes(benchmark, pass_bytes):
+        docs = keep_rows(docs, _clean(ids, texts, threshold, radius))
+    return docs
+
+
+def _clean(ids: list, texts: list, threshold: float, radius: int):
+    made: list[Items] = []
+
+    def judge(part: pa.RecordBatch) -> np.ndarray:
+        if not made:
+            made.append(Items(ids, texts, radius))
+        raw, offsets = text_bytes(part.column("text"))
+        _, hashes, base = words(normalise(raw), offsets, _TABLE)
+        out = np.ones(part.num_rows, bool)
+        out[[t for t, *_ in made[0].search(hashes, base, threshold)]] = False
+        return out
+
+    return judge

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks, cut
@@ -209,3 +210,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id, with all its columns.
+
+    Of repeated rows with that doc_id one stays. Rows with a null doc_id can't
+    be named as copies and stay.
+    """
+    firsts = near_duplicates(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_least_id")).distinct()
+    kept = docs.join(firsts, docs.doc_id.cast("long") == firsts._least_id)
+    kept = kept.withColumn("_row_no", F.row_number().over(W.partitionBy("_least_id").orderBy(F.length("text")))).where("_row_no = 1").drop("_row_no", "_least_id")
+    return kept.unionByName(docs.where("doc_id IS NULL"))

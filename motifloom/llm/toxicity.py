@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, keep_rows
 
 LAMBDA = 0.6
 #: Labelled rows of each class that training reads at most.
@@ -264,29 +264,35 @@ def train(docs: DataFrame, labels: DataFrame, **limits: int) -> Model | None:
 _kept: dict = {}
 
 
+def _margins(model: Model, texts: list[str | None]) -> np.ndarray:
+    """The highest margin of a word of each text; scores of words are kept from call to call."""
+    if _kept.get("model") != (model.landmarks, model.bias):
+        _kept.clear()
+        _kept.update(model=(model.landmarks, model.bias), scores={})
+    bags, known = [raw_words(t) for t in texts], _kept["scores"]
+    if len(known) > KEEP:
+        known.clear()
+    fresh = [w for w in set().union(*bags) if w not in known]
+    parts = [forms(w) for w in fresh]
+    bare = list(set().union(*parts)) if parts else []
+    value = dict(zip(bare, model.margins(bare).tolist(), strict=True))
+    for w, ps in zip(fresh, parts, strict=True):
+        known[w] = max((value[p] for p in ps), default=model.bias)
+    return np.array([max(map(known.__getitem__, b), default=model.bias) for b in bags])
+
+
+def _probabilities(model: Model | None, part: pa.RecordBatch) -> np.ndarray:
+    if model is None:
+        return np.zeros(part.num_rows)
+    return np.round(model.probability(_margins(model, part.column("text").to_pylist())), 9)
+
+
 def _score(model: Model | None):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model is not None and _kept.get("model") != (model.landmarks, model.bias):
-            _kept.clear()
-            _kept.update(model=(model.landmarks, model.bias), scores={})
         for batch in batches:
             for part in chunks(batch):
-                if model is None:
-                    margins = np.full(part.num_rows, -30.0)
-                else:
-                    bags = [raw_words(t) for t in part.column("text").to_pylist()]
-                    known = _kept["scores"]
-                    if len(known) > KEEP:
-                        known.clear()
-                    fresh = [w for w in set().union(*bags) if w not in known]
-                    parts = [forms(w) for w in fresh]
-                    bare = list(set().union(*parts)) if parts else []
-                    value = dict(zip(bare, model.margins(bare).tolist(), strict=True))
-                    for w, ps in zip(fresh, parts, strict=True):
-                        known[w] = max((value[p] for p in ps), default=model.bias)
-                    margins = np.array([max(map(known.__getitem__, b), default=model.bias) for b in bags])
-                p = np.zeros(len(margins)) if model is None else model.probability(margins)
-                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(np.round(p, 9), pa.float64()), pa.array((np.round(p, 9) >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                p = _probabilities(model, part)
+                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return step
 
@@ -304,3 +310,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns and no shuffle; empty and null texts stay."""
+    model = train(docs, labels)
+    return keep_rows(docs, lambda part: _probabilities(model, part) < 0.5)
