@@ -8,23 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _expected(r: Sequence[float], length: Column) -> Column:
-    return r[1] * (1 - F.exp(-r[2] * length)) if len(r) > 2 else F.lit(0.0)
-
-
 def raw_to_norm(function: str, r: Sequence[float], score: Column, length: Column | None = None, rave: Column | None = None) -> Column:
     """LINEAR: r1 + r2 * score. GLE_ZSCORE (also called GRIBSKOV) relates the
-    score to what its length leads one to expect; GLE_ZSCAVE also takes off the
-    average that the sequence's composition gives."""
+    score to the one that a sequence of its length is expected to have; GLE_ZSCAVE
+    first takes off the average score that the sequence's composition gives."""
     function = {"GRIBSKOV": "GLE_ZSCORE"}.get(function, function)
     if function == "LINEAR":
         return r[0] + r[1] * score
     curve = r[0] * (1 - F.exp(r[1] * length - r[2]))
     if function == "GLE_ZSCORE":
-        return (score - curve) / (r[3] * curve + r[4]) if len(r) > 4 else score / curve - r[3]
+        return (score / curve - r[3]) / r[4]
     if function == "GLE_ZSCAVE":
-        above = score - rave
-        return (above - curve) / (r[3] * curve + r[4]) if len(r) > 4 else above / curve - r[3]
+        return ((score - rave) / curve - r[3]) / r[4]
     raise ValueError(function)
 
 
@@ -35,7 +30,7 @@ def norm_to_raw(function: str, r: Sequence[float], norm: Column, length: Column
         raw = (norm - r[0]) / r[1]
     else:
         curve = r[0] * (1 - F.exp(r[1] * length - r[2]))
-        raw = norm * (r[3] * curve + r[4]) + curve if len(r) > 4 else (norm + r[3]) * curve
+        raw = curve * (r[4] * norm + r[3])
         raw = raw + rave if function == "GLE_ZSCAVE" else raw
     return (F.ceil(raw) if rounding == "ceil" else F.floor(raw + 0.5)).cast("int")
 

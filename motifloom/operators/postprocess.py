@@ -74,11 +74,12 @@ def evaluated_by(hits: DataFrame, target: str, effector: str) -> DataFrame:
 
 def competes_hit_with(hits: DataFrame, first: str, second: str, slack: int = 0) -> DataFrame:
     """Of each overlapping pair the hit of lower normalised score falls by one, once for each such pair; ties stay."""
-    met = overlaps(hits.where(_is(first)), hits.where(_is(second)), slack)
-    key = lambda s: F.struct(f"{s}.motif_ac", f"{s}.begin", f"{s}.end", f"{s}.norm")
-    lost = met.select("seq_id", F.when(F.col("a.norm") < F.col("b.norm"), key("a")).when(F.col("b.norm") < F.col("a.norm"), key("b")).alias("k")).where("k IS NOT NULL")
-    lost = lost.groupBy("seq_id", "k.motif_ac", "k.begin", "k.end", "k.norm").agg(F.count("*").cast("int").alias("_lost"))
-    return hits.join(lost, ["seq_id", "motif_ac", "begin", "end", "norm"], "left").withColumn("level", F.col("level") - F.coalesce("_lost", F.lit(0))).drop("_lost").select(*hits.columns)
+    own = ["seq_id", "motif_ac", "begin", "end", "norm"]
+    a, b = hits.where(_is(first)).select(*own), hits.where(_is(second)).select(*own)
+    # a hit is counted once for each rival, so the rivals keep their repeats and the hits don't
+    lost = overlaps(a.distinct(), b, slack).where("a.norm < b.norm").select("a.*").unionByName(overlaps(a, b.distinct(), slack).where("b.norm < a.norm").select("b.*"))
+    lost = lost.groupBy(*own).agg(F.count("*").cast("int").alias("_lost"))
+    return hits.join(lost, own, "left").withColumn("level", F.col("level") - F.coalesce("_lost", F.lit(0))).select(*hits.columns)
 
 
 def competes_seq_with(hits: DataFrame, first: str, second: str) -> DataFrame:

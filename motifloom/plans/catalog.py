@@ -1,11 +1,472 @@
-"""Queries by name, with the SQL that gives the same rows."""
+"""Queries by name, with the SQL that gives the same rows.
+
+The tables are no sequence libraries, so operators are bound to what resembles
+one: letters of a document are a sequence, the lines of an order are hits of
+motifs, prices are scores. Every query runs over whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import letters, normalize, patterns
+from ..operators import calibrate, kernels, postprocess, search
+
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _QUERIES.items() if s}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", letters.clean(F.col("text")).alias("sequence"))
+
+
+#: Letters of text as bases, by their place in the alphabet.
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BASES = "ACGTACGTACGTACGTACGTACGTAC"
+_SEQ = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+_DNA = f"translate({_SEQ}, '{_AZ}', '{_BASES}')"
+
+
+def _dna(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.translate("sequence", _AZ, _BASES).alias("dna"))
+
+
+def profile(length: int = 16) -> kernels.Profile:
+    """A profile by rule: position i (from 0) and letter a (from 1) score (7 i + 3 a) mod 11 - 6; other letters -6."""
+    i, a = np.arange(length)[:, None], np.arange(27)[None]
+    match = (7 * i + 3 * a) % 11 - 6
+    match[:, 0] = -6
+    return kernels.linear(match, _AZ, open_gap=-9, extend=-2, name="RULE16")
+
+
+H_CUTOFF, CUTOFF = 320, 42
+
+
+# letters
+
+
+@query(f"SELECT doc_id, {_SEQ} AS sequence, length({_SEQ}) AS n FROM documents")
+def clean(spark, sf_dir):
+    return _docs(spark, sf_dir).withColumn("n", F.length("sequence").cast("long"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_DNA} AS s FROM documents)
+SELECT doc_id, '+' AS strand, md5(s) AS digest FROM d
+UNION ALL SELECT doc_id, '-', md5(reverse(translate(s, 'ACGT', 'TGCA'))) FROM d""")
+def strands(spark, sf_dir):
+    both = _dna(spark, sf_dir).select("doc_id", F.inline(letters.strands(F.col("dna"))))
+    return both.select("doc_id", "strand", F.md5(F.col("sequence").cast("binary")).alias("digest"))
+
+
+@query(r"""
+SELECT page_id, regexp_extract(url, '^[>@]?(\S*)', 1) AS id, regexp_extract(url, '([^/]*)$', 1) AS short_id,
+  regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages""")
+def header_parse(spark, sf_dir):
+    u = F.col("url")
+    return _t(spark, sf_dir, "pages").select("page_id", letters.header_id(u).alias("id"), F.substring_index(u, "/", -1).alias("short_id"), F.regexp_extract(u, "^https?://([^/:?#]+)", 1).alias("host"))
+
+
+_CODON_SQL = "substr('" + letters.CODONS + "', 16 * (strpos('ACGT', substr(s, i, 1)) - 1) + 4 * (strpos('ACGT', substr(s, i + 1, 1)) - 1) + strpos('ACGT', substr(s, i + 2, 1)), 1)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_DNA} AS s FROM documents),
+sides AS (SELECT doc_id, 0 AS flip, s FROM d UNION ALL SELECT doc_id, 3, reverse(translate(s, 'ACGT', 'TGCA')) FROM d),
+places AS (SELECT doc_id, flip, f, s, unnest(range(f, length(s) - 1, 3)) AS i FROM sides, (SELECT unnest([1, 2, 3]) AS f)),
+made AS (SELECT doc_id, flip + f AS frame, string_agg({_CODON_SQL}, '' ORDER BY i) AS protein FROM places GROUP BY ALL)
+SELECT b.doc_id, b.flip + f AS frame, md5(coalesce(m.protein, '')) AS digest
+FROM sides b CROSS JOIN (SELECT unnest([1, 2, 3]) AS f) LEFT JOIN made m ON m.doc_id = b.doc_id AND m.frame = b.flip + f""")
+def translate_six_frames(spark, sf_dir):
+    both = _dna(spark, sf_dir).select("doc_id", F.posexplode(F.array(F.col("dna"), letters.reverse_complement(F.col("dna")))).alias("strand", "s"))
+    frames = both.select("doc_id", "strand", F.posexplode(letters.translate_frames(F.col("s"))).alias("f", "protein"))
+    return frames.select("doc_id", (3 * F.col("strand") + F.col("f") + 1).alias("frame"), F.md5(F.col("protein").cast("binary")).alias("digest"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_DNA} AS s FROM documents),
+made AS (SELECT doc_id, string_agg({_CODON_SQL}, '' ORDER BY i) AS protein FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM d) GROUP BY doc_id)
+SELECT d.doc_id, greatest(length(s) - 2, 0) AS n, md5(coalesce(protein, '')) AS digest FROM d LEFT JOIN made USING (doc_id)""")
+def translate_interleaved(spark, sf_dir):
+    p = _dna(spark, sf_dir).select("doc_id", letters.translate_frames(F.col("dna"), 1, (1,))[0].alias("p"))
+    return p.select("doc_id", F.length("p").cast("long").alias("n"), F.md5(F.col("p").cast("binary")).alias("digest"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_SEQ} AS s FROM documents)
+SELECT doc_id, a AS letter, length(s) - length(replace(s, a, '')) AS n FROM d, (SELECT unnest(string_split('{_AZ}', '')) AS a)""")
+def composition(spark, sf_dir):
+    n = F.length("sequence") - F.length(F.replace(F.col("sequence"), F.col("letter"), F.lit("")))
+    return _docs(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, _AZ))).alias("letter")).select("doc_id", "letter", n.cast("long").alias("n"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_SEQ} AS s FROM documents),
+sums AS (SELECT a, sum((7 * i + 3 * a) % 11 - 6) AS t FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(1, 27)) AS a) GROUP BY a),
+parts AS (SELECT doc_id, length(s) AS n, (n - length(replace(s, chr((64 + a)::INTEGER), ''))) * t AS part FROM d, sums)
+SELECT doc_id, round(coalesce(sum(part)::DOUBLE / nullif(max(n), 0), 0), 6) AS rave FROM parts GROUP BY doc_id""")
+def rave(spark, sf_dir):
+    sums = profile().match.sum(axis=0)
+    return _docs(spark, sf_dir).select("doc_id", F.round(normalize.rave(F.col("sequence"), {c: int(sums[i + 1]) for i, c in enumerate(_AZ)}), 6).alias("rave"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z-]', '', 'g'), '^-+|-+$', '', 'g') AS a FROM documents)
+SELECT doc_id, md5(list_aggregate(list_transform(regexp_extract_all(a, '([A-Z]+|[a-z]+|-+)'),
+  lambda r: length(r)::VARCHAR || CASE WHEN r[1] = '-' THEN 'D' WHEN r[1] BETWEEN 'a' AND 'z' THEN 'I' ELSE 'M' END), 'string_agg', '')) AS digest FROM d WHERE a <> ''""")
+def cigar(spark, sf_dir):
+    a = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z-]", "").alias("a"))
+    a = a.where(F.regexp_replace("a", "^-+|-+$", "") != "")
+    return a.select("doc_id", F.md5(letters.cigar(F.col("a")).cast("binary")).alias("digest"))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_SEQ} AS s FROM documents)
+SELECT doc_id, greatest(ceil(length(s) / 60.0)::BIGINT, 1) AS n_lines, md5(rtrim(regexp_replace(s, '(.{{60}})', '\1' || chr(10), 'g'), chr(10))) AS digest FROM d""")
+def wrap(spark, sf_dir):
+    w = _docs(spark, sf_dir).select("doc_id", letters.wrap(F.col("sequence")).alias("w"))
+    return w.select("doc_id", F.size(F.split("w", "\n")).cast("long").alias("n_lines"), F.md5(F.col("w").cast("binary")).alias("digest"))
+
+
+# patterns
+
+PATTERN = "T-[HE]-x-[RN]"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all({_SEQ}, 'TH[EA]')) AS n FROM documents")
+def regex_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", patterns.regex_count(F.col("sequence"), "TH[EA]").cast("long").alias("n"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_SEQ} AS s FROM documents),
+places AS (SELECT doc_id, s, unnest(range(1, length(s) - 2)) AS i FROM d),
+hits AS (SELECT doc_id, i, substr(s, i, 4) AS matched FROM places WHERE regexp_full_match(substr(s, i, 4), '[TX][HEZX].[RNBX]'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS match_no, i AS "begin", i + 3 AS "end", matched FROM hits""")
+def pattern_scan(spark, sf_dir):
+    hits = patterns.scan(_docs(spark, sf_dir), patterns.to_regex(PATTERN))
+    return hits.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("match_no", "begin", "end")), "matched")
+
+
+def _found(spark, sf_dir, pattern, ac):
+    hits = patterns.scan(_docs(spark, sf_dir), pattern)
+    return hits.select(F.col("doc_id").alias("seq_id"), F.lit(ac).alias("motif_ac"), F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
+
+
+_TWO = f"""
+WITH d AS (SELECT doc_id AS seq_id, {_SEQ} AS s FROM documents),
+places AS (SELECT seq_id, s, unnest(range(1, length(s) + 1)) AS i FROM d),
+a AS (SELECT seq_id, i AS "begin", i + 5 AS "end" FROM places WHERE regexp_full_match(substr(s, i, 6), 'TH[A-Z]{{3}}E')),
+b AS (SELECT seq_id, i AS "begin", i + 3 AS "end" FROM places WHERE regexp_full_match(substr(s, i, 4), 'E[A-Z]{{2}}H'))"""
+
+
+@query(_TWO + """
+SELECT a.seq_id, a."begin" AS a_begin, b."begin" AS b_begin FROM a JOIN b ON a.seq_id = b.seq_id AND a."begin" + 1 <= b."end" AND a."end" - 1 >= b."begin" """)
+def overlap(spark, sf_dir):
+    met = postprocess.overlaps(_found(spark, sf_dir, "TH[A-Z]{3}E", "A"), _found(spark, sf_dir, "E[A-Z]{2}H", "B"), slack=1)
+    return met.select("seq_id", F.col("a.begin").alias("a_begin"), F.col("b.begin").alias("b_begin"))
+
+
+@query(_TWO + """
+SELECT seq_id, "begin", "end", EXISTS (SELECT 1 FROM a WHERE a.seq_id = b.seq_id AND a."begin" <= b."begin" AND a."end" >= b."end") AS inside FROM b""")
+def containment(spark, sf_dir):
+    inner = postprocess.contained(_found(spark, sf_dir, "E[A-Z]{2}H", "B"), _found(spark, sf_dir, "TH[A-Z]{3}E", "A"))
+    return inner.select("seq_id", "begin", "end", "inside")
+
+
+# profiles
+
+_H_SQL = f"""
+WITH d AS (SELECT doc_id, {_SEQ} AS s FROM documents),
+cells AS (SELECT doc_id, j, i, (7 * i + 3 * (ascii(substr(s, (j + 1)::INTEGER, 1)) - 64)) % 11 - 6 AS m
+  FROM (SELECT doc_id, s, unnest(range(length(s))) AS j FROM d), (SELECT unnest(range(16)) AS i)),
+run AS (SELECT doc_id, i, j, sum(m) OVER w AS p FROM cells WINDOW w AS (PARTITION BY doc_id, j - i ORDER BY j)),
+low AS (SELECT doc_id, i, j, p, min(CASE WHEN j > 0 THEN p END) OVER (PARTITION BY doc_id, j - i ORDER BY j) AS r FROM run),
+best AS (SELECT doc_id, i, greatest(0, max(CASE WHEN j = 0 THEN p ELSE p - least(0, r) END)) AS v FROM low GROUP BY doc_id, i)
+SELECT d.doc_id, coalesce(sum(v), 0)::INTEGER AS h_score FROM d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query(_H_SQL)
+def h_score(spark, sf_dir):
+    return search.with_h_score(_docs(spark, sf_dir), profile()).select("doc_id", "h_score")
+
+
+@query()
+def h_filter(spark, sf_dir):
+    scored = search.with_h_score(_docs(spark, sf_dir), profile()).select("doc_id", "h_score")
+    return scored.where(F.col("h_score") >= H_CUTOFF)
+
+
+def _scored(spark, sf_dir):
+    df = search.with_h_score(_docs(spark, sf_dir), profile())
+    return search.with_score(df.where(F.col("h_score") >= H_CUTOFF), profile())
+
+
+@query()
+def score_exact(spark, sf_dir):
+    return search.with_score(_docs(spark, sf_dir), profile()).select("doc_id", "score")
+
+
+@query()
+def search_cascade(spark, sf_dir):
+    """Prefilter, score, normalised score and level of the documents that reach the cutoff."""
+    norm = F.round(normalize.raw_to_norm("LINEAR", [1.5, 0.02], F.col("score")), 4)
+    kept = _scored(spark, sf_dir).where(F.col("score") >= CUTOFF)
+    return kept.select("doc_id", "h_score", "score", norm.alias("norm"), normalize.level(F.col("score"), [(-1, 30), (0, CUTOFF), (1, 60)]).alias("level"))
+
+
+@query()
+def search_align(spark, sf_dir):
+    """All matches of two profiles, forward and reversed, in every document."""
+    p = profile()
+    motifs = [search.Motif(p, 52, H_CUTOFF, "RULE16"), search.Motif(p.reverse(), 52, H_CUTOFF, "RULE16R")]
+    return search.search(_docs(spark, sf_dir), motifs, "doc_id", limit=16)
+
+
+@query()
+def stage_counts(spark, sf_dir):
+    df = search.with_score(search.with_h_score(_docs(spark, sf_dir), profile()), profile())
+    return search.stage_counts(df, "h_score", H_CUTOFF, "score", CUTOFF)
+
+
+@query()
+def survivors(spark, sf_dir):
+    hits = h_filter(spark, sf_dir)
+    return search.survivors(_t(spark, sf_dir, "documents"), hits, "doc_id").select("doc_id", "source", "lang")
+
+
+# normalisation and levels
+
+_R = (240.0, -0.02, 0.3, 1.2, 0.35)
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10)::INTEGER AS raw, l_partkey AS n, l_quantity AS ave FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(1.5::DOUBLE + 0.02::DOUBLE * raw, 4) AS linear,
+  round((raw / (240.0 * (1 - exp(-0.02 * n - 0.3))) - 1.2) / 0.35, 4) AS zscore,
+  round(((raw - ave) / (240.0 * (1 - exp(-0.02 * n - 0.3))) - 1.2) / 0.35, 4) AS zscave FROM s""".replace("240.0", "240.0::DOUBLE"))
+def raw_to_norm(spark, sf_dir):
+    s = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(F.col("l_extendedprice") / 10).cast("int").alias("raw"), F.col("l_partkey").alias("n"), F.col("l_quantity").alias("ave"))
+    f = normalize.raw_to_norm
+    raw, n, ave = F.col("raw"), F.col("n"), F.col("ave")
+    return s.select("l_orderkey", "l_linenumber", F.round(f("LINEAR", [1.5, 0.02], raw), 4).alias("linear"), F.round(f("GRIBSKOV", _R, raw, n), 4).alias("zscore"), F.round(f("GLE_ZSCAVE", _R, raw, n, ave), 4).alias("zscave"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, floor((l_quantity - 1.5) / 0.02 + 0.5)::INTEGER AS linear,
+  ceil(240.0::DOUBLE * (1 - exp(-0.02 * l_partkey - 0.3)) * (0.35 * l_quantity + 1.2))::INTEGER AS zscore FROM lineitem""")
+def norm_to_raw(spark, sf_dir):
+    q, n = F.col("l_quantity"), F.col("l_partkey")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", normalize.norm_to_raw("LINEAR", [1.5, 0.02], q).alias("linear"), normalize.norm_to_raw("GLE_ZSCORE", _R, q, n, rounding="ceil").alias("zscore"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 1 WHEN o_totalprice >= 150000 THEN 0 WHEN o_totalprice >= 50000 THEN -1 ELSE -2 END AS level,
+  CASE WHEN o_totalprice >= 50000 THEN -1 WHEN o_totalprice >= 150000 THEN 0 WHEN o_totalprice >= 300000 THEN 1 ELSE 0 END AS level_by_file,
+  CASE WHEN o_totalprice >= 300000 THEN '!!' WHEN o_totalprice >= 150000 THEN '!' WHEN o_totalprice >= 50000 THEN '?' ELSE '#' END AS level_tag FROM orders""")
+def levels(spark, sf_dir):
+    s, cuts = F.col("o_totalprice"), [(-1, 50000), (0, 150000), (1, 300000)]
+    return _t(spark, sf_dir, "orders").select("o_orderkey", normalize.level(s, cuts).alias("level"), normalize.level(s, cuts, "file_order").alias("level_by_file"), normalize.level_tag(s, [(50000, "?"), (150000, "!"), (300000, "!!")]).alias("level_tag"))
+
+
+# rules on hits: the lines of an order as hits in a sequence
+
+_HITS = """
+WITH hits AS (SELECT l_orderkey AS seq_id, 'M' || (l_suppkey % 4)::VARCHAR AS motif_ac, l_partkey % 100 AS "begin", l_partkey % 100 + l_quantity::BIGINT AS "end",
+  round(l_extendedprice / 1000, 3) AS norm, ((l_partkey + l_linenumber) % 4 - 2)::INTEGER AS level, '#' AS level_tag FROM lineitem)"""
+
+
+def _hits(spark, sf_dir):
+    begin = F.col("l_partkey") % 100
+    return _t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("seq_id"), F.concat(F.lit("M"), (F.col("l_suppkey") % 4).cast("string")).alias("motif_ac"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long")).alias("end"),
+        F.round(F.col("l_extendedprice") / 1000, 3).alias("norm"), ((F.col("l_partkey") + F.col("l_linenumber")) % 4 - 2).cast("int").alias("level"), F.lit("#").alias("level_tag"),
+    )
+
+
+_BY = "OVER (PARTITION BY seq_id)"
+_REST = 'seq_id, motif_ac, "begin", "end", norm'
+
+
+@query(_HITS + f"""
+, t AS (SELECT *, max(CASE WHEN motif_ac = 'M1' THEN level END) {_BY} >= 0 AND motif_ac = 'M0' AND level < 0 AS up FROM hits)
+SELECT {_REST}, level + CASE WHEN up THEN 1 ELSE 0 END AS level, CASE WHEN up THEN 'p' ELSE level_tag END AS level_tag FROM t""")
+def promoted_by(spark, sf_dir):
+    return postprocess.promoted_by(_hits(spark, sf_dir), "M0", "M1")
+
+
+@query(_HITS + f"""
+SELECT {_REST}, CASE WHEN motif_ac = 'M2' AND level >= 0 AND max(CASE WHEN motif_ac = 'M3' THEN level END) {_BY} >= 0 THEN -1 ELSE level END AS level, level_tag FROM hits""")
+def demoted_by(spark, sf_dir):
+    return postprocess.demoted_by(_hits(spark, sf_dir), "M2", "M3")
+
+
+@query(_HITS + f"""
+SELECT {_REST}, level, CASE WHEN motif_ac = 'M0' THEN CASE WHEN EXISTS (SELECT 1 FROM hits e WHERE e.seq_id = h.seq_id AND e.motif_ac = 'M1' AND e.level >= 0 AND e."begin" <= h."begin" AND e."end" >= h."end")
+  THEN '(0)' ELSE '(-1)' END ELSE level_tag END AS level_tag FROM hits h""")
+def evaluated_by(spark, sf_dir):
+    return postprocess.evaluated_by(_hits(spark, sf_dir), "M0", "M1")
+
+
+@query(_HITS + f"""
+, n AS (SELECT *, row_number() OVER () AS id FROM hits),
+lost AS (SELECT CASE WHEN a.norm < b.norm THEN a.id ELSE b.id END AS id, count(*) AS k FROM n a JOIN n b ON a.seq_id = b.seq_id AND a.motif_ac = 'M0' AND b.motif_ac = 'M1'
+  AND a."begin" + 2 <= b."end" AND a."end" - 2 >= b."begin" AND a.norm <> b.norm GROUP BY 1)
+SELECT {_REST}, (level - coalesce(k, 0))::INTEGER AS level, level_tag FROM n LEFT JOIN lost USING (id)""")
+def competes_hit(spark, sf_dir):
+    return postprocess.competes_hit_with(_hits(spark, sf_dir), "M0", "M1", slack=2)
+
+
+@query(_HITS + f"""
+, t AS (SELECT *, max(CASE WHEN motif_ac = 'M0' THEN norm END) {_BY} AS a, max(CASE WHEN motif_ac = 'M1' THEN norm END) {_BY} AS b FROM hits)
+SELECT {_REST}, CASE WHEN (motif_ac = 'M0' AND a <= b) OR (motif_ac = 'M1' AND b < a) THEN level - 1 ELSE level END AS level, level_tag FROM t""")
+def competes_seq(spark, sf_dir):
+    return postprocess.competes_seq_with(_hits(spark, sf_dir), "M0", "M1")
+
+
+@query(_HITS + f"""
+SELECT {_REST}, CASE WHEN motif_ac = 'M0' AND level < 0 AND count_if(motif_ac = 'M0') {_BY} > 1 AND max(CASE WHEN motif_ac = 'M1' THEN norm END) {_BY} >= 30
+  THEN level + 1 ELSE level END AS level, level_tag FROM hits""")
+def promote_repeat(spark, sf_dir):
+    return postprocess.promote_repeat(_hits(spark, sf_dir), "M0", "M1", 30)
+
+
+@query(_HITS + f"""
+SELECT {_REST}, CASE WHEN up OR more THEN level + 1 ELSE level END AS level, CASE WHEN up THEN 'R' WHEN more THEN 'r' ELSE level_tag END AS level_tag FROM (
+  SELECT *, motif_ac = 'M0' AND level < 0 AND top >= 0 AS up, motif_ac = 'M0' AND level < 0 AND top < 0 AND total >= 60 AS more FROM (
+    SELECT *, max(CASE WHEN motif_ac = 'M0' THEN level END) {_BY} AS top, sum(CASE WHEN motif_ac = 'M0' THEN norm END) {_BY} AS total FROM hits))""")
+def repeat_domain(spark, sf_dir):
+    return postprocess.repeat_domain(_hits(spark, sf_dir), "M0", 60)
+
+
+@query(_HITS + """
+, m AS (SELECT *, ("begin" + "end") / 2 AS mid FROM hits),
+f AS (SELECT *, CASE WHEN mid - lag(mid) OVER w > 20 OR lag(mid) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM m WINDOW w AS (PARTITION BY seq_id, motif_ac ORDER BY "begin", "end"))
+SELECT seq_id, motif_ac, "begin", "end", sum(s) OVER (PARTITION BY seq_id, motif_ac ORDER BY "begin", "end") AS island FROM f""".replace("/ 2 AS", "/ 2.0 AS"))
+def islands(spark, sf_dir):
+    return postprocess.islands(_hits(spark, sf_dir), 20).select("seq_id", "motif_ac", "begin", "end", "island")
+
+
+@query(_HITS + """
+SELECT seq_id, motif_ac, max(norm) AS best, round(sum(norm), 3) AS total, count(*) AS n FROM hits GROUP BY ALL""")
+def motif_totals(spark, sf_dir):
+    return _hits(spark, sf_dir).groupBy("seq_id", "motif_ac").agg(F.max("norm").alias("best"), F.round(F.sum("norm"), 3).alias("total"), F.count("*").alias("n"))
+
+
+@query(_HITS + "SELECT motif_ac, count(*) AS n_hits, count(DISTINCT seq_id) AS n_sequences FROM hits GROUP BY motif_ac")
+def match_list(spark, sf_dir):
+    return _hits(spark, sf_dir).groupBy("motif_ac").agg(F.count("*").alias("n_hits"), F.countDistinct("seq_id").alias("n_sequences"))
+
+
+@query(_HITS + f"""
+, v AS (SELECT *, count(*) OVER (PARTITION BY seq_id, motif_ac) AS n FROM hits WHERE level >= 0)
+SELECT {_REST}, level, level_tag FROM v WHERE n >= 2""")
+def visible(spark, sf_dir):
+    return postprocess.visible(_hits(spark, sf_dir), 0, min_hits=2)
+
+
+@query(_HITS + """
+SELECT seq_id, "begin", "end", norm, max("end") OVER (PARTITION BY seq_id ORDER BY "begin", "end", norm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM hits""")
+def running_end(spark, sf_dir):
+    w = W.partitionBy("seq_id").orderBy("begin", "end", "norm").rowsBetween(W.unboundedPreceding, -1)
+    return _hits(spark, sf_dir).select("seq_id", "begin", "end", "norm", F.max("end").over(w).alias("reached"))
+
+
+@query(_HITS + """
+SELECT * FROM (SELECT seq_id, motif_ac FROM hits WHERE level >= 0 EXCEPT ALL SELECT seq_id, motif_ac FROM hits WHERE level < 0)
+UNION ALL SELECT * FROM (SELECT seq_id, motif_ac FROM hits WHERE level < 0 EXCEPT ALL SELECT seq_id, motif_ac FROM hits WHERE level >= 0)""")
+def result_difference(spark, sf_dir):
+    h = _hits(spark, sf_dir).select("seq_id", "motif_ac", "level")
+    a, b = h.where("level >= 0").drop("level"), h.where("level < 0").drop("level")
+    return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+
+@query("""
+WITH RECURSIVE links AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation),
+r AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a)
+SELECT a AS target_ac, b AS effector_ac FROM r""")
+def motif_closure(spark, sf_dir):
+    return postprocess.closure(_t(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey").toDF("target_ac", "effector_ac")
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch(ts) AS x, value AS y, event_id FROM events),
+p AS (SELECT user_id, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS part FROM e WINDOW w AS (PARTITION BY user_id ORDER BY x, event_id))
+SELECT user_id, round(coalesce(sum(part), 0), 1) AS area FROM p GROUP BY user_id""")
+def trapezoid(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), "event_id").alias("o"), F.col("value").alias("y"))
+    w = W.partitionBy("user_id").orderBy("o")
+    part = (F.col("o.x") - F.lag("o.x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2
+    return e.withColumn("part", part).groupBy("user_id").agg(F.round(F.coalesce(F.sum("part"), F.lit(0.0)), 1).alias("area"))
+
+
+# calibration: prices as scores
+
+
+@query("SELECT floor(o_totalprice / 1000)::BIGINT AS bin, count(*) AS n FROM orders GROUP BY 1")
+def histogram(spark, sf_dir):
+    return calibrate.histogram(_t(spark, sf_dir, "orders"), "o_totalprice", 1000)
+
+
+@query("SELECT min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(avg(l_extendedprice), 4) AS avg, count(*) AS n FROM lineitem")
+def score_statistics(spark, sf_dir):
+    return calibrate.statistics(_t(spark, sf_dir, "lineitem"), "l_extendedprice").withColumn("avg", F.round("avg", 4))
+
+
+@query(f"SELECT count(*) AS records, sum(length({_SEQ})) AS residues, round(avg(length({_SEQ})), 4) AS mean_length, max(length({_SEQ})) AS longest FROM documents")
+def library_statistics(spark, sf_dir):
+    return calibrate.library_statistics(_docs(spark, sf_dir)).withColumn("mean_length", F.round("mean_length", 4))
+
+
+@query("""
+WITH r AS (SELECT floor(l_extendedprice) AS s, row_number() OVER (ORDER BY floor(l_extendedprice) DESC) AS k FROM lineitem),
+p AS (SELECT s, log10(1e8) - log10(k - 0.5) AS y, k / 2.0 AS w FROM r),
+u AS (SELECT * FROM p WHERE y >= 4 AND y <= 6),
+a AS (SELECT sum(w) AS w, sum(w * s) AS s, sum(w * y) AS y, sum(w * s * s) AS ss, sum(w * s * y) AS sy, count(*) AS used FROM u),
+b AS (SELECT *, (sy - s * y / w) / (ss - s * s / w) AS r2 FROM a)
+SELECT round(y / w - r2 * s / w, 4) AS r1, round(r2 * 1000, 6) AS r2, used FROM b""")
+def rank_regression(spark, sf_dir):
+    s = _t(spark, sf_dir, "lineitem").select(F.floor("l_extendedprice").cast("double").alias("s"))
+    return calibrate.rank_regression(s, "s", residues=1e8).select(F.round("r1", 4).alias("r1"), F.round(F.col("r2") * 1000, 6).alias("r2"), "used")
+
+
+@query("SELECT min(s) AS cut FROM (SELECT o_totalprice AS s FROM orders ORDER BY s DESC LIMIT 500)")
+def tail_cut(spark, sf_dir):
+    return calibrate.tail_cut(_t(spark, sf_dir, "orders"), "o_totalprice", 500)
+
+
+@query("SELECT o_orderkey, round(1 - exp(-exp(-2e-5 * (o_totalprice - 150000))), 9) AS p, round(1e6 * (1 - exp(-exp(-2e-5 * (o_totalprice - 150000)))), 3) AS e FROM orders")
+def extreme_values(spark, sf_dir):
+    x = F.col("o_totalprice")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.round(calibrate.evd_p(x, 150000, 2e-5), 9).alias("p"), F.round(calibrate.evd_e(x, 150000, 2e-5, 1e6), 3).alias("e"))
+
+
+@query("""
+SELECT quality, count(*) AS n, count_if(toxic = 1) AS n_toxic, count(d.doc_id) AS n_found FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang = 'en' GROUP BY quality""")
+def truth_tally(spark, sf_dir):
+    found = _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("found"))
+    return _t(spark, sf_dir, "labels").join(found, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count("found").alias("n_found"))
