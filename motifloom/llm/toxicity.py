@@ -122,6 +122,57 @@ class Kernel:
         return out
 
 
+class Weights:
+    """A weighted sum of normalised kernels to fixed words, folded into one weight for each three characters.
+
+    The kernel is a product of feature vectors, one feature for each three
+    characters, so the sum over landmarks needs no loop over landmarks.
+    """
+
+    def __init__(self, words: list[str], weights: np.ndarray):
+        marked = [f"^{w}$" for w in words]
+        self.code = {c: i + 1 for i, c in enumerate(sorted(set("".join(marked))))}
+        self.base = len(self.code) + 1
+        self.table = np.zeros(self.base**3, np.float64)
+        for w, a in zip(marked, weights, strict=True):
+            codes = np.array([[self.code[c] for c in w]])
+            i, j, k, decay = self._triples(codes.shape[1])
+            np.add.at(self.table, self._index(codes, i, j, k)[0], a * decay / np.sqrt(_self(codes)[0]))
+        self.table = self.table.astype(np.float32)
+
+    @staticmethod
+    def _triples(size: int):
+        got = _triples.get(size)
+        if got is None:
+            i, j, k = np.array([(i, j, k) for i in range(size) for j in range(i + 1, size) for k in range(j + 1, size)], np.int64).reshape(-1, 3).T
+            got = _triples[size] = (i, j, k, (LAMBDA ** (k - i + 1.0)).astype(np.float32))
+        return got
+
+    def _index(self, codes, i, j, k):
+        first = codes * self.base
+        return (first[:, i] + codes[:, j]) * self.base + codes[:, k]
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words), np.float32)
+        by_size: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(k)
+        for size, ks in by_size.items():
+            i, j, k, decay = self._triples(size + 2)
+            step = max(1, min(512, 200_000 // max(1, len(i))))
+            for at in range(0, len(ks), step):
+                part = ks[at : at + step]
+                text = "".join(f"^{words[m]}$" for m in part)
+                raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size + 2)
+                kinds, inverse = np.unique(raw, return_inverse=True)
+                codes = np.array([self.code.get(chr(c), 0) for c in kinds], np.int32)[inverse].reshape(raw.shape)
+                out[part] = (self.table[self._index(codes, i, j, k)] @ decay) / np.sqrt(np.maximum(_self(raw), 1e-12))
+        return out
+
+
+_triples: dict = {}
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -130,13 +181,13 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    kernel: Kernel | None = field(default=None, repr=False)
+    folded: Weights | None = field(default=None, repr=False)
 
     def margins(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        self.kernel = self.kernel or Kernel(self.landmarks)
-        return self.kernel(words) @ (self.white @ self.weight) + self.bias
+        self.folded = self.folded or Weights(self.landmarks, self.white @ self.weight)
+        return self.folded(words) + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -144,13 +195,20 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, by Newton steps on the active rows."""
-    x1 = np.c_[x, np.ones(len(x))].astype(float)
+    x1 = np.c_[x, np.ones(len(x), np.float32)]
     ridge = np.diag(np.r_[np.ones(x.shape[1]), 1e-3])
     w = np.zeros(x1.shape[1])
     active = np.ones(len(x), bool)
     for _ in range(40):
-        a = x1[active] * cost[active, None]
-        w = np.linalg.solve(ridge + a.T @ x1[active], a.T @ y[active])
+        gram, pull = ridge.copy(), np.zeros(len(w))
+        rows = np.flatnonzero(active)
+        for i in range(0, len(rows), 8192):
+            part = rows[i : i + 8192]
+            z = x1[part].astype(float)
+            a = z * cost[part, None]
+            gram += a.T @ z
+            pull += a.T @ y[part]
+        w = np.linalg.solve(gram, pull)
         now = y * (x1 @ w) < 1
         if (now == active).all():
             break

@@ -25,6 +25,13 @@ def test_kernel_equals_definition():
             assert abs(got[i, j] - slow_kernel(a, b) / (slow_kernel(a, a) * slow_kernel(b, b)) ** 0.5) < 1e-5
 
 
+def test_folded_weights_equal_the_kernel():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 15))) for _ in range(200)]
+    a = rng.normal(size=9)
+    assert np.abs(tx.Weights(words[:9], a)(words) - tx.Kernel(words[:9])(words) @ a).max() < 1e-4
+
+
 def corpus(n=900):
     rng = np.random.default_rng(1)
     syllables = ["ka", "lo", "mi", "ter", "un", "es", "ra", "do", "pin", "vel"]
