@@ -63,7 +63,7 @@ def profile(length: int = 16) -> kernels.Profile:
     return kernels.linear(match, _AZ, open_gap=-9, extend=-2, name="RULE16")
 
 
-H_CUTOFF, CUTOFF = 320, 42
+H_CUTOFF, CUTOFF = 320, 30
 
 
 # letters
@@ -236,14 +236,14 @@ def search_cascade(spark, sf_dir):
     """Prefilter, score, normalised score and level of the documents that reach the cutoff."""
     norm = F.round(normalize.raw_to_norm("LINEAR", [1.5, 0.02], F.col("score")), 4)
     kept = _scored(spark, sf_dir).where(F.col("score") >= CUTOFF)
-    return kept.select("doc_id", "h_score", "score", norm.alias("norm"), normalize.level(F.col("score"), [(-1, 30), (0, CUTOFF), (1, 60)]).alias("level"))
+    return kept.select("doc_id", "h_score", "score", norm.alias("norm"), normalize.level(F.col("score"), [(-1, 26), (0, CUTOFF), (1, 36)]).alias("level"))
 
 
 @query()
 def search_align(spark, sf_dir):
     """All matches of two profiles, forward and reversed, in every document."""
     p = profile()
-    motifs = [search.Motif(p, 52, H_CUTOFF, "RULE16"), search.Motif(p.reverse(), 52, H_CUTOFF, "RULE16R")]
+    motifs = [search.Motif(p, 34, H_CUTOFF, "RULE16"), search.Motif(p.reverse(), 34, H_CUTOFF, "RULE16R")]
     return search.search(_docs(spark, sf_dir), motifs, "doc_id", limit=16)
 
 

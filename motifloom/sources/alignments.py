@@ -25,7 +25,7 @@ def read_msa(spark: SparkSession, path: str) -> DataFrame:
 
 def read_msf(spark: SparkSession, path: str) -> DataFrame:
     """A GCG/MSF alignment: names and weights, then blocks of rows, joined by name in file order."""
-    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     head, _, body = text.partition("//")
     weights = {m[1]: float(m[2]) for m in re.finditer(r"Name:\s+(\S+).*?Weight:\s+(\S+)", head)}
     rows = dict.fromkeys(weights, "")

@@ -179,7 +179,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         one(r"\nAC   ([^;\n]*)").alias("ac"), one(r"\nID   ([^;\n]*)").alias("id"), one(r"\nID   [^;\n]*;\s*([A-Z]+)").alias("type"), joined("DE", " ").alias("description"),
         F.regexp_replace(joined("PA", ""), r"\.$", "").alias("pattern"), F.col("r").contains("/SKIP-FLAG=TRUE").alias("skip"), one(r"/TAXO-RANGE=([^;\n]*)").alias("taxo_range"),
-        one(r"/MAX-REPEAT=(\d+)").cast("int").alias("max_repeat"), F.regexp_count("r", F.lit(r",\s*F\s*;")).alias("n_false"),
+        one(r"/MAX-REPEAT=(\d+)").try_cast("int").alias("max_repeat"), F.regexp_count("r", F.lit(r",\s*F\s*;")).alias("n_false"),
     )
 
 

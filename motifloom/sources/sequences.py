@@ -25,7 +25,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of '@' header, sequence lines, '+' line and one quality line; a file is one task's work."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     each = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(@[^\n]*\n[^+\n]*(?:\n[^+\n][^\n]*)*\n\+[^\n]*\n[^\n]*)"), F.lit(1))).alias("r"))
     header = F.regexp_extract("r", r"^@([^\n]*)", 1)
     seq = F.regexp_extract("r", r"^[^\n]*\n((?:[^+\n][^\n]*\n)*)\+", 1)
