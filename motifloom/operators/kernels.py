@@ -6,6 +6,7 @@ whole numbers; ``NEG`` stands for a forbidden step.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -187,8 +188,11 @@ class Match:
     aligned: str
 
 
-def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | None = None) -> Match | None:
-    """The best alignment and its path; letters that are ``locked`` can't be used inside the protected positions."""
+def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | None = None, first: bool = True, last: bool = True) -> Match | None:
+    """The best alignment and its path; letters that are ``locked`` can't be used inside the protected positions.
+
+    ``first`` and ``last``: whether the letters begin and end the sequence, or are a part of it.
+    """
     n, size = len(codes), p.length
     if not n:
         return None
@@ -196,7 +200,6 @@ def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | Non
     match, insert, delete = np.vstack([np.full(p.match.shape[1], NEG), p.match]), p.insert, np.r_[NEG, p.delete]
     # came[row, state, position]: 0 start, 1 m, 2 i, 3 d — what precedes the state that is ready to go on
     came = np.zeros((n + 1, 3, size + 1), np.int8)
-    step = np.cumsum(np.r_[0, p.delete + t["dd"][1:]])
 
     def ready(row, km, ki, enter):
         """States after the letters so far; deletions run along the positions."""
@@ -216,9 +219,9 @@ def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | Non
         return made, kd
 
     none = np.full(size + 1, NEG, np.int64)
-    state, _ = ready(0, none, none, {s: p.enter(s, True) for s in STATES})
+    state, _ = ready(0, none, none, {s: p.enter(s, first) for s in STATES})
     later = {s: p.enter(s, False) for s in STATES}
-    inner, final = ({s: p.leave(s, x) for s in STATES} for x in (False, True))
+    inner, final = ({s: p.leave(s, x) for s in STATES} for x in (False, last))
     protect = np.zeros(size + 1, bool)
     protect[p.n1 : p.last + 1] = True
     best = (NEG, 0, 0, 0)
@@ -240,7 +243,7 @@ def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | Non
     if best[0] <= NEG // 2:
         return None
     score, row, code, at = best
-    end, last = row, at
+    end, final_at = row, at
     letters: list[str] = []
     inside: list[int] = []
     while True:
@@ -261,8 +264,7 @@ def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | Non
         if code == 0:
             break
     begin = row + 1
-    del step
-    return Match(score, begin, end, at + 1, last - size - 1, min(inside, default=begin), max(inside, default=end), "".join(reversed(letters)))
+    return Match(score, begin, end, at + 1, final_at - size - 1, min(inside, default=begin), max(inside, default=end), "".join(reversed(letters)))
 
 
 def matches(p: Profile, codes: np.ndarray, seq: str, cutoff: int, unique: bool = False, limit: int | None = None) -> list[Match]:
@@ -270,7 +272,11 @@ def matches(p: Profile, codes: np.ndarray, seq: str, cutoff: int, unique: bool =
 
     The best is taken first and the letters of its protected part are locked
     for the next, until none reaches the cutoff; ``unique`` takes only the first.
+    Where all positions are protected no alignment reaches over a locked
+    stretch, so the parts left and right of it are searched by themselves.
     """
+    if p.n1 == 1 and p.last == p.length and not unique:
+        return _apart(p, codes, seq, cutoff, limit)
     locked, out = np.zeros(len(codes), bool), []
     while limit is None or len(out) < limit:
         m = best_match(p, codes, seq, locked)
@@ -283,6 +289,25 @@ def matches(p: Profile, codes: np.ndarray, seq: str, cutoff: int, unique: bool =
     return sorted(out, key=lambda m: (m.begin, m.end))
 
 
+def _apart(p: Profile, codes: np.ndarray, seq: str, cutoff: int, limit: int | None) -> list[Match]:
+    """``matches`` when all positions are protected: best first, parts in a queue by their best score."""
+    found, n = [], len(codes)
+
+    def look(a: int, b: int):
+        m = best_match(p, codes[a:b], seq[a:b], None, a == 0, b == n) if b > a else None
+        if m is not None and m.score >= cutoff:
+            heapq.heappush(queue, (-m.score, a, b, replace(m, begin=m.begin + a, end=m.end + a, protected_begin=m.protected_begin + a, protected_end=m.protected_end + a)))
+
+    queue: list = []
+    look(0, n)
+    while queue and (limit is None or len(found) < limit):
+        _, a, b, m = heapq.heappop(queue)
+        found.append(m)
+        look(a, m.protected_begin - 1)
+        look(m.protected_end, b)
+    return sorted(found, key=lambda m: (m.begin, m.end))
+
+
 def rescore(p: Profile, aligned: str, first: bool = True, last: bool = True) -> int:
     """Score of a whole-profile alignment string under a profile of the same length; NEG if it has another length."""
     if sum(not c.islower() for c in aligned) != p.length:

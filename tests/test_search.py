@@ -189,7 +189,7 @@ def test_stream(spark, tmp_path):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs.write.parquet(str(tmp_path / "in"))
-    motif = search.Motif(catalog.profile(), 26, catalog.H_CUTOFF, "m")
+    motif = search.Motif(catalog.profile(), 33, catalog.H_CUTOFF, "m")
     hits = stream_search(stream_documents(spark, str(tmp_path / "in"), "doc_id long, text string"), [motif])
     hits.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(300)
     want = search.search(catalog._docs(spark, SF), [motif], "doc_id")
