@@ -111,7 +111,7 @@ def _line() -> Column:
 
 def _quoted(text: Column) -> Column:
     """A JSON string, or null."""
-    return F.coalesce(F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
 
 
 SQL = r"""
