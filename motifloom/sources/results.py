@@ -38,24 +38,24 @@ def default(width: int = 60) -> Column:
     return F.concat_ws(" ", _place(), name, F.nullif(_text("seq_desc"), F.lit("")))
 
 
-def interpro(width: int = 60) -> Column:
+def level_header(width: int = 60) -> Column:
     return _with_alignment(F.concat(F.lit("> L="), "level", F.lit(" "), _place(), F.lit(" "), _range(), F.lit("  "), _full()), width)
 
 
-def inc_match(width: int = 60) -> Column:
+def region_header(width: int = 60) -> Column:
     head = F.format_string(">%s/%d-%d motif=%s|%s norm_score=%.3f raw_score=%d seq_end=%d motif_start=%d motif_end=%d", "seq_id", "begin", "end", "motif_ac", "motif_id", "norm_score", "raw_score", F.col("end") - F.col("seq_len") - 1, "motif_start", "motif_end")
     return _with_alignment(head, width)
 
 
-def ps_maker(width: int = 60) -> Column:
+def place_header(width: int = 60) -> Column:
     return _with_alignment(F.concat(F.lit("> "), _place(), F.lit("  "), _full()), width)
 
 
-def pfscan(width: int = 60) -> Column:
+def motif_header(width: int = 60) -> Column:
     return _with_alignment(F.concat(F.lit(">"), "motif_id", F.lit(" L="), "level", F.lit(" "), _place(), F.lit(" "), _range(), F.lit(" "), "motif_ac", F.lit("|"), _text("motif_desc")), width)
 
 
-def pfscan_long(width: int = 60) -> Column:
+def level_line(width: int = 60) -> Column:
     return F.concat(F.lit("L="), "level", F.lit(" "), _place(), F.lit(" "), "motif_ac", F.lit("|"), "motif_id", F.lit(" "), _text("motif_desc"))
 
 
@@ -93,7 +93,7 @@ def pff(width: int = 60) -> Column:
     return F.concat_ws("\t", "seq_id", F.col("begin").cast("string"), F.col("end").cast("string"), "motif_ac", F.col("motif_start").cast("string"), F.col("motif_end").cast("string"), F.col("raw_score").cast("string"), F.format_string("%.3f", "norm_score"), F.col("level").cast("string"))
 
 
-FORMATS = {0: default, 1: interpro, 2: inc_match, 3: ps_maker, 4: pfscan, 5: pfscan_long, 6: xpsa, 7: tsv, 8: sam, 9: family, 10: turtle, "gff": gff, "pff": pff}
+FORMATS = {0: default, 1: level_header, 2: region_header, 3: place_header, 4: motif_header, 5: level_line, 6: xpsa, 7: tsv, 8: sam, 9: family, 10: turtle, "gff": gff, "pff": pff}
 
 
 def formatted(hits: DataFrame, kind: int | str = 6, width: int = 60) -> DataFrame:
