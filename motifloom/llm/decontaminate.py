@@ -5,7 +5,8 @@ as the item and at least one shingle of it gets a SimHash fingerprint. A
 multi-index over fingerprint blocks gives all items of that length within the
 Hamming radius, and the exact weighted-shingle similarity of window and item
 decides. Windows without a shingle of an item have similarity zero with it, so
-passing them over loses nothing.
+passing them over loses nothing. A document with fewer words than the item is
+one window as a whole, if it has words enough to reach the threshold.
 """
 
 from __future__ import annotations
@@ -128,12 +129,25 @@ class Items:
                 for n in lengths[s].tolist():
                     anchors[t, n].append(p)
             for (t, n), places in anchors.items():
-                yield from self._windows(sh, width, t, n, places, base, threshold)
+                if base[t + 1] - base[t] < n:
+                    yield from self._whole(sh, width, t, n, base, threshold)
+                else:
+                    yield from self._windows(sh, width, t, n, places, base, threshold)
+
+    def _whole(self, sh, width, t, n, base, threshold):
+        """A text with fewer words than an item, as it is; the share of its shingles bounds the similarity."""
+        low, size = int(base[t]), int(base[t + 1] - base[t]) - width + 1
+        if size < threshold * (n - width + 1):
+            return
+        index, entries = self.index[n]
+        own = sh[low : low + size]
+        for _, e in zip(*index.query(simhash(own, size)), strict=True):
+            sim = similarity(Counter(own.tolist()), self.counts[entries[e]])
+            if sim >= threshold:
+                yield t, entries[e], sim, 0
 
     def _windows(self, sh, width, t, n, places, base, threshold):
         size, low, high = n - width + 1, int(base[t]), int(base[t + 1]) - n
-        if high < low:
-            return
         index, entries = self.index[n]
         best: dict[int, tuple[float, int]] = {}
         begins, k = [], 0
@@ -175,7 +189,7 @@ def _passes(benchmark: DataFrame, limit: int) -> Iterator[tuple[list, list]]:
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): each item's best window in each row of docs.
 
-    Words are runs of letters and digits in lower case; shingles are five words
+    A window has as many words as the item, or all of a text that has fewer. Words are runs of letters and digits in lower case; shingles are five words
     (an item of fewer: all its words). Similarity is the weighted Jaccard of
     the shingles with their counts. The benchmark goes to the tasks in passes
     of at most ``pass_bytes`` of text (or one item), each a scan of docs
@@ -203,7 +217,7 @@ def _search(ids: list, texts: list, threshold: float, radius: int):
                 _, hashes, base = words(normalise(raw), offsets, _TABLE)
                 rows = list(items.search(hashes, base, threshold))
                 doc = part.column("doc_id").to_pylist()
-                columns = [[doc[t] for t, *_ in rows], [ids[i] for _, i, *_ in rows], [s for *_, s, _ in rows], [b for *_, b in rows], [int(items.words[i]) for _, i, *_ in rows]]
+                columns = [[doc[t] for t, *_ in rows], [ids[i] for _, i, *_ in rows], [s for *_, s, _ in rows], [b for *_, b in rows], [int(min(items.words[i], base[t + 1] - base[t])) for t, i, *_ in rows]]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
