@@ -243,8 +243,8 @@ def search_cascade(spark, sf_dir):
 def search_align(spark, sf_dir):
     """All matches of two profiles, forward and reversed, in every document."""
     p = profile()
-    motifs = [search.Motif(p, 39, H_CUTOFF, "RULE16"), search.Motif(p.reverse(), 39, H_CUTOFF, "RULE16R")]
-    return search.search(_docs(spark, sf_dir), motifs, "doc_id", limit=16)
+    motifs = [search.Motif(p, 34, H_CUTOFF, "RULE16"), search.Motif(p.reverse(), 34, H_CUTOFF, "RULE16R")]
+    return search.search(_docs(spark, sf_dir), motifs, "doc_id")
 
 
 @query()
