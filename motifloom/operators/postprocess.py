@@ -174,14 +174,17 @@ def apply(hits: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     return hits
 
 
-def closure(links: DataFrame, source: str = "target_ac", target: str = "effector_ac", most: int = 64) -> DataFrame:
-    """All pairs (source, target) reachable over links, by joining paths until none is new (at most ``most`` steps)."""
-    step = links.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
-    known, fresh = step, step
-    for _ in range(most):
-        longer = fresh.select("a", F.col("b").alias("m")).join(step.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
-        fresh = longer.join(known, ["a", "b"], "left_anti")
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
-    return known.select(F.col("a").alias(source), F.col("b").alias(target))
+def closure(links: DataFrame, source: str = "target_ac", target: str = "effector_ac") -> DataFrame:
+    """All pairs (source, target) reachable over links.
+
+    Paths are joined until none is new, each round to paths of up to twice the
+    links; known pairs are kept by the executors each round, so that plans stay short.
+    """
+    known = links.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct().localCheckpoint()
+    n = known.count()
+    while True:
+        longer = known.select("a", F.col("b").alias("m")).join(known.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        known, before = known.unionByName(longer).distinct().localCheckpoint(), n
+        n = known.count()
+        if n == before:
+            return known.select(F.col("a").alias(source), F.col("b").alias(target))
