@@ -6,13 +6,14 @@ whole numbers; ``NEG`` stands for a forbidden step.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 
 NEG = -(1 << 28)
 STATES = "mid"
+#: Letters worked on side by side: a few arrays of so many numbers fit the cache.
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -93,31 +94,50 @@ def linear(match: np.ndarray, alphabet: str, open_gap: int = -12, extend: int =
     return Profile(alphabet, match.astype(np.int64), insert, np.full(size, extend, np.int64), trans, **more)
 
 
-def h_scores(p: Profile, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def h_scores(p: Profile, codes: np.ndarray, starts: np.ndarray, floor: np.ndarray | None = None) -> np.ndarray:
     """Prefilter scores of sequences laid end to end (``starts``: their offsets, and the end).
 
     On each diagonal a running match score is kept from falling below zero,
     but for cells of a sequence's first letter; the best of each profile
-    position, if positive, are summed. One vector step for each position.
+    position, if positive, are summed. One vector step for each position, over
+    blocks of whole sequences that fit the cache. ``floor``: the least score a
+    match position counts (see ``detours``).
     """
     n = len(starts) - 1
     out = np.zeros(n, np.int64)
-    sizes = np.diff(starts)
-    full = sizes > 0
-    if not full.any():
-        return out
-    heads = starts[:-1][full]
-    row = np.zeros(len(codes), np.int64)
-    for scores in p.match:
-        before = np.empty_like(row)
+    match = np.maximum(p.match, -(1 << 20)).astype(np.int32)
+    if floor is not None:
+        match = np.maximum(match, np.maximum(floor, -(1 << 20))[:, None].astype(np.int32))
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK, "right")) - 1)
+        full = np.flatnonzero(np.diff(starts[at : to + 1]) > 0) + at
+        if len(full):
+            own = codes[starts[at] : starts[to]]
+            out[full] = _h_block(match, own, starts[full] - starts[at])
+        at = to
+    return out
+
+
+def _h_block(match: np.ndarray, codes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(heads), np.int64)
+    row = np.zeros(len(codes), np.int32)
+    before = np.empty_like(row)
+    for scores in match:
         before[1:] = row[:-1]
         before[heads] = 0
-        row = before + scores[codes]
+        np.add(before, scores[codes], out=row)
         first = row[heads]
         np.maximum(row, 0, out=row)
         row[heads] = first
-        out[full] += np.maximum(np.maximum.reduceat(row, heads), 0)
-    return out
+        total += np.maximum(np.maximum.reduceat(row, heads), 0)
+    return total
+
+
+def detours(p: Profile) -> np.ndarray:
+    """What passing each match position by the cheapest gap costs: by a deletion or by an insertion, without the gap itself."""
+    t = p.trans
+    return np.maximum(np.maximum(t["md"][:-1] + t["dm"][1:], t["mi"][:-1] + t["im"][:-1]), NEG)
 
 
 def _deletions(p: Profile, d: np.ndarray) -> np.ndarray:
@@ -126,52 +146,153 @@ def _deletions(p: Profile, d: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum.accumulate(d - cost, axis=-1) + cost, NEG)
 
 
-def scores(p: Profile, codes: list[np.ndarray]) -> np.ndarray:
-    """Best alignment score of each sequence (no sequence letters: NEG); sequences are worked on side by side."""
-    out = np.full(len(codes), NEG, np.int64)
-    order = sorted((k for k in range(len(codes)) if len(codes[k])), key=lambda k: len(codes[k]))
-    for at in range(0, len(order), 256):
-        part = order[at : at + 256]
-        out[part] = _scores(p, [codes[k] for k in part])
-    return out
+def scores(p: Profile, codes: list[np.ndarray], cutoff: int | None = None) -> np.ndarray:
+    """Best alignment score of each sequence (no sequence letters: NEG).
+
+    With ``cutoff`` a sequence is left as soon as it reaches it, and then has
+    some score from the cutoff to its best.
+    """
+    return best_ends(p, codes, cutoff=cutoff)[0]
 
 
-def _scores(p: Profile, codes: list[np.ndarray]) -> np.ndarray:
+def best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | None = None, first: np.ndarray | None = None, last: np.ndarray | None = None, cutoff: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, letters up to its end) of each sequence's best alignment, the earliest of equal ones.
+
+    ``first`` and ``last`` tell whether each begins and ends its sequence, or
+    is a part of it; letters that are ``locked`` can't be used inside the
+    protected positions. Sequences of like length are worked on side by side.
+    """
+    n = len(codes)
+    score, end = np.full(n, NEG, np.int64), np.zeros(n, np.int64)
+    first = np.ones(n, bool) if first is None else np.asarray(first, bool)
+    last = np.ones(n, bool) if last is None else np.asarray(last, bool)
+    order = sorted((k for k in range(n) if len(codes[k])), key=lambda k: len(codes[k]))
+    at = 0
+    while at < len(order):
+        to, least = at + 1, len(codes[order[at]])
+        while to < len(order) and (to + 1 - at) * len(codes[order[to]]) <= BLOCK and len(codes[order[to]]) <= max(64, least * 5 // 4):
+            to += 1
+        part = order[at:to]
+        score[part], end[part] = _best_ends(p, [codes[k] for k in part], [locked[k] for k in part] if locked else None, first[part], last[part], cutoff)
+        at = to
+    return score, end
+
+
+def _allowed(v) -> bool:
+    return v > NEG // 2
+
+
+def _best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | None, first: np.ndarray, last: np.ndarray, cutoff: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The states of one profile position for all letters at once, position after position.
+
+    Along the letters only insertions depend on each other: a running maximum
+    after taking off the summed cost of inserting. A state that can't be is None.
+    """
     sizes = np.array([len(c) for c in codes])
-    n, width = len(codes), int(sizes.max())
-    grid = np.zeros((width, n), np.int64)
+    n, width, letters = len(codes), int(sizes.max()), p.match.shape[1]
+    grid = np.full((n, width + 1), letters, np.uint8)  # column j: after j letters; past the end a letter that nothing matches
+    lock = np.zeros((n, width + 1), bool) if locked else None
     for i, c in enumerate(codes):
-        grid[: len(c), i] = c
-    t, match, insert = p.trans, np.vstack([np.full(p.match.shape[1], NEG), p.match]).T, p.insert.T
-    delete = np.r_[NEG, p.delete]
-    start = {s: p.enter(s, True) for s in STATES}
-    later = {s: p.enter(s, False) for s in STATES}
-    inner = {s: p.leave(s, False) for s in STATES}
-    final = {s: p.leave(s, True) for s in STATES}
-    d = _deletions(p, start["d"])
-    shifted = np.r_[NEG, d[:-1]] + delete
-    m = np.tile(np.maximum(start["m"], shifted + t["dm"]), (n, 1))
-    i = np.tile(np.maximum(start["i"], shifted + t["di"]), (n, 1))
-    best = np.full(n, NEG, np.int64)
-    for row in range(width):
-        c = grid[row]
-        km = np.full_like(m, NEG)
-        km[:, 1:] = m[:, :-1]
-        km += match[c]
-        ki = i + insert[c]
-        d = _deletions(p, np.maximum(np.maximum(km + t["md"], ki + t["id"]), later["d"]))
-        kd = np.full_like(d, NEG)
-        kd[:, 1:] = d[:, :-1]
-        kd += delete
-        ends = np.maximum(np.maximum(km + inner["m"], ki + inner["i"]), kd + inner["d"]).max(axis=1)
-        done = np.maximum(np.maximum(km + final["m"], ki + final["i"]), kd + final["d"]).max(axis=1)
-        live = row < sizes
-        best = np.where(live, np.maximum(best, np.where(row == sizes - 1, done, ends)), best)
-        m = np.maximum(np.maximum(np.maximum(km + t["mm"], ki + t["im"]), kd + t["dm"]), later["m"])
-        i = np.maximum(np.maximum(np.maximum(km + t["mi"], ki + t["ii"]), kd + t["di"]), later["i"])
-        np.maximum(m, NEG, out=m)
-        np.maximum(i, NEG, out=i)
-    return best
+        grid[i, 1 : len(c) + 1] = c
+        if locked:
+            lock[i, 1 : len(c) + 1] = locked[i]
+    steps = p.insert[_allowed(p.insert)] if p.insert.size else p.insert
+    small = width < 1 << 16 and lock is None and np.abs(steps).max(initial=0) + np.abs(p.trans["ii"][_allowed(p.trans["ii"])]).max(initial=0) < 1 << 12
+    kind = np.int32 if small and _allowed(p.insert).all() else np.int64
+    column = np.arange(width + 1)
+    t, size = p.trans, p.length
+    start, later = ({s: p.enter(s, x) for s in STATES} for x in (True, False))
+    inner, final = ({s: p.leave(s, x) for s in STATES} for x in (False, True))
+    best, at, done = np.full(n, NEG, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    rows = np.arange(n)
+
+    def over(*terms):
+        out = None
+        for x, v in terms:
+            if x is not None and _allowed(v):
+                y = x + kind(v)
+                out = y if out is None else np.maximum(out, y, out=out)
+        return out
+
+    def entered(out, state, pos):
+        s, v = int(start[state][pos]), int(later[state][pos])
+        head = np.where(first[rows], s, v).astype(kind)
+        if not _allowed(v) and not _allowed(head).any():
+            return out
+        if out is None:
+            out = np.full((len(rows), width + 1), NEG, kind)
+        column0 = np.maximum(out[:, 0], head)
+        np.maximum(out, kind(max(v, NEG)), out=out)
+        out[:, 0] = column0
+        return out
+
+    def note(x, state, pos):
+        i, f = int(inner[state][pos]), int(final[state][pos])
+        if x is None or not (_allowed(i) or _allowed(f)):
+            return
+        if state != "m":
+            x = np.where((column >= 1) & (column <= sizes[rows, None]), x, kind(NEG))
+        tips = np.where(last[rows], f, i)
+        if (tips == i).all():
+            j = x.argmax(axis=1)
+            v = x[np.arange(len(rows)), j].astype(np.int64) + i
+        else:
+            tip = x[np.arange(len(rows)), sizes[rows]].astype(np.int64) + tips
+            x = x.copy()
+            x[np.arange(len(rows)), sizes[rows]] = NEG
+            j = x.argmax(axis=1)
+            v = x[np.arange(len(rows)), j].astype(np.int64) + i
+            j = np.where(tip > v, sizes[rows], j)
+            v = np.maximum(v, tip)
+        better = (v > best[rows]) | ((v == best[rows]) & (j < at[rows]))
+        best[rows[better]], at[rows[better]] = v[better], j[better]
+
+    m = d = None
+    for pos in range(size + 1):
+        km = kd = ki = turned = None
+        if pos and m is not None:
+            km = np.empty((len(rows), width + 1), kind)
+            km[:, 0] = NEG
+            np.add(m[:, :-1], np.r_[p.match[pos - 1], NEG].astype(kind)[grid[:, 1:]], out=km[:, 1:])
+            if lock is not None and p.n1 <= pos <= p.last:
+                km[lock] = NEG
+        if pos and d is not None and _allowed(p.delete[pos - 1]):
+            kd = d + kind(p.delete[pos - 1])
+        base = entered(over((km, t["mi"][pos]), (kd, t["di"][pos])), "i", pos)
+        if base is not None:
+            gain, held = p.insert[pos], lock is not None and p.n1 <= pos < p.last
+            if not _allowed(t["ii"][pos]):
+                turned = base
+            elif (gain == gain[0]).all() and _allowed(gain[0]) and not held:
+                cost = (column * (gain[0] + t["ii"][pos])).astype(kind)
+                turned = np.maximum.accumulate(base - cost, axis=1)
+                turned += cost
+            else:
+                each = np.r_[gain, gain[0]].astype(np.int64)[grid] + int(t["ii"][pos])
+                if held:
+                    each[lock] = NEG
+                cost = np.cumsum(each, axis=1)
+                turned = np.maximum.accumulate(base - cost, axis=1) + cost
+            ki = np.empty((len(rows), width + 1), kind)
+            ki[:, 0] = NEG
+            np.add(np.maximum(turned[:, :-1], NEG), np.r_[gain, gain[0]].astype(kind)[grid[:, 1:]], out=ki[:, 1:], casting="unsafe")
+            if held:
+                ki[lock] = NEG
+            np.maximum(ki, NEG, out=ki)
+        for x, state in ((ki, "i"), (km, "m"), (kd, "d")):
+            note(x, state, pos)
+        m, d = (entered(over((km, t["m" + s][pos]), (ki, t["i" + s][pos]), (kd, t["d" + s][pos])), s, pos) for s in "md")
+        for x in (m, d):
+            if x is not None:
+                np.maximum(x, NEG, out=x)
+        if cutoff is not None and (best[rows] >= cutoff).any():  # these have reached it
+            live = best[rows] < cutoff
+            rows, grid = rows[live], grid[live]
+            m, d = (x if x is None else x[live] for x in (m, d))
+            lock = lock if lock is None else lock[live]
+            if not len(rows):
+                break
+    return best, at
 
 
 @dataclass(frozen=True)
@@ -267,45 +388,70 @@ def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | Non
     return Match(score, begin, end, at + 1, final_at - size - 1, min(inside, default=begin), max(inside, default=end), "".join(reversed(letters)))
 
 
+def _traced(p: Profile, codes: np.ndarray, seq: str, score: int, end: int, locked: np.ndarray | None, first: bool, last: bool) -> Match:
+    """The path of the best alignment, of known score and end: sought in a stretch before its end, a longer one if it doesn't have the score."""
+    size = max(64, 2 * p.length)
+    while True:
+        low = max(0, end - size)
+        m = best_match(p, codes[low:end], seq[low:end], None if locked is None else locked[low:end], first and low == 0, last and end == len(codes))
+        if low == 0 or m is not None and m.score == score:
+            return replace(m, begin=m.begin + low, end=m.end + low, protected_begin=m.protected_begin + low, protected_end=m.protected_end + low)
+        size *= 4
+
+
 def matches(p: Profile, codes: np.ndarray, seq: str, cutoff: int, unique: bool = False, limit: int | None = None) -> list[Match]:
-    """Alignments of at least ``cutoff`` whose protected parts are apart, in the order of the sequence.
+    """``all_matches`` of one sequence."""
+    return all_matches(p, [codes], [seq], cutoff, unique, limit)[0]
+
+
+def all_matches(p: Profile, codes: list[np.ndarray], seqs: list[str], cutoff: int, unique: bool = False, limit: int | None = None) -> list[list[Match]]:
+    """Alignments of at least ``cutoff`` in each sequence whose protected parts are apart, in the order of the sequence.
 
     The best is taken first and the letters of its protected part are locked
-    for the next, until none reaches the cutoff; ``unique`` takes only the first.
-    Where all positions are protected no alignment reaches over a locked
-    stretch, so the parts left and right of it are searched by themselves.
+    for the next, until none reaches the cutoff; ``unique`` takes only the first,
+    ``limit`` so many. Where all positions are protected no alignment reaches
+    over a locked stretch, so the parts left and right of it are searched by
+    themselves. Each round works on all sequences side by side.
     """
     if p.n1 == 1 and p.last == p.length and not unique:
-        return _apart(p, codes, seq, cutoff, limit)
-    locked, out = np.zeros(len(codes), bool), []
-    while limit is None or len(out) < limit:
-        m = best_match(p, codes, seq, locked)
-        if m is None or m.score < cutoff:
-            break
-        out.append(m)
-        if unique:
-            break
-        locked[m.protected_begin - 1 : m.protected_end] = True
-    return sorted(out, key=lambda m: (m.begin, m.end))
-
-
-def _apart(p: Profile, codes: np.ndarray, seq: str, cutoff: int, limit: int | None) -> list[Match]:
-    """``matches`` when all positions are protected: best first, parts in a queue by their best score."""
-    found, n = [], len(codes)
-
-    def look(a: int, b: int):
-        m = best_match(p, codes[a:b], seq[a:b], None, a == 0, b == n) if b > a else None
-        if m is not None and m.score >= cutoff:
-            heapq.heappush(queue, (-m.score, a, b, replace(m, begin=m.begin + a, end=m.end + a, protected_begin=m.protected_begin + a, protected_end=m.protected_end + a)))
-
-    queue: list = []
-    look(0, n)
-    while queue and (limit is None or len(found) < limit):
-        _, a, b, m = heapq.heappop(queue)
-        found.append(m)
-        look(a, m.protected_begin - 1)
-        look(m.protected_end, b)
-    return sorted(found, key=lambda m: (m.begin, m.end))
+        return _apart(p, codes, seqs, cutoff, limit)
+    found: list[list[Match]] = [[] for _ in codes]
+    locked = [np.zeros(len(c), bool) for c in codes]
+    live = [k for k in range(len(codes)) if len(codes[k])]
+    while live and (limit is None or limit > 0):
+        score, end = best_ends(p, [codes[k] for k in live], [locked[k] for k in live])
+        again = []
+        for k, s, e in zip(live, score.tolist(), end.tolist(), strict=True):
+            if s < cutoff or s <= NEG // 2:
+                continue
+            m = _traced(p, codes[k], seqs[k], s, e, locked[k], True, True)
+            found[k].append(m)
+            locked[k][m.protected_begin - 1 : m.protected_end] = True
+            if not unique and (limit is None or len(found[k]) < limit):
+                again.append(k)
+        live = again
+    return [sorted(ms, key=lambda m: (m.begin, m.end)) for ms in found]
+
+
+def _apart(p: Profile, codes: list[np.ndarray], seqs: list[str], cutoff: int, limit: int | None) -> list[list[Match]]:
+    """``all_matches`` when all positions are protected."""
+    found: list[list[Match]] = [[] for _ in codes]
+    parts = [(k, 0, len(c)) for k, c in enumerate(codes)]
+    while parts := [x for x in parts if x[2] > x[1]]:
+        first, last = np.array([a == 0 for _, a, _ in parts]), np.array([b == len(codes[k]) for k, _, b in parts])
+        score, end = best_ends(p, [codes[k][a:b] for k, a, b in parts], None, first, last)
+        new = []
+        for (k, a, b), s, e, f, t in zip(parts, score.tolist(), end.tolist(), first.tolist(), last.tolist(), strict=True):
+            if s < cutoff or s <= NEG // 2:
+                continue
+            m = _traced(p, codes[k][a:b], seqs[k][a:b], s, e, None, f, t)
+            m = replace(m, begin=m.begin + a, end=m.end + a, protected_begin=m.protected_begin + a, protected_end=m.protected_end + a)
+            found[k].append(m)
+            new += [(k, a, m.protected_begin - 1), (k, m.protected_end, b)]
+        parts = new
+    if limit is not None:
+        found = [sorted(ms, key=lambda m: (-m.score, m.begin))[:limit] for ms in found]
+    return [sorted(ms, key=lambda m: (m.begin, m.end)) for ms in found]
 
 
 def rescore(p: Profile, aligned: str, first: bool = True, last: bool = True) -> int:

@@ -114,14 +114,14 @@ def _search(motifs: list[Motif], align: bool, limit: int | None):
                     h = K.h_scores(p, codes, starts)
                     passed = np.flatnonzero((h >= motif.h_cutoff) if motif.h_cutoff is not None else np.diff(starts) > 0)
                     own = [codes[starts[i] : starts[i + 1]] for i in passed]
-                    best = K.scores(p, own)
-                    for i, c, s in zip(passed.tolist(), own, best.tolist(), strict=True):
-                        if s < motif.cutoff:
-                            continue
-                        found = K.matches(p, c, seqs[i], motif.cutoff, motif.unique, limit) if align else [None]
-                        for n, m in enumerate(found, 1):
+                    best = K.scores(p, own, motif.cutoff if align else None)
+                    good = np.flatnonzero(best >= motif.cutoff)
+                    found = K.all_matches(p, [own[k] for k in good], [seqs[passed[k]] for k in good], motif.cutoff, motif.unique, limit) if align else [[None]] * len(good)
+                    for k, ms in zip(good.tolist(), found, strict=True):
+                        i = int(passed[k])
+                        for n, m in enumerate(ms, 1):
                             rows.append(i)
-                            place = (m.begin, m.end, m.motif_start, m.motif_end, m.score, int(h[i]), m.aligned) if m else (None, None, None, None, s, int(h[i]), None)
+                            place = (m.begin, m.end, m.motif_start, m.motif_end, m.score, int(h[i]), m.aligned) if m else (None, None, None, None, int(best[k]), int(h[i]), None)
                             hits.append((motif.ac, n, *place))
                 if rows:
                     keys = part.column(0).take(pa.array(rows))
@@ -144,7 +144,7 @@ def stage_counts(df: DataFrame, h: str, h_cutoff: int, score: str, cutoff: int)
 
 def best_family(hits: DataFrame, key: str = "seq_id", score: str = "raw_score") -> DataFrame:
     """The motif of the highest score of each record; equal scores: the first by accession."""
-    return hits.groupBy(key).agg(F.max_by("motif_ac", F.struct(F.col(score), F.hash("motif_ac"))).alias("family"), F.max(score).alias(score))
+    return hits.groupBy(key).agg(F.min_by("motif_ac", F.struct(-F.col(score), "motif_ac")).alias("family"), F.max(score).alias(score))
 
 
 def recover(df: DataFrame, motif: Motif, key: str = "seq_id", column: str = "sequence") -> DataFrame:

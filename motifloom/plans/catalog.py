@@ -215,7 +215,7 @@ def h_score(spark, sf_dir):
     return search.with_h_score(_docs(spark, sf_dir), profile()).select("doc_id", "h_score")
 
 
-@query()
+@query(f"SELECT * FROM ({_H_SQL}) WHERE h_score >= {H_CUTOFF}")
 def h_filter(spark, sf_dir):
     scored = search.with_h_score(_docs(spark, sf_dir), profile()).select("doc_id", "h_score")
     return scored.where(F.col("h_score") >= H_CUTOFF)
@@ -253,7 +253,7 @@ def stage_counts(spark, sf_dir):
     return search.stage_counts(df, "h_score", H_CUTOFF, "score", CUTOFF)
 
 
-@query()
+@query(f"SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_H_SQL}) WHERE h_score >= {H_CUTOFF})")
 def survivors(spark, sf_dir):
     hits = h_filter(spark, sf_dir)
     return search.survivors(_t(spark, sf_dir, "documents"), hits, "doc_id").select("doc_id", "source", "lang")
@@ -293,18 +293,18 @@ def levels(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", normalize.level(s, cuts).alias("level"), normalize.level(s, cuts, "file_order").alias("level_by_file"), normalize.level_tag(s, [(50000, "?"), (150000, "!"), (300000, "!!")]).alias("level_tag"))
 
 
-# rules on hits: the lines of an order as hits in a sequence
+# rules on hits: the lines of an order as hits in a sequence; scores are in 1024ths, so that sums are exact in any order
 
 _HITS = """
 WITH hits AS (SELECT l_orderkey AS seq_id, 'M' || (l_suppkey % 4)::VARCHAR AS motif_ac, l_partkey % 100 AS "begin", l_partkey % 100 + l_quantity::BIGINT AS "end",
-  round(l_extendedprice / 1000, 3) AS norm, ((l_partkey + l_linenumber) % 4 - 2)::INTEGER AS level, '#' AS level_tag FROM lineitem)"""
+  floor(l_extendedprice) / 1024 AS norm, ((l_partkey + l_linenumber) % 4 - 2)::INTEGER AS level, '#' AS level_tag FROM lineitem)"""
 
 
 def _hits(spark, sf_dir):
     begin = F.col("l_partkey") % 100
     return _t(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("seq_id"), F.concat(F.lit("M"), (F.col("l_suppkey") % 4).cast("string")).alias("motif_ac"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long")).alias("end"),
-        F.round(F.col("l_extendedprice") / 1000, 3).alias("norm"), ((F.col("l_partkey") + F.col("l_linenumber")) % 4 - 2).cast("int").alias("level"), F.lit("#").alias("level_tag"),
+        (F.floor("l_extendedprice") / 1024).alias("norm"), ((F.col("l_partkey") + F.col("l_linenumber")) % 4 - 2).cast("int").alias("level"), F.lit("#").alias("level_tag"),
     )
 
 
@@ -314,13 +314,14 @@ _REST = 'seq_id, motif_ac, "begin", "end", norm'
 
 @query(_HITS + f"""
 , t AS (SELECT *, max(CASE WHEN motif_ac = 'M1' THEN level END) {_BY} >= 0 AND motif_ac = 'M0' AND level < 0 AS up FROM hits)
-SELECT {_REST}, level + CASE WHEN up THEN 1 ELSE 0 END AS level, CASE WHEN up THEN 'p' ELSE level_tag END AS level_tag FROM t""")
+SELECT {_REST}, level + CASE WHEN up THEN 1 ELSE 0 END AS level, CASE WHEN up THEN 'PROMOTED_BY_M1' ELSE level_tag END AS level_tag FROM t""")
 def promoted_by(spark, sf_dir):
     return postprocess.promoted_by(_hits(spark, sf_dir), "M0", "M1")
 
 
 @query(_HITS + f"""
-SELECT {_REST}, CASE WHEN motif_ac = 'M2' AND level >= 0 AND max(CASE WHEN motif_ac = 'M3' THEN level END) {_BY} >= 0 THEN -1 ELSE level END AS level, level_tag FROM hits""")
+, t AS (SELECT *, motif_ac = 'M2' AND level >= 0 AND coalesce(max(CASE WHEN motif_ac = 'M3' THEN level END) {_BY} >= 0, false) AS down FROM hits)
+SELECT {_REST}, CASE WHEN down THEN level - 1 ELSE level END AS level, CASE WHEN down THEN 'DEMOTED' ELSE level_tag END AS level_tag FROM t""")
 def demoted_by(spark, sf_dir):
     return postprocess.demoted_by(_hits(spark, sf_dir), "M2", "M3")
 
@@ -334,23 +335,25 @@ def evaluated_by(spark, sf_dir):
 
 @query(_HITS + f"""
 , n AS (SELECT *, row_number() OVER () AS id FROM hits),
-lost AS (SELECT CASE WHEN a.norm < b.norm THEN a.id ELSE b.id END AS id, count(*) AS k FROM n a JOIN n b ON a.seq_id = b.seq_id AND a.motif_ac = 'M0' AND b.motif_ac = 'M1'
-  AND a."begin" + 2 <= b."end" AND a."end" - 2 >= b."begin" AND a.norm <> b.norm GROUP BY 1)
-SELECT {_REST}, (level - coalesce(k, 0))::INTEGER AS level, level_tag FROM n LEFT JOIN lost USING (id)""")
+met AS (SELECT a.id AS a, b.id AS b, a.norm AS an, b.norm AS bn FROM n a JOIN n b ON a.seq_id = b.seq_id AND a.motif_ac = 'M0' AND b.motif_ac = 'M1'
+  AND a."begin" + 2 <= a."end" - 2 AND a."begin" + 2 <= b."end" AND a."end" - 2 >= b."begin"),
+lost AS (SELECT CASE WHEN an < bn THEN a ELSE b END AS id, CASE WHEN an < bn THEN 'M1' ELSE 'M0' END AS rival, count(*) AS k FROM met WHERE an <> bn GROUP BY 1, 2)
+SELECT {_REST}, (level - coalesce(k, 0))::INTEGER AS level, CASE WHEN k > 0 THEN 'OUTCOMPETED_HIT_BY_' || rival ELSE level_tag END AS level_tag FROM n LEFT JOIN lost USING (id)""")
 def competes_hit(spark, sf_dir):
     return postprocess.competes_hit_with(_hits(spark, sf_dir), "M0", "M1", slack=2)
 
 
 @query(_HITS + f"""
-, t AS (SELECT *, max(CASE WHEN motif_ac = 'M0' THEN norm END) {_BY} AS a, max(CASE WHEN motif_ac = 'M1' THEN norm END) {_BY} AS b FROM hits)
-SELECT {_REST}, CASE WHEN (motif_ac = 'M0' AND a <= b) OR (motif_ac = 'M1' AND b < a) THEN level - 1 ELSE level END AS level, level_tag FROM t""")
+, t AS (SELECT *, max(CASE WHEN motif_ac = 'M0' THEN norm END) {_BY} AS a, max(CASE WHEN motif_ac = 'M1' THEN norm END) {_BY} AS b FROM hits),
+x AS (SELECT *, CASE WHEN motif_ac = 'M0' AND a <= b THEN 'M1' WHEN motif_ac = 'M1' AND b < a THEN 'M0' END AS rival FROM t)
+SELECT {_REST}, CASE WHEN rival IS NULL THEN level ELSE level - 1 END AS level, CASE WHEN rival IS NULL THEN level_tag ELSE 'OUTCOMPETED_SEQ_BY_' || rival END AS level_tag FROM x""")
 def competes_seq(spark, sf_dir):
     return postprocess.competes_seq_with(_hits(spark, sf_dir), "M0", "M1")
 
 
 @query(_HITS + f"""
-SELECT {_REST}, CASE WHEN motif_ac = 'M0' AND level < 0 AND count_if(motif_ac = 'M0') {_BY} > 1 AND max(CASE WHEN motif_ac = 'M1' THEN norm END) {_BY} >= 30
-  THEN level + 1 ELSE level END AS level, level_tag FROM hits""")
+, t AS (SELECT *, coalesce(motif_ac = 'M0' AND level < 0 AND count_if(motif_ac = 'M0') {_BY} > 1 AND max(CASE WHEN motif_ac = 'M1' THEN norm END) {_BY} >= 30, false) AS up FROM hits)
+SELECT {_REST}, CASE WHEN up THEN level + 1 ELSE level END AS level, CASE WHEN up THEN 'PROMOTED_REPEAT' ELSE level_tag END AS level_tag FROM t""")
 def promote_repeat(spark, sf_dir):
     return postprocess.promote_repeat(_hits(spark, sf_dir), "M0", "M1", 30)
 
@@ -363,6 +366,43 @@ def repeat_domain(spark, sf_dir):
     return postprocess.repeat_domain(_hits(spark, sf_dir), "M0", 60)
 
 
+@query(_HITS + f"""
+SELECT {_REST}, CASE WHEN up OR more THEN level + 1 ELSE level END AS level, CASE WHEN up THEN '?R' WHEN more THEN '?r' ELSE level_tag END AS level_tag FROM (
+  SELECT *, motif_ac = 'M1' AND level < 0 AND top >= 0 AS up, motif_ac = 'M1' AND level < 0 AND top < 0 AND total >= 40 AS more FROM (
+    SELECT *, max(CASE WHEN motif_ac = 'M1' THEN level END) {_BY} AS top, sum(CASE WHEN motif_ac = 'M1' THEN norm END) {_BY} AS total FROM hits))""")
+def repeat_domain_every(spark, sf_dir):
+    """The rule that a '!' cutoff asks for when all profiles are taken as repeats."""
+    cutoffs = [{"level": -1, "n_score": [15.0], "text": "'?'"}, {"level": 0, "n_score": [25.0], "text": "'!'"}]
+    return postprocess.apply(_hits(spark, sf_dir), postprocess.implicit_rules("M1", cutoffs, every=True))
+
+
+_BUMP = "(CASE WHEN ({x}) = {m}.mid THEN 1.0::DOUBLE ELSE (sin(2 * pi() * (({x}) - {m}.mid) / {m}.w) / (2 * pi() * (({x}) - {m}.mid) / {m}.w)) ** 2 END * {m}.raw / 100000)"
+
+
+@query(_HITS.replace("AS norm", "AS norm, l_extendedprice AS raw") + """
+, own AS (SELECT row_number() OVER () AS id, seq_id, "begin", "end", level, raw, ("end" - "begin" + 1) AS w, ("end" - "begin" + 1) / 2.0 + "begin" AS mid FROM hits WHERE motif_ac = 'M0'),
+cutup AS (SELECT *, CASE WHEN mid - lag(mid) OVER o > 30 OR lag(mid) OVER o IS NULL THEN 1 ELSE 0 END AS s FROM own WINDOW o AS (PARTITION BY seq_id ORDER BY "begin", "end")),
+isle AS (SELECT *, sum(s) OVER (PARTITION BY seq_id ORDER BY "begin", "end") AS isle FROM cutup),
+placed AS (SELECT *, row_number() OVER o AS g, count(*) OVER (PARTITION BY seq_id, isle) AS n,
+  first("begin") OVER o AS low, last("end") OVER (PARTITION BY seq_id, isle ORDER BY "begin", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS high FROM isle WINDOW o AS (PARTITION BY seq_id, isle ORDER BY "begin", "end")),
+paired AS (SELECT m.seq_id, m.isle, m.low, m.high, m.mid AS m_mid, m.w AS m_w, m.raw AS m_raw, p.mid AS p_mid, p.w AS p_w, p.raw AS p_raw, CASE WHEN m.g = 1 THEN 1 ELSE -1 END AS k
+  FROM placed m JOIN placed p ON m.seq_id = p.seq_id AND m.isle = p.isle AND p.g = CASE WHEN m.g = 1 THEN 2 ELSE m.g - 1 END),
+walked AS (SELECT *, unnest(range(low, high + 1)) AS x FROM paired),
+sums AS (SELECT seq_id, isle, x, low, high, sum(BUMPM) AS y, sum(BUMPP) AS yk FROM walked GROUP BY ALL),
+areas AS (SELECT seq_id, isle, sum(y * yk * CASE WHEN x = low OR x = high THEN 0.5 ELSE 1 END) AS area FROM sums GROUP BY ALL)
+SELECT i.seq_id, i."begin", i."end", (CASE WHEN level >= 0 THEN level WHEN area > 0.5 THEN 0 ELSE -2 END)::INTEGER AS level,
+  CASE WHEN level >= 0 THEN '#' WHEN area > 0.5 THEN 'PROMOTED_FTREP' ELSE 'DEMOTED_FTREP' END AS level_tag
+FROM isle i LEFT JOIN areas a ON a.seq_id = i.seq_id AND a.isle = i.isle"""
+    .replace("BUMPM", _BUMP.format(x="x", m="m").replace("m.", "m_")).replace("BUMPP", _BUMP.format(x="x + 20 * k", m="p").replace("p.", "p_")))
+def flank_repeats(spark, sf_dir):
+    line = _t(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("int")
+    begin = F.col("l_partkey") % 100
+    hits = line.select(F.col("l_orderkey").alias("seq_id"), F.concat(F.lit("M"), (F.col("l_suppkey") % 4).cast("string")).alias("motif_ac"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long")).alias("end"), none.alias("pf_begin"), none.alias("pf_end"), F.col("l_extendedprice").alias("raw"), F.lit(0.0).alias("norm"), ((F.col("l_partkey") + F.col("l_linenumber")) % 4 - 2).cast("int").alias("level"), F.lit("#").alias("level_tag"))
+    judged = postprocess.flank_repeats(hits.where("motif_ac = 'M0'"), "M0", 100000, 0.5, 20, 1.5)
+    return judged.select("seq_id", "begin", "end", "level", "level_tag")
+
+
 @query(_HITS + """
 , m AS (SELECT *, ("begin" + "end") / 2 AS mid FROM hits),
 f AS (SELECT *, CASE WHEN mid - lag(mid) OVER w > 20 OR lag(mid) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM m WINDOW w AS (PARTITION BY seq_id, motif_ac ORDER BY "begin", "end"))
@@ -372,9 +412,9 @@ def islands(spark, sf_dir):
 
 
 @query(_HITS + """
-SELECT seq_id, motif_ac, max(norm) AS best, round(sum(norm), 3) AS total, count(*) AS n FROM hits GROUP BY ALL""")
+SELECT seq_id, motif_ac, max(norm) AS best, sum(norm) AS total, count(*) AS n FROM hits GROUP BY ALL""")
 def motif_totals(spark, sf_dir):
-    return _hits(spark, sf_dir).groupBy("seq_id", "motif_ac").agg(F.max("norm").alias("best"), F.round(F.sum("norm"), 3).alias("total"), F.count("*").alias("n"))
+    return _hits(spark, sf_dir).groupBy("seq_id", "motif_ac").agg(F.max("norm").alias("best"), F.sum("norm").alias("total"), F.count("*").alias("n"))
 
 
 @query(_HITS + "SELECT motif_ac, count(*) AS n_hits, count(DISTINCT seq_id) AS n_sequences FROM hits GROUP BY motif_ac")
@@ -418,10 +458,8 @@ WITH e AS (SELECT user_id, epoch(ts) AS x, value AS y, event_id FROM events),
 p AS (SELECT user_id, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS part FROM e WINDOW w AS (PARTITION BY user_id ORDER BY x, event_id))
 SELECT user_id, round(coalesce(sum(part), 0), 1) AS area FROM p GROUP BY user_id""")
 def trapezoid(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select("user_id", F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), "event_id").alias("o"), F.col("value").alias("y"))
-    w = W.partitionBy("user_id").orderBy("o")
-    part = (F.col("o.x") - F.lag("o.x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2
-    return e.withColumn("part", part).groupBy("user_id").agg(F.round(F.coalesce(F.sum("part"), F.lit(0.0)), 1).alias("area"))
+    e = _t(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"), "event_id", F.col("value").alias("y"))
+    return postprocess.trapezoid(e, "x", "y", ["user_id"], ties="event_id").withColumn("area", F.round("area", 1))
 
 
 # calibration: prices as scores
@@ -466,7 +504,7 @@ def extreme_values(spark, sf_dir):
 
 
 @query("""
-SELECT quality, count(*) AS n, count_if(toxic = 1) AS n_toxic, count(d.doc_id) AS n_found FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang = 'en' GROUP BY quality""")
+SELECT quality, count(*) AS n, count_if(toxic = 1) AS n_toxic, count(d.doc_id) AS n_found FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id GROUP BY quality""")
 def truth_tally(spark, sf_dir):
-    found = _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("found"))
+    found = _t(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("found"))
     return _t(spark, sf_dir, "labels").join(found, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count("found").alias("n_found"))

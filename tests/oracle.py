@@ -6,7 +6,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _key(row):
-    return tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in row)
+    return tuple(f"{v:.12g}" if isinstance(v, float) else str(v) for v in row)
 
 
 def duck(sf_dir):
