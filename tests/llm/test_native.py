@@ -126,3 +126,56 @@ def test_chat(spark):
 def test_arguments(spark, arguments, good):
     df = spark.createDataFrame([("search", arguments)], "n string, a string")
     assert df.select(chat.valid_arguments(F.col("n"), F.col("a"))).first()[0] is good
+
+
+def plain_chat(rows):
+    """(order_turn, phase, linked) of each message by following links one at a time; rows: conv, turn, text."""
+    seen = {}
+    for conv, turn, text in rows:
+        m = json.loads(text)
+        seen[conv, turn, text] = (conv, turn, m.get("tool_call_id"), [c["id"] for c in m.get("tool_calls", [])])
+    out = {}
+    for me, (conv, turn, result, ids) in seen.items():
+        up, path, top, depth, cycle = me, {me}, turn, 0, False
+        while True:
+            c, _, r, _ = seen[up]
+            makers = sorted(((seen[k][1], k) for k in seen if c is not None and seen[k][0] == c and r is not None and r in seen[k][3]), key=lambda t: t[0])
+            if not makers or makers[0][1] == up:
+                break
+            up = makers[0][1]
+            depth, top = depth + 1, max(top, seen[up][1])
+            if up in path:
+                cycle = True
+                break
+            path.add(up)
+        made = [k for k in seen if conv is not None and seen[k][0] == conv and result in seen[k][3]]
+        own = result is None or bool(made) and min(made, key=lambda k: seen[k][1]) != me
+        answered = all(any(conv is not None and k != me and seen[k][0] == conv and seen[k][2] == i for k in seen) for i in ids)
+        out[me] = ((turn, 1) if cycle else (top, max(depth, int(result is not None)))) + (own and answered,)
+    return out
+
+
+def test_chat_chains_and_cycles(spark):
+    call = lambda *ids: [{"id": i, "name": "search", "arguments": {"query": "q"}} for i in ids]
+    both = lambda result, *ids: json.dumps({"tool_call_id": result, "tool_calls": call(*ids)} if ids else {"tool_call_id": result})
+    calls = lambda *ids: json.dumps({"tool_calls": call(*ids)})
+    rows = [(1, 9, calls("a")), (1, 5, both("a", "b", "c")), (1, 4, both("b", "d")), (1, 3, both("d")), (1, 12, both("c"))]
+    rows += [(2, 1, both("x", "y")), (2, 2, both("y", "x")), (2, 3, both("x")), (2, 4, calls("z", "w")), (2, 5, both("z"))]  # a cycle, one below it, a call without result
+    rows += [(3, 6, calls("k")), (3, 2, calls("k")), (3, 1, both("k")), (3, 7, both("s", "s")), (3, 8, both("gone")), (None, 1, calls("k")), (None, 2, both("k"))]
+    rows += [(4, 100 - i, both(f"n{i}", f"n{i + 1}")) for i in range(1, 40)] + [(4, 100, calls("n1")), (4, 0, both("n40"))]
+    rng = __import__("random").Random(3)
+    for conv in range(10, 40):
+        for turn in range(8):
+            ids = rng.sample("abcdef", rng.randint(0, 2))
+            rows.append((conv, turn, both(rng.choice("abcdef"), *ids) if rng.random() < 0.7 else calls(*(ids or ["a"]))))
+    df = spark.createDataFrame([(c, t, "tool", x) for c, t, x in rows + rows[:3]], "conv_id long, turn long, role string, text string")
+    got = chat.format_chat(df).collect()
+    want = plain_chat(rows)
+    assert len(got) == len(rows) + 3
+    by_line = {}
+    for (conv, turn, text), value in want.items():
+        by_line.setdefault((conv, turn), []).append(value)
+    for r in got:
+        assert (r.order_turn, r.phase, r.linked) in by_line[r.conv_id, r.turn], (r, by_line[r.conv_id, r.turn])
+    assert {(r.turn, r.order_turn, r.phase) for r in got if r.conv_id == 1} == {(9, 9, 0), (5, 9, 1), (4, 9, 2), (3, 9, 3), (12, 12, 2)}
+    assert all(r.order_turn == 100 for r in got if r.conv_id == 4) and [r.phase for r in got if r.conv_id == 4] == list(range(41))
