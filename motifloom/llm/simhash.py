@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks, cut
@@ -206,8 +205,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     own = cut(fingerprints(docs, width), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(fingerprint_links(nodes, radius))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join shuffles both sides for itself and the fingerprints of a large component can be split
+    named = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = named.join(ids, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -215,10 +215,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id, with all its columns.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id can't
-    be named as copies and stay.
+    Of rows that share that doc_id the one of the shortest text stays, of
+    equally long ones that of the least hash of text, then of all columns
+    (maps aside). Rows with a null doc_id can't be named as copies and stay.
     """
-    firsts = near_duplicates(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_least_id")).distinct()
-    kept = docs.join(firsts, docs.doc_id.cast("long") == firsts._least_id)
-    kept = kept.withColumn("_row_no", F.row_number().over(W.partitionBy("_least_id").orderBy(F.length("text")))).where("_row_no = 1").drop("_row_no", "_least_id")
+    firsts = near_duplicates(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rank = F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("t"), F.xxhash64(*plain).alias("a"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), rank.alias("rank"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(firsts, "id", "left_semi").groupBy("id").agg(F.min_by("row", "rank").alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
