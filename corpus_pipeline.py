@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept. Toxic documents go; of near-duplicates the one of the smallest id stays;
 documents with a benchmark passage go; personal data are masked; the last stage
-gives what the mix takes of each document, and where.
+gives what the mix takes of each document, where, and its masked text.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(docs, with_text=True)
 
 
 STAGES = [

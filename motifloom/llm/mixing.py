@@ -61,12 +61,14 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS)
     return filled.select("source", "source_size", F.when(F.col("full"), (2 * F.col("source_size")).cast("double")).otherwise(level).alias("target"), "lean")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, with_text: bool = False) -> DataFrame:
     """One row for each row of docs, sorted by training position.
 
     Columns: doc_id, source, size (words; null text: 0), source_size, target,
     taken (words the mix takes of it, at most twice its size), position (when
-    its first word is served, 0 to 1; null if none is taken).
+    its first word is served, 0 to 1; null if none is taken), position_again
+    (when its first word is served for the second time; null if taken is no
+    more than size), and, if asked for, text.
 
     Within a source documents are served in the order of md5(doc_id), pass
     after pass until the whole words of the target are taken; the last may be
@@ -77,7 +79,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS) -> Data
     all rows is spread over 4096 groups. An empty table gives no rows; a table
     without a word has targets of 0.
     """
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sizes")
+    more = ["text"] if with_text else []
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *more), "sizes")
     keyed = sizes.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -92,15 +95,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS) -> Data
     rows = rows.withColumns({"before": F.col("earlier") + F.col("within"), "passes": passes, "rest": want - passes * F.col("source_size")})
     last = F.least("size", F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("before")))
     rows = rows.withColumn("taken", F.col("passes") * F.col("size") + last)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", position(F.col("before"), F.col("target"), F.col("lean"), F.col("taken")).alias("position")).orderBy("position", "doc_id")
+    at = lambda before, some: F.when(some, position(before, F.col("target"), F.col("lean")))
+    own = at(F.col("before"), F.col("taken") > 0).alias("position"), at(F.col("before") + F.col("source_size"), F.col("taken") > F.col("size")).alias("position_again")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", *own, *more).orderBy("position", "doc_id")
 
 
-def position(before: Column, target: Column, lean: Column, taken: Column) -> Column:
+def position(before: Column, target: Column, lean: Column) -> Column:
     """The t at which ``before`` words of a source have been served."""
     share = before.cast("double") / target
     start = F.lit(1.0) - lean
     bent = (F.sqrt(start * start + F.lit(4.0) * lean * share) - start) / (F.lit(2.0) * lean)
-    return F.when(taken > 0, F.round(F.abs(F.when(lean == 0.0, share).otherwise(bent)), 6))
+    return F.round(F.abs(F.when(lean == 0.0, share).otherwise(bent)), 6)
 
 
 SQL = r"""
@@ -133,6 +138,8 @@ took AS (
   SELECT *, CAST(passes * size + least(size, greatest(0, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken FROM passed)
 SELECT doc_id, source, size, source_size, target, taken,
   CASE WHEN taken > 0 THEN round(abs(CASE WHEN lean = 0 THEN CAST(before AS DOUBLE) / target
-    ELSE (sqrt((1.0::DOUBLE - lean) * (1.0::DOUBLE - lean) + 4.0::DOUBLE * lean * (CAST(before AS DOUBLE) / target)) - (1.0::DOUBLE - lean)) / (2.0::DOUBLE * lean) END), 6) END AS position
+    ELSE (sqrt((1.0::DOUBLE - lean) * (1.0::DOUBLE - lean) + 4.0::DOUBLE * lean * (CAST(before AS DOUBLE) / target)) - (1.0::DOUBLE - lean)) / (2.0::DOUBLE * lean) END), 6) END AS position,
+  CASE WHEN taken > size THEN round(abs(CASE WHEN lean = 0 THEN CAST(before + source_size AS DOUBLE) / target
+    ELSE (sqrt((1.0::DOUBLE - lean) * (1.0::DOUBLE - lean) + 4.0::DOUBLE * lean * (CAST(before + source_size AS DOUBLE) / target)) - (1.0::DOUBLE - lean)) / (2.0::DOUBLE * lean) END), 6) END AS position_again
 FROM took
 """
