@@ -2,8 +2,8 @@
 
 For each item of the benchmark, every window of a document with as many words
 as the item and at least one shingle of it gets a SimHash fingerprint. A
-multi-index over fingerprint blocks gives all items of that length within the
-Hamming radius, and the exact weighted-shingle similarity of window and item
+multi-index over fingerprint blocks gives, of the items of that length that share
+a shingle with a run of windows, all within the Hamming radius, and the exact weighted-shingle similarity of window and item
 decides. Windows without a shingle of an item have similarity zero with it, so
 passing them over loses nothing. A document with fewer words than the item is
 one window as a whole, if it has words enough to reach the threshold.
@@ -66,15 +66,16 @@ class MultiIndex:
         own = fps.view(np.uint8).reshape(-1, 8)
         self.tables = [near[:, own[:, b]] for b in range(blocks)]
 
-    def query(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, entry) pairs within the radius, all of them."""
+    def query(self, fps: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, entry) pairs within the radius, all of them; or of the entries ``among``."""
+        among = np.arange(len(self.fps)) if among is None else among
         own = fps.view(np.uint8).reshape(-1, 8)
-        found = np.zeros((len(fps), len(self.fps)), bool)
+        found = np.zeros((len(fps), len(among)), bool)
         for b, t in enumerate(self.tables):
-            found |= t[own[:, b]]
+            found |= t[own[:, b][:, None], among]
         i, j = np.nonzero(found)
-        close = np.bitwise_count(fps[i] ^ self.fps[j]) <= self.radius
-        return i[close], j[close]
+        close = np.bitwise_count(fps[i] ^ self.fps[among[j]]) <= self.radius
+        return i[close], among[j[close]]
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -107,13 +108,14 @@ class Items:
             keys = np.array(sorted(owners), np.uint64)
             seen = np.zeros(1 << 20, bool)
             seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.widths[width] = (keys, seen, [np.array(sorted({int(self.words[k]) for k in owners[h]})) for h in keys.tolist()])
+            self.widths[width] = (keys, seen, [sorted(owners[h]) for h in keys.tolist()])
+        self.entry = {k: e for entries in by_words.values() for e, (k, _) in enumerate(entries)}
         for n, entries in by_words.items():
             self.index[n] = (MultiIndex(np.array([f for _, f in entries], np.uint64), radius, BLOCKS), [k for k, _ in entries])
 
     def search(self, hashes: np.ndarray, base: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, similarity, first word) of each item's best window in each text that reaches the threshold."""
-        for width, (keys, seen, lengths) in self.widths.items():
+        for width, (keys, seen, posted) in self.widths.items():
             sh = shingle_hashes(hashes, width)
             if not len(sh) or not len(keys):
                 continue
@@ -124,24 +126,24 @@ class Items:
             text = np.searchsorted(base, at, "right") - 1
             whole = at + width <= base[text + 1]
             at, spot, text = at[whole], spot[whole], text[whole]
-            anchors = defaultdict(list)  # (text, words of the item) -> places
+            anchors = defaultdict(list)  # (text, words of the item) -> places and items with a shingle there
             for p, s, t in zip(at.tolist(), spot.tolist(), text.tolist(), strict=True):
-                for n in lengths[s].tolist():
-                    anchors[t, n].append(p)
+                for k in posted[s]:
+                    anchors[t, int(self.words[k])].append((p, self.entry[k]))
             for (t, n), places in anchors.items():
                 if base[t + 1] - base[t] < n:
-                    yield from self._whole(sh, width, t, n, base, threshold)
+                    yield from self._whole(sh, width, t, n, np.unique([e for _, e in places]), base, threshold)
                 else:
                     yield from self._windows(sh, width, t, n, places, base, threshold)
 
-    def _whole(self, sh, width, t, n, base, threshold):
+    def _whole(self, sh, width, t, n, among, base, threshold):
         """A text with fewer words than an item, as it is; the share of its shingles bounds the similarity."""
         low, size = int(base[t]), int(base[t + 1] - base[t]) - width + 1
         if size < threshold * (n - width + 1):
             return
         index, entries = self.index[n]
         own = sh[low : low + size]
-        for _, e in zip(*index.query(simhash(own, size)), strict=True):
+        for _, e in zip(*index.query(simhash(own, size), among), strict=True):
             sim = similarity(Counter(own.tolist()), self.counts[entries[e]])
             if sim >= threshold:
                 yield t, entries[e], sim, 0
@@ -151,19 +153,20 @@ class Items:
         index, entries = self.index[n]
         best: dict[int, tuple[float, int]] = {}
         begins, k = [], 0
-        while k < len(places):  # windows that hold an anchor, as runs of first words
-            first, last = max(low, places[k] - size + 1), min(high, places[k])
-            while k + 1 < len(places) and places[k + 1] - size + 1 <= last + 1:
+        while k < len(places):  # windows that hold an anchor, as runs of first words, and the items of their anchors
+            first, last, among = max(low, places[k][0] - size + 1), min(high, places[k][0]), {places[k][1]}
+            while k + 1 < len(places) and places[k + 1][0] - size + 1 <= last + 1:
                 k += 1
-                last = min(high, places[k])
+                last = min(high, places[k][0])
+                among.add(places[k][1])
             if last >= first:
-                begins.append((first, last))
+                begins.append((first, last, np.array(sorted(among))))
             k += 1
-        for first, last in begins:
+        for first, last, among in begins:
             for part in range(first, last + 1, 4096):
                 stop = min(last, part + 4095)
                 fps = simhash(sh[part : stop + size], size)
-                for w, e in zip(*index.query(fps), strict=True):
+                for w, e in zip(*index.query(fps, among), strict=True):
                     item = entries[e]
                     sim = similarity(Counter(sh[part + w : part + w + size].tolist()), self.counts[item])
                     if sim >= threshold and (item not in best or (sim, -part - w) > best[item]):
