@@ -28,6 +28,8 @@ from .common import chunks
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training reads at most.
 SAMPLE = 3000
+#: Characters of a text in it, at most.
+SAMPLE_CHARS = 20_000
 #: Rounds of message passing, the share of a new message in each, and the probability from which a label counts.
 ROUNDS, FRESH, SURE = 20, 0.6, 0.5
 
@@ -239,10 +241,15 @@ def added_spans(graph: Graph, texts: list[str], bases: list, weights: dict | Non
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """Weights from a bounded sample of documents, chosen by a hash of doc_id at a rate that the row count sets."""
+    """Weights from a bounded sample of documents, chosen by a hash of doc_id at a rate that the row count sets.
+
+    Of those the first by hashes of id and text count, so reruns agree; texts
+    of over ``SAMPLE_CHARS`` characters are left out of the sample.
+    """
     rate = max(1, -(-docs.count() * 2 // sample))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).where(F.col("text").rlike("[0-9@]")).limit(sample).collect()
+    rows = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(3)), F.xxhash64("text")).limit(sample).collect()
     graph = Graph()
     for k, r in enumerate(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))):
         graph.add(k, r.text, base_spans(r.text))

@@ -180,8 +180,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_other: int = MAX_OTHER) -> Model | None:
     """Fit on at most so many labelled and unlabelled documents.
 
-    Labelled ones are the first by a hash of doc_id, unlabelled ones those of a
-    hash class whose number the row count sets; held-out ids (crc32 of the id
+    Labelled ones are the first by a hash of doc_id, unlabelled ones the first of a
+    hash class whose number the row count sets (of repeated ids no more rows count than that); held-out ids (crc32 of the id
     as text a multiple of 5) lend no label. Only features reach the driver.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
@@ -189,8 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rate = max(1, -(-docs.count() * 3 // (2 * max_other)))
     own = _own(docs)
     first = own.join(F.broadcast(named), "doc_id").select("doc_id", "text", "lang", "source", "y")
-    second = own.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rate)) == 0).limit(max_other).withColumn("y", F.lit(None).cast("int"))
-    rows = first.unionByName(second).mapInArrow(_features, "doc_id long, y int, x array<double>").collect()
+    second = own.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rate)) == 0).withColumn("y", F.lit(None).cast("int"))
+    features = lambda df: df.mapInArrow(_features, "doc_id long, y int, x array<double>")
+    mine = features(first).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_labelled)
+    rows = mine.unionByName(features(second).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_other)).collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, tuple(r.x)))
     mine = [r for r in rows if r.y is not None]
     seen = {r.doc_id for r in mine}
