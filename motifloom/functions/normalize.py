@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -40,6 +41,53 @@ def heuristic_cutoff(cutoff: Column, r1: float, r2: float) -> Column:
     return (cutoff * r2 + r1 + 0.5).cast("int")
 
 
+def choose_mode(normalization: Sequence[dict], mode: int | None = None) -> dict:
+    """The normalisation of a mode, or the one of least priority number (of equal ones the first)."""
+    if not normalization:
+        raise ValueError("no normalisation")
+    if mode is None:
+        return min(normalization, key=lambda n: n.get("priority") or 0)
+    found = [n for n in normalization if n["mode"] == mode]
+    if not found:
+        raise ValueError(f"no normalisation of mode {mode}")
+    return found[0]
+
+
+def choose_level(cutoffs: Sequence[dict], level: int = 0, nearest: bool = False) -> dict:
+    """The cutoff of a level; with ``nearest``, where there is none, that of the closest level, the higher of two."""
+    found = [c for c in cutoffs if c["level"] == level]
+    if not found and nearest and cutoffs:
+        return min(cutoffs, key=lambda c: (abs(c["level"] - level), -c["level"]))
+    if not found:
+        raise ValueError(f"no cutoff of level {level}")
+    return found[0]
+
+
+def search_cutoffs(normalization: Sequence[dict], cutoffs: Sequence[dict], cutoff: str | float | None = None, mode: int | None = None, level: int = 0, nearest: bool = False) -> tuple[int, int | None]:
+    """(raw, prefilter) cutoffs of a search.
+
+    Without ``cutoff`` those of the level. A whole number is a raw cutoff, one
+    with a point a normalised one of the mode, which must be linear. The
+    prefilter's follows from the raw one by the normalisation of the negative
+    mode, if there is one; else the level's serves for its own raw cutoff only.
+    """
+    own = next((c for c in cutoffs if c["level"] == level), None) if cutoff is not None else choose_level(cutoffs, level, nearest)
+    if cutoff is None:
+        raw = own["score"]
+    elif isinstance(cutoff, int) or isinstance(cutoff, str) and "." not in cutoff:
+        raw = int(cutoff)
+    else:
+        chosen = choose_mode([n for n in normalization if n["mode"] > 0], mode)
+        if chosen["function"] != "LINEAR":
+            raise ValueError("only a linear normalisation has a raw cutoff for all sequences")
+        raw = math.floor((float(cutoff) - chosen["r"][0]) / chosen["r"][1] + 0.5)
+    if own is not None and raw == own["score"] and own.get("h_score") is not None:
+        return raw, own["h_score"]
+    used = choose_mode([n for n in normalization if n["mode"] > 0], mode)["mode"] if any(n["mode"] > 0 for n in normalization) else 0
+    h = next((n for n in normalization if n["mode"] == -used and used), None)
+    return raw, int(raw * h["r"][1] + h["r"][0] + 0.5) if h else None
+
+
 def level(score: Column, cutoffs: Sequence[tuple[int, int]], rule: str = "highest") -> Column:
     """The level of a raw score given (level, least score) pairs.
 

@@ -107,13 +107,17 @@ def nearest_shares(candidates: DataFrame, sequences: DataFrame) -> DataFrame:
     """(seq_id, share): each candidate gives one, in equal parts, to the sequences at the least Hamming distance.
 
     Both have an id and an ``aligned`` string of one length; candidates are met
-    by (col, symbol) equality, so pairs that agree nowhere cost nothing.
+    by (col, symbol) equality, so pairs that agree nowhere cost nothing. A
+    candidate that agrees with none anywhere is as near to all of them.
     """
     letters = lambda df, key: df.select(key, F.posexplode(F.split("aligned", "")).alias("col", "symbol")).where("symbol != ''")
     same = letters(candidates, "cand_id").join(letters(sequences, "seq_id"), ["col", "symbol"]).groupBy("cand_id", "seq_id").agg(F.count("*").alias("same"))
     best = same.withColumn("k", F.rank().over(W.partitionBy("cand_id").orderBy(F.desc("same")))).where("k = 1")
     ties = best.groupBy("cand_id").agg(F.count("*").alias("ties"))
-    return best.join(ties, "cand_id").groupBy("seq_id").agg(F.sum(1.0 / F.col("ties")).alias("share"))
+    shares = best.join(ties, "cand_id").groupBy("seq_id").agg(F.sum(1.0 / F.col("ties")).alias("share"))
+    apart, n = candidates.join(ties, "cand_id", "left_anti").count(), sequences.count()
+    every = sequences.select("seq_id").join(shares, "seq_id", "left") if apart else shares
+    return every.select("seq_id", (F.coalesce("share", F.lit(0.0)) + F.lit(apart / n if apart and n else 0.0)).alias("share"))
 
 
 def weights(msa: DataFrame, shuffles: int = 100, total: float = 1.0, seed: int = 1) -> DataFrame:
@@ -154,6 +158,20 @@ def to_msa(matches: DataFrame) -> DataFrame:
     return each.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "piece"))), lambda x: x["piece"]), "").alias("aligned"))
 
 
+def edited(msa: DataFrame, gap: str = ".", case: str | None = None, longest: int | None = None, column: str = "aligned") -> DataFrame:
+    """Rows of an alignment with gaps written as ``gap``, letters in one case ('upper', 'lower'), and runs of
+    lower-case letters and dots over ``longest`` cut in their centre (an odd one longer on the left)."""
+    out = F.col(column)
+    if longest is not None:
+        pieces = F.regexp_extract_all(out, F.lit("([a-z.]+|[^a-z.]+)"), F.lit(1))
+        left, right = (longest + 1) // 2, longest // 2
+        short = lambda x: F.when(x.rlike("^[a-z.]") & (F.length(x) > longest), F.concat(F.substr(x, F.lit(1), F.lit(left)), F.right(x, F.lit(right)))).otherwise(x)
+        out = F.array_join(F.transform(pieces, short), "")
+    out = F.translate(out, ".-", gap * 2)
+    out = F.upper(out) if case == "upper" else F.lower(out) if case == "lower" else out
+    return msa.withColumn(column, out)
+
+
 def _log(p: float, scale: float) -> int:
     return NEG if p <= 0 else int(math.floor(scale * math.log(p) + 0.5))
 

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .kernels import Profile
+from .search import with_h_score, with_score
+
 
 def histogram(df: DataFrame, score: str, bin_width: float = 1.0) -> DataFrame:
     """(bin, n): counts of scores by whole bins."""
@@ -84,6 +87,38 @@ def evd_e(x: Column, mu: float, lam: float, n: Column | float) -> Column:
     return evd_p(x, mu, lam) * n
 
 
+def evd_density(x: Column, mu: float, lam: float) -> Column:
+    return lam * F.exp(-lam * (x - mu) - F.exp(-lam * (x - mu)))
+
+
+def poisson_p(e: Column) -> Column:
+    """Chance of one or more where ``e`` are expected."""
+    return -F.expm1(-e)
+
+
+def gaussian_fit(df: DataFrame, score: str) -> DataFrame:
+    """(mean, sd, n) of the scores; one score has no sd."""
+    return df.agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"), F.count(score).alias("n"))
+
+
+def evd_linear_fit(df: DataFrame, score: str, width: float = 1.0) -> DataFrame:
+    """(mu, lam, bins): a line through log(-log(share of scores up to a bin's end)) over the ends of all bins but the last."""
+    bins = histogram(df, score, width)
+    below = F.sum("n").over(W.orderBy("bin")) / F.sum("n").over(W.partitionBy())  # a row a bin
+    points = bins.select(((F.col("bin") + 1) * width).alias("x"), below.alias("share")).where("share < 1").select("x", F.log(-F.log("share")).alias("y"))
+    line = points.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("at0"), F.count("*").alias("bins"))
+    return line.select((-F.col("at0") / F.col("slope")).alias("mu"), (-F.col("slope")).alias("lam"), "bins")
+
+
+def evd_chi2(df: DataFrame, score: str, mu: float, lam: float, width: float = 1.0, least: float = 5.0) -> DataFrame:
+    """(chi2, bins): the histogram against an extreme-value distribution, over bins where ``least`` or more are expected."""
+    bins = histogram(df, score, width)
+    low, high = F.col("bin") * width, (F.col("bin") + 1) * width
+    expected = (evd_cdf(high, mu, lam) - evd_cdf(low, mu, lam)) * F.sum("n").over(W.partitionBy())
+    each = bins.withColumn("e", expected).where(F.col("e") >= least)
+    return each.agg(F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e")).alias("chi2"), F.count("*").alias("bins"))
+
+
 def evd_fit(x: np.ndarray, n: np.ndarray, censored_at: float | None = None) -> tuple[float, float]:
     """Maximum-likelihood (mu, lambda) from values and counts, by Newton steps on lambda.
 
@@ -179,3 +214,23 @@ def refresh_cutoffs(cutoffs: list[dict], mode: int, r: tuple[float, float], h: t
                     raise ValueError(f"prefilter cutoff of level {c['level']} isn't positive")
         out.append(c)
     return out
+
+
+def calibrate(profile: Profile, library: DataFrame, family: DataFrame, cutoffs: list[dict], mode: int = 1, residues: float | None = None, tau: float = 0.05, most: int = 20_000) -> tuple[dict, DataFrame]:
+    """Normalisation and cutoffs of a profile from scores: ({r, h, cutoffs}, the pairs of scores).
+
+    ``library``: random or shuffled sequences; the line of their best scores'
+    ranks gives the normalisation. ``family``: true sequences or mutants of
+    them; the ``tau`` quantile of their prefilter score given the exact one, on
+    at most ``most`` of them by a hash of the sequence, gives the prefilter's
+    line. The pairs (sequence, score, h_score) are what the second fit saw.
+    """
+    scored = with_score(library.select("sequence"), profile).where("score IS NOT NULL")
+    if residues is None:
+        residues = float(library.agg(F.sum(F.length("sequence"))).first()[0] or 0)
+    line = rank_regression(scored, "score", residues=residues).first()
+    pairs = with_score(with_h_score(family.select("sequence"), profile), profile).where("score IS NOT NULL").select("sequence", "score", "h_score")
+    some = pairs.orderBy(F.xxhash64("sequence"), "sequence").limit(most).select("score", "h_score").collect()
+    h = quantile_regression(np.array([r.score for r in some], float), np.array([r.h_score for r in some], float), tau)
+    r = (line.r1, line.r2)
+    return {"r": r, "h": h, "cutoffs": refresh_cutoffs(cutoffs, mode, r, h)}, pairs

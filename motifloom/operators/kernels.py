@@ -84,6 +84,13 @@ class Profile:
         )
 
 
+def complemented(p: Profile) -> Profile:
+    """The profile that reads the complement strand's letters in their place: columns of complementary bases change places."""
+    other = dict(zip("ACGTMKRYVBHD", "TGCAKMYRBVDH", strict=True))
+    at = [0, *(p.alphabet.index(other.get(a, a)) + 1 if other.get(a, a) in p.alphabet else i + 1 for i, a in enumerate(p.alphabet))]
+    return replace(p, match=p.match[:, at], insert=p.insert[:, at])
+
+
 def linear(match: np.ndarray, alphabet: str, open_gap: int = -12, extend: int = -3, **more) -> Profile:
     """A local profile with one cost of opening and one of extending gaps."""
     size, letters = match.shape
@@ -155,8 +162,11 @@ def scores(p: Profile, codes: list[np.ndarray], cutoff: int | None = None) -> np
     return best_ends(p, codes, cutoff=cutoff)[0]
 
 
-def best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | None = None, first: np.ndarray | None = None, last: np.ndarray | None = None, cutoff: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(score, letters up to its end) of each sequence's best alignment, the earliest of equal ones.
+def best_ends(
+    p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | None = None, first: np.ndarray | None = None, last: np.ndarray | None = None, cutoff: int | None = None, others: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(score, letters up to its end) of each sequence's best alignment, the earliest of equal ones; ``others``, a list of
+    the sequences' length, is given all ends of alignments as good.
 
     ``first`` and ``last`` tell whether each begins and ends its sequence, or
     is a part of it; letters that are ``locked`` can't be used inside the
@@ -173,7 +183,7 @@ def best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | No
         while to < len(order) and (to + 1 - at) * len(codes[order[to]]) <= BLOCK and len(codes[order[to]]) <= max(64, least * 5 // 4):
             to += 1
         part = order[at:to]
-        score[part], end[part] = _best_ends(p, [codes[k] for k in part], [locked[k] for k in part] if locked else None, first[part], last[part], cutoff)
+        score[part], end[part] = _best_ends(p, [codes[k] for k in part], [locked[k] for k in part] if locked else None, first[part], last[part], cutoff, others, part)
         at = to
     return score, end
 
@@ -182,7 +192,7 @@ def _allowed(v) -> bool:
     return v > NEG // 2
 
 
-def _best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | None, first: np.ndarray, last: np.ndarray, cutoff: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | None, first: np.ndarray, last: np.ndarray, cutoff: int | None, others: list | None, names: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """The states of one profile position for all letters at once, position after position.
 
     Along the letters only insertions depend on each other: a running maximum
@@ -205,6 +215,7 @@ def _best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | N
     inner, final = ({s: p.leave(s, x) for s in STATES} for x in (False, True))
     best, at, done = np.full(n, NEG, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     rows = np.arange(n)
+    top = np.full((n, width + 1), NEG, kind) if others is not None else None
 
     def over(*terms):
         out = None
@@ -233,6 +244,13 @@ def _best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | N
         if state != "m":
             x = np.where((column >= 1) & (column <= sizes[rows, None]), x, kind(NEG))
         tips = np.where(last[rows], f, i)
+        if top is not None:
+            if _allowed(i):
+                body = x + kind(i)
+                body[np.arange(len(rows)), sizes[rows]] = NEG
+                np.maximum(top, body, out=top)
+            at_end = np.arange(len(rows)), sizes[rows]
+            top[at_end] = np.maximum(top[at_end], (x[at_end].astype(np.int64) + tips).clip(NEG))
         if (tips == i).all():
             j = x.argmax(axis=1)
             v = x[np.arange(len(rows)), j].astype(np.int64) + i
@@ -292,6 +310,9 @@ def _best_ends(p: Profile, codes: list[np.ndarray], locked: list[np.ndarray] | N
             lock = lock if lock is None else lock[live]
             if not len(rows):
                 break
+    if others is not None:
+        for r, name in enumerate(names):
+            others[name] = np.flatnonzero(top[r, : sizes[r] + 1] == best[r]) if _allowed(best[r]) else np.zeros(0, np.int64)
     return best, at
 
 
@@ -388,13 +409,15 @@ def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | Non
     return Match(score, begin, end, at + 1, final_at - size - 1, min(inside, default=begin), max(inside, default=end), "".join(reversed(letters)))
 
 
-def _traced(p: Profile, codes: np.ndarray, seq: str, score: int, end: int, locked: np.ndarray | None, first: bool, last: bool) -> Match:
-    """The path of the best alignment, of known score and end: sought in a stretch before its end, a longer one if it doesn't have the score."""
-    size = max(64, 2 * p.length)
+def _traced(p: Profile, codes: np.ndarray, seq: str, score: int, end: int, locked: np.ndarray | None, first: bool, last: bool) -> Match | None:
+    """The path of an alignment of this score and end, if there is one: sought in a stretch before its end, a longer one if it doesn't have the score."""
+    size = 2 * p.length + 8
     while True:
         low = max(0, end - size)
         m = best_match(p, codes[low:end], seq[low:end], None if locked is None else locked[low:end], first and low == 0, last and end == len(codes))
-        if low == 0 or m is not None and m.score == score:
+        if low == 0 and (m is None or m.score != score):
+            return None
+        if m is not None and m.score == score:
             return replace(m, begin=m.begin + low, end=m.end + low, protected_begin=m.protected_begin + low, protected_end=m.protected_end + low)
         size *= 4
 
@@ -439,15 +462,23 @@ def _apart(p: Profile, codes: list[np.ndarray], seqs: list[str], cutoff: int, li
     parts = [(k, 0, len(c)) for k, c in enumerate(codes)]
     while parts := [x for x in parts if x[2] > x[1]]:
         first, last = np.array([a == 0 for _, a, _ in parts]), np.array([b == len(codes[k]) for k, _, b in parts])
-        score, end = best_ends(p, [codes[k][a:b] for k, a, b in parts], None, first, last)
+        ends: list = [None] * len(parts)
+        score, _ = best_ends(p, [codes[k][a:b] for k, a, b in parts], None, first, last, others=ends)
         new = []
-        for (k, a, b), s, e, f, t in zip(parts, score.tolist(), end.tolist(), first.tolist(), last.tolist(), strict=True):
+        for (k, a, b), s, es, f, t in zip(parts, score.tolist(), ends, first.tolist(), last.tolist(), strict=True):
             if s < cutoff or s <= NEG // 2:
                 continue
-            m = _traced(p, codes[k][a:b], seqs[k][a:b], s, e, None, f, t)
-            m = replace(m, begin=m.begin + a, end=m.end + a, protected_begin=m.protected_begin + a, protected_end=m.protected_end + a)
-            found[k].append(m)
-            new += [(k, a, m.protected_begin - 1), (k, m.protected_end, b)]
+            low = 0  # of equally good ones the earliest is taken, and the next ones that lie behind it
+            for e in es.tolist():
+                at = a + low
+                m = _traced(p, codes[k][at:b], seqs[k][at:b], s, e - low, None, f and low == 0, t) if e > low else None
+                if m is None:
+                    continue
+                m = replace(m, begin=m.begin + at, end=m.end + at, protected_begin=m.protected_begin + at, protected_end=m.protected_end + at)
+                found[k].append(m)
+                new.append((k, at, m.protected_begin - 1))
+                low = m.protected_end - a
+            new.append((k, a + low, b))
         parts = new
     if limit is not None:
         found = [sorted(ms, key=lambda m: (-m.score, m.begin))[:limit] for ms in found]

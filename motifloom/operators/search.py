@@ -142,6 +142,14 @@ def stage_counts(df: DataFrame, h: str, h_cutoff: int, score: str, cutoff: int)
     return df.agg(F.count("*").alias("n"), F.count_if(passed).alias("n_heuristic"), F.count_if(passed & (F.col(score) >= cutoff)).alias("n_filter"))
 
 
+def score_dump(df: DataFrame, profile: K.Profile, key: str = "seq_id", column: str = "sequence", both_strands: bool = False) -> DataFrame:
+    """(key, strand, h_score, score) of every sequence, with no cutoff; on both strands if asked for."""
+    from ..functions.letters import strands
+
+    own = df.select(key, F.inline(strands(F.col(column)))) if both_strands else df.select(key, F.lit("+").alias("strand"), F.col(column).alias("sequence"))
+    return with_score(with_h_score(own, profile), profile).select(key, "strand", "h_score", "score")
+
+
 def best_family(hits: DataFrame, key: str = "seq_id", score: str = "raw_score") -> DataFrame:
     """The motif of the highest score of each record; equal scores: the first by accession."""
     return hits.groupBy(key).agg(F.min_by("motif_ac", F.struct(-F.col(score), "motif_ac")).alias("family"), F.max(score).alias(score))

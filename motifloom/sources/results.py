@@ -104,3 +104,22 @@ def formatted(hits: DataFrame, kind: int | str = 6, width: int = 60) -> DataFram
 def sam_header(motifs) -> list[str]:
     """The header lines of SAM output, from (accession, length) pairs."""
     return ["@HD\tVN:1.6\tSO:unknown", *(f"@SQ\tSN:{ac}\tLN:{n}" for ac, n in motifs)]
+
+
+def regex_text(hits: DataFrame, regex: str, header: str = "header") -> DataFrame:
+    """A pattern's matches as text: header, number, places and regular expression in one line, what matched in the next."""
+    return hits.select(F.format_string(f"%s_%s %s-%s {regex.replace('%', '%%')}\n%s", F.col(header), F.col("match_no").cast("string"), F.col("begin").cast("string"), F.col("end").cast("string"), F.col("matched")).alias("value"))
+
+
+def score_text(scores: DataFrame, key: str = "seq_id") -> DataFrame:
+    """A line for each sequence and strand: prefilter score, exact score, key, strand; '-' for what there is not."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("h_score", "score", key, "strand")]
+    return scores.select(F.concat_ws("\t", *shown).alias("value"))
+
+
+def read_search(spark, path: str) -> DataFrame:
+    """Hits of a search's own tab-separated text (format 7): motif, its range, sequence, range, raw and normalised score, strand, alignment."""
+    kind = "motif string, motif_start int, motif_end int, seq_id string, begin int, end int, raw_score int, norm_score double, strand string, aligned string"
+    rows = spark.read.csv(path, schema=kind, sep="\t", quote="", escape="")
+    part = F.split("motif", r"\|")
+    return rows.select(part[0].alias("motif_ac"), F.get(part, 1).alias("motif_id"), *[c.split()[0] for c in kind.split(", ")[1:]])

@@ -106,6 +106,19 @@ def fastq_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("@"), "seq_id", F.lit("\n"), "sequence", F.lit("\n+\n"), quality).alias("value"))
 
 
-def sorted_library(df: DataFrame) -> DataFrame:
-    """Sorted by header; records of one header are joined in order of their sequence."""
+def sorted_library(df: DataFrame, reverse: bool = False, degap: bool = False, upper: bool = False, complement: bool = False, short_header: bool = False) -> DataFrame:
+    """Sorted by header; records of one header are joined in order of their sequence.
+
+    First, as asked for: headers cut at the first blank; sequences without gap
+    marks, in upper case, complemented, reversed.
+    """
+    from ..functions import letters
+
+    s = F.col("sequence")
+    s = F.regexp_replace(s, "[.~ -]", "") if degap else s
+    s = F.upper(s) if upper else s
+    s = letters.complement(s) if complement else s
+    s = F.reverse(s) if reverse else s
+    header = F.regexp_extract("header", r"^(\S*)", 1) if short_header else F.col("header")
+    df = df.select(header.alias("header"), s.alias("sequence"))
     return df.groupBy("header").agg(F.array_join(F.array_sort(F.collect_list("sequence")), "").alias("sequence")).orderBy("header")
