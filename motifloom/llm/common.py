@@ -7,8 +7,6 @@ the memory of a worker doesn't depend on how many rows a batch has.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,10 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import cut, drop_cut, shared_dir
+
+__all__ = ["chunks", "cut", "drop_cut", "keep_rows", "mix", "shared_dir", "shingle_hashes", "table", "text_bytes", "words"]
+
 #: Text bytes worked on at once.
 CHUNK_BYTES = 1 << 20
 #: The separators of the word class [^\x20\x09-\x0D].
@@ -32,34 +34,6 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="motifloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and keeps what was computed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "_cut_path", None)
-    if path:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
