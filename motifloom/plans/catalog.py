@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import letters, normalize, patterns
-from ..operators import calibrate, kernels, postprocess, search
+from ..operators import build, calibrate, kernels, postprocess, search
+from ..sources import sequences
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -259,6 +260,97 @@ def survivors(spark, sf_dir):
     return search.survivors(_t(spark, sf_dir, "documents"), hits, "doc_id").select("doc_id", "source", "lang")
 
 
+# exact scores of short sequences, the letters of page addresses: letter after letter in SQL
+
+_URL_LETTERS = "upper(regexp_replace(url, '[^A-Za-z]', '', 'g'))"
+_NEG = -1000000
+_CELL = "(7 * (p - 1) + 3 * (ascii(s[(j + 1)::INTEGER]) - 64)) % 11 - 6"
+_SCORE_SQL = f"""
+RECURSIVE walk AS (
+  SELECT page_id, {_URL_LETTERS} AS s, 0::BIGINT AS j, list_transform(range(0, 17), lambda p: CASE WHEN p < 16 THEN 0 ELSE {_NEG} END::BIGINT) AS m,
+    list_transform(range(0, 17), lambda p: {_NEG}::BIGINT) AS i, {_NEG}::BIGINT AS best FROM pages
+  UNION ALL
+  SELECT page_id, s, j + 1, list_transform(range(0, 17), lambda p: greatest(km[p + 1], ki[p + 1], kd[p + 1], CASE WHEN p < 16 THEN 0 ELSE {_NEG} END)),
+    list_transform(range(0, 17), lambda p: greatest(km[p + 1] - 9, ki[p + 1])), greatest(best, list_max(km))
+  FROM (SELECT *, list_transform(range(0, 17), lambda p: coalesce(list_max(list_transform(range(1, p), lambda q: km[q + 1] - 9 - 2 * (p - q))), {_NEG})) AS kd
+    FROM (SELECT *, list_transform(range(0, 17), lambda p: CASE WHEN p = 0 THEN {_NEG} ELSE m[p] + {_CELL} END) AS km, list_transform(i, lambda x: x - 2) AS ki
+      FROM walk WHERE j < length(s)))),
+exact AS (SELECT page_id, nullif(best, {_NEG})::INTEGER AS score FROM walk WHERE j = length(s)),
+d AS (SELECT page_id, {_URL_LETTERS} AS s FROM pages),
+cells AS (SELECT page_id, j, i, (7 * i + 3 * (ascii(substr(s, (j + 1)::INTEGER, 1)) - 64)) % 11 - 6 AS c
+  FROM (SELECT page_id, s, unnest(range(length(s))) AS j FROM d), (SELECT unnest(range(16)) AS i)),
+run AS (SELECT page_id, i, j, sum(c) OVER (PARTITION BY page_id, j - i ORDER BY j) AS p FROM cells),
+low AS (SELECT page_id, i, j, p, min(CASE WHEN j > 0 THEN p END) OVER (PARTITION BY page_id, j - i ORDER BY j) AS r FROM run),
+top AS (SELECT page_id, i, greatest(0, max(CASE WHEN j = 0 THEN p ELSE p - least(0, r) END)) AS v FROM low GROUP BY page_id, i),
+scored AS (SELECT e.page_id, score, coalesce((SELECT sum(v) FROM top t WHERE t.page_id = e.page_id), 0)::INTEGER AS h_score FROM exact e)"""
+
+
+def _urls(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", letters.clean(F.col("url")).alias("sequence"))
+
+
+@query(f"WITH {_SCORE_SQL} SELECT page_id, '+' AS strand, h_score, score FROM scored")
+def score_dump(spark, sf_dir):
+    return search.score_dump(_urls(spark, sf_dir), profile(), "page_id")
+
+
+@query(f"WITH {_SCORE_SQL} SELECT 'RULE16' AS motif_ac, page_id, h_score, score AS raw_score FROM scored WHERE h_score >= 90 AND score >= 14")
+def url_search(spark, sf_dir):
+    """One motif, prefilter and score, no alignment."""
+    hits = search.search(_urls(spark, sf_dir), [search.Motif(profile(), 14, 90, "RULE16")], "page_id", align=False)
+    return hits.select("motif_ac", "page_id", "h_score", "raw_score")
+
+
+@query(f"WITH {_SCORE_SQL} SELECT count(*) AS n, count_if(h_score >= 90) AS n_heuristic, count_if(h_score >= 90 AND score >= 14) AS n_filter FROM scored")
+def url_stage_counts(spark, sf_dir):
+    return search.stage_counts(search.score_dump(_urls(spark, sf_dir), profile(), "page_id"), "h_score", 90, "score", 14)
+
+
+@query(f"""WITH {_SCORE_SQL}, both_ AS (SELECT page_id, 'RULE16' AS ac, score AS v FROM scored UNION ALL SELECT page_id, 'LENGTH', length(s)::INTEGER FROM d)
+SELECT page_id, min_by(ac, (-v, ac)) AS family, max(v) AS raw_score FROM both_ WHERE v IS NOT NULL GROUP BY page_id""")
+def family_of_url(spark, sf_dir):
+    """The better of two families: the profile's score against one point a letter."""
+    scored = search.score_dump(_urls(spark, sf_dir), profile(), "page_id").select("page_id", F.lit("RULE16").alias("motif_ac"), F.col("score").alias("raw_score"))
+    plain = _urls(spark, sf_dir).select("page_id", F.lit("LENGTH").alias("motif_ac"), F.length("sequence").alias("raw_score"))
+    return search.best_family(scored.unionByName(plain).where("raw_score IS NOT NULL"), "page_id")
+
+
+# strings
+
+
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(url, '[^A-Za-z-]', '', 'g') AS a FROM pages), u AS (SELECT page_id, upper(replace(a, '-', '')) AS u FROM a)
+SELECT page_id, u AS ungapped, substr(repeat('IIIIHHHHGGGG', 40), 1, length(u)) AS quality, substr(substr(repeat('IIIIHHHHGGGG', 40), 1, length(u)), 3, 7) AS part,
+  length(u) - 9 + 1 AS flip_begin, length(u) - 3 + 1 AS flip_end FROM u""")
+def aligned_parts(spark, sf_dir):
+    u = _t(spark, sf_dir, "pages").select("page_id", letters.ungapped(F.regexp_replace("url", "[^A-Za-z-]", "")).alias("ungapped"))
+    q = letters.periodic_quality(F.length("ungapped"))
+    begin, end = letters.flip(F.lit(3), F.lit(9), F.length("ungapped"))
+    return u.select("page_id", "ungapped", q.alias("quality"), letters.quality_slice(q, F.lit(3), F.lit(9)).alias("part"), begin.cast("long").alias("flip_begin"), end.cast("long").alias("flip_end"))
+
+
+@query(r"""
+WITH h AS (SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS header, upper(regexp_replace(url, '[^A-Za-z]', '', 'g')) AS s FROM pages)
+SELECT header, md5(string_agg(reverse(translate(s, 'ACGT', 'TGCA')), '' ORDER BY reverse(translate(s, 'ACGT', 'TGCA')) COLLATE "C")) AS digest FROM h GROUP BY header""".replace(' COLLATE "C"', ""))
+def merged_library(spark, sf_dir):
+    lib = _t(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("header"), F.translate(letters.clean(F.col("url")), "ACGT", "TGCA").alias("sequence"))
+    return sequences.sorted_library(lib, reverse=True).select("header", F.md5(F.col("sequence").cast("binary")).alias("digest"))
+
+
+# alignments: page addresses as rows of one alignment, a row's weight by its page
+
+
+@query(r"""
+WITH r AS (SELECT page_id, (page_id % 4 + 1)::DOUBLE AS w, regexp_replace(upper(url), '[^A-Z]', '-', 'g') AS a FROM pages),
+c AS (SELECT page_id, w, unnest(range(1, length(a) + 1)) AS col, a FROM r), l AS (SELECT page_id, w, col, a[col::INTEGER] AS symbol FROM c),
+per AS (SELECT col, sum(w) AS covered, sum(CASE WHEN symbol = 'X' THEN w ELSE 0 END) AS unknown, sum(CASE WHEN symbol = '-' THEN w ELSE 0 END) AS gaps FROM l GROUP BY col)
+SELECT l.col, symbol, round(sum(w) / (any_value(covered) - any_value(unknown)), 9) AS freq, round(any_value(gaps) / any_value(covered), 9) AS gap FROM l JOIN per ON l.col = per.col WHERE symbol NOT IN ('-', 'X') GROUP BY l.col, symbol""")
+def column_frequencies(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("seq_id"), (F.col("page_id") % 4 + 1).cast("double").alias("weight"), F.posexplode(F.split(F.regexp_replace(F.upper("url"), "[^A-Z]", "-"), "")).alias("at", "symbol"))
+    freqs = build.column_frequencies(rows.where("symbol != ''").withColumn("col", F.col("at") + 1).drop("at"))
+    return freqs.select(F.col("col").cast("long").alias("col"), "symbol", F.round("freq", 9).alias("freq"), F.round("gap", 9).alias("gap"))
+
+
 # normalisation and levels
 
 _R = (240.0, -0.02, 0.3, 1.2, 0.35)
@@ -462,6 +554,25 @@ def trapezoid(spark, sf_dir):
     return postprocess.trapezoid(e, "x", "y", ["user_id"], ties="event_id").withColumn("area", F.round("area", 1))
 
 
+_TAGGED = _HITS.replace("'#' AS level_tag", "CASE (l_partkey + l_linenumber) % 5 WHEN 0 THEN '(0)' ELSE '(-1)' END AS level_tag")
+
+
+@query(_TAGGED + """
+SELECT seq_id, motif_ac, "begin", "end", CASE WHEN bool_or(level_tag = '(0)') OVER (PARTITION BY seq_id, motif_ac) THEN '(0)' ELSE level_tag END AS level_tag FROM hits""")
+def any_evaluated(spark, sf_dir):
+    tag = F.when((F.col("l_partkey") + F.col("l_linenumber")) % 5 == 0, "(0)").otherwise("(-1)")
+    begin = F.col("l_partkey") % 100
+    hits = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq_id"), F.concat(F.lit("M"), (F.col("l_suppkey") % 4).cast("string")).alias("motif_ac"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long")).alias("end"), tag.alias("level_tag"))
+    return postprocess.any_evaluated(hits)
+
+
+@query(_HITS + """
+SELECT seq_id, h.motif_ac, "begin", "end", r_name AS motif_id FROM hits h LEFT JOIN region ON h.motif_ac = 'M' || (r_regionkey + 1)::VARCHAR""")
+def hit_metadata(spark, sf_dir):
+    meta = _t(spark, sf_dir, "region").select(F.concat(F.lit("M"), (F.col("r_regionkey") + 1).cast("string")).alias("ac"), F.col("r_name").alias("id"))
+    return postprocess.with_metadata(_hits(spark, sf_dir), meta, ["id"]).select("seq_id", "motif_ac", "begin", "end", "motif_id")
+
+
 # calibration: prices as scores
 
 
@@ -508,3 +619,47 @@ SELECT quality, count(*) AS n, count_if(toxic = 1) AS n_toxic, count(d.doc_id) A
 def truth_tally(spark, sf_dir):
     found = _t(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("found"))
     return _t(spark, sf_dir, "labels").join(found, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count("found").alias("n_found"))
+
+
+@query("SELECT o_orderkey, trunc(floor(o_totalprice)::INTEGER * 2.25::DOUBLE + 110.5 + 0.5)::INTEGER AS h_cutoff FROM orders")
+def heuristic_cutoff(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", normalize.heuristic_cutoff(F.floor("o_totalprice").cast("int"), 110.5, 2.25).alias("h_cutoff"))
+
+
+@query("SELECT round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, count(*) AS n FROM orders")
+def gaussian_fit(spark, sf_dir):
+    return calibrate.gaussian_fit(_t(spark, sf_dir, "orders"), "o_totalprice").select(F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "n")
+
+
+@query("""
+WITH b AS (SELECT floor(o_totalprice / 1000) AS bin, count(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT (bin + 1) * 1000 AS x, sum(n) OVER (ORDER BY bin) / (sum(n) OVER ()) AS share FROM b),
+l AS (SELECT regr_slope(ln(-ln(share)), x) AS a, regr_intercept(ln(-ln(share)), x) AS c, count(*) AS bins FROM p WHERE share < 1)
+SELECT round(-c / a, 3) AS mu, round(-a * 1e6, 5) AS lam, bins FROM l""")
+def evd_linear_fit(spark, sf_dir):
+    fit = calibrate.evd_linear_fit(_t(spark, sf_dir, "orders"), "o_totalprice", 1000.0)
+    return fit.select(F.round("mu", 3).alias("mu"), F.round(F.col("lam") * 1e6, 5).alias("lam"), "bins")
+
+
+@query("""
+WITH b AS (SELECT floor(o_totalprice / 1000) AS bin, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n) AS t FROM b),
+e AS (SELECT n, (exp(-exp(-2e-5 * ((bin + 1) * 1000 - 150000))) - exp(-exp(-2e-5 * (bin * 1000 - 150000)))) * t AS e FROM b, t)
+SELECT round(sum((n - e) * (n - e) / e), 4) AS chi2, count(*) AS bins FROM e WHERE e >= 5""")
+def evd_chi2(spark, sf_dir):
+    return calibrate.evd_chi2(_t(spark, sf_dir, "orders"), "o_totalprice", 150000, 2e-5, 1000.0).withColumn("chi2", F.round("chi2", 4))
+
+
+@query("SELECT o_orderkey, round(2e-5 * exp(-2e-5 * (o_totalprice - 150000) - exp(-2e-5 * (o_totalprice - 150000))) * 1e6, 6) AS density, round(1 - exp(-o_totalprice / 1e5), 9) AS p FROM orders")
+def extreme_density(spark, sf_dir):
+    x = F.col("o_totalprice")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.round(calibrate.evd_density(x, 150000, 2e-5) * 1e6, 6).alias("density"), F.round(calibrate.poisson_p(x / 1e5), 9).alias("p"))
+
+
+@query("""
+WITH o AS (SELECT s_suppkey, s_nationkey AS r1, s_acctbal AS r2 FROM supplier), n AS (SELECT c_custkey AS s_suppkey, c_nationkey AS r1, c_acctbal AS r2 FROM customer)
+SELECT coalesce(o.s_suppkey, n.s_suppkey) AS s_suppkey, o.r1 AS old_r1, o.r2 AS old_r2, n.r1 AS new_r1, n.r2 AS new_r2, n.r1 - o.r1 AS r1_diff, round(n.r2 - o.r2, 6) AS r2_diff FROM o FULL JOIN n ON o.s_suppkey = n.s_suppkey""")
+def parameter_comparison(spark, sf_dir):
+    """Balances of suppliers and customers of one number as old and new parameters."""
+    old = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("r1"), F.col("s_acctbal").alias("r2"))
+    new = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("r1"), F.col("c_acctbal").alias("r2"))
+    return build.compare_parameters(old, new, ("s_suppkey",), ("r1", "r2")).withColumn("r2_diff", F.round("r2_diff", 6))

@@ -1,4 +1,7 @@
-import re
+import os
+import shutil
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -243,6 +246,13 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(want).isEmpty() and want.count() > 0
 
 
-def test_entry_without_the_corpus_operators():
-    text = open("__spark_entry__.py").read()
-    assert re.search(r"find_spec\(.motifloom.llm.\)", text)
+@pytest.mark.parametrize("missing", ["the folder", "a library"])
+def test_entry_without_the_corpus_operators(tmp_path, missing):
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{here}/motifloom", tmp_path / "motifloom", ignore=shutil.ignore_patterns("__pycache__", *(["llm"] if missing == "the folder" else [])))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    block = "" if missing == "the folder" else "sys.modules['xxhash'] = sys.modules['regex'] = sys.modules['tiktoken'] = None; "
+    code = f"import sys; {block}import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), e.llm is None or bool(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True, timeout=120).stdout.split()
+    assert int(out[0]) >= len(catalog.queries()) and int(out[1]) >= len(catalog.oracle_sql()) and out[2] == "True"
