@@ -30,6 +30,7 @@ class Profile:
     n2: int = 0  # 0: the length
     name: str = ""
     consensus: str = ""
+    circular: bool = False  # its end joins its begin; no search takes it as linear
 
     def __post_init__(self):
         n = len(self.match) + 1

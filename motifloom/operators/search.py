@@ -87,6 +87,9 @@ def search(df: DataFrame, motifs: Sequence[Motif], key: str = "seq_id", column:
     """
     kind = f"`{key}` {df.schema[key].dataType.simpleString()}, {HIT}"
     own = df.select(key, F.col(column).alias("_sequence"))
+    circular = [m.ac or m.profile.name for m in motifs if m.profile.circular]
+    if circular:
+        raise ValueError(f"circular profiles can't be searched with: {', '.join(circular)}")
     out = None
     group: list[Motif] = []
     cells = 0

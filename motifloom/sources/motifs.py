@@ -126,6 +126,7 @@ def _profile(e: Entry, text: str) -> None:
         alphabet, np.array([row(x, "M") for x in matches], np.int64).reshape(size, letters + 1), np.array([row(x, "I") for x in inserts], np.int64),
         np.array([_score(x.get("D", "0")) for x in matches], np.int64), {t: column(t) for t in _TRANS}, {b: column(b) for b in _BORDER},
         min(n1, n2), max(n1, n2), e.ac, "".join(x.get("SY", x.get("SY_M", "X")).strip("'")[:1] or "X" for x in matches),
+        circular=e.topology.upper() == "CIRCULAR",
     )
 
 

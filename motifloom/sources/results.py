@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.letters import cigar, ungapped, wrap
+from ..functions.letters import cigar, quality_slice, ungapped, wrap
 
 
 def _text(name: str) -> Column:
@@ -72,9 +72,13 @@ def tsv(width: int = 60) -> Column:
 
 
 def sam(width: int = 60) -> Column:
-    flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.col("match_no") > 1, 256).otherwise(0)
-    quality = F.lit("*")
-    return F.concat_ws("\t", "seq_id", flag.cast("string"), "motif_ac", F.col("motif_start").cast("string"), F.lit("255"), cigar(F.col("aligned")), F.lit("*"), F.lit("0"), F.lit("0"), ungapped(F.col("aligned")), quality, F.concat(F.lit("AS:i:"), "raw_score"))
+    """SAM 1.6: the motif is the reference, its positions the places; QUAL where the hits have the record's quality."""
+    part = quality_slice(F.col("quality"), F.col("begin"), F.col("end"))
+    part = F.when(F.col("strand") == "-", F.reverse(part)).otherwise(part)
+    spanned = F.length(F.regexp_replace("aligned", "[a-z]", ""))
+    flag = F.when(F.col("strand") == "-", "18").otherwise("2")
+    fields = [F.substring_index("seq_id", "|", -1), flag, F.concat("motif_ac", F.lit("|"), "motif_id"), F.col("motif_start").cast("string"), F.lit("255"), cigar(F.col("aligned")), F.lit("*"), F.lit("0"), spanned.cast("string"), ungapped(F.col("aligned")), F.coalesce(part, F.lit("*"))]
+    return F.concat_ws("\t", *fields, F.concat(F.lit("AS:i:"), "raw_score"), F.format_string("NS:f:%.2f", F.coalesce(F.col("norm_score").cast("double"), F.lit(0.0))))
 
 
 def family(width: int = 60) -> Column:
@@ -97,7 +101,9 @@ FORMATS = {0: default, 1: level_header, 2: region_header, 3: place_header, 4: mo
 
 
 def formatted(hits: DataFrame, kind: int | str = 6, width: int = 60) -> DataFrame:
-    """One row of text for each hit."""
+    """One row of text for each hit; quality, strand and normalised score may be missing."""
+    defaults = {"quality": F.lit(None).cast("string"), "strand": F.lit("+"), "norm_score": F.lit(None).cast("double")}
+    hits = hits.withColumns({k: v for k, v in defaults.items() if k not in hits.columns})
     return hits.select(FORMATS[kind](width).alias("value"))
 
 

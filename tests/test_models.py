@@ -127,6 +127,21 @@ def test_dumps_and_edits(spark, tmp_path):
     assert sorted(tuple(r) for r in postprocess.unroll(parts).collect()) == [("s", 1, 9), ("s", 10, 20), ("t", 2, 5)]
 
 
+def test_sam_lines(spark):
+    kind = "seq_id string, strand string, motif_ac string, motif_id string, motif_start int, begin int, end int, raw_score int, norm_score double, aligned string, quality string"
+    rows = [("sp|P1|ONE", "+", "PS1", "M", 2, 3, 6, 28, 3.256, "-AcG-T-", "IIABCDII"), ("two", "-", "PS1", "M", 1, 3, 4, 5, None, "AC", "IIABCDII")]
+    hits = spark.createDataFrame(rows, kind)
+    got = [r.value for r in results.formatted(hits, 8).collect()]
+    assert got == ["ONE\t2\tPS1|M\t2\t255\t1M1I1M1D1M\t*\t0\t6\tACGT\tABCD\tAS:i:28\tNS:f:3.26", "two\t18\tPS1|M\t1\t255\t2M\t*\t0\t2\tAC\tBA\tAS:i:5\tNS:f:0.00"]
+    assert results.formatted(hits.drop("quality"), 8).first().value.split("\t")[10] == "*"
+
+
+def test_circular_profiles_are_refused(spark):
+    p = K.linear(np.array([[0, 1, 2]]), "AB", circular=True)
+    with pytest.raises(ValueError):
+        search.search(spark.createDataFrame([("x", "AB")], "seq_id string, sequence string"), [search.Motif(p, 1)])
+
+
 def test_nearest_shares(spark):
     seqs = spark.createDataFrame([("a", "AC"), ("b", "GT")], "seq_id string, aligned string")
     cands = spark.createDataFrame([(1, "AC"), (2, "TA")], "cand_id int, aligned string")
