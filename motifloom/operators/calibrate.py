@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from .kernels import Profile
 from .search import with_h_score, with_score
 
+#: Ranks of equal scores worked out in one row.
+RANKS = 4096
+
 
 def histogram(df: DataFrame, score: str, bin_width: float = 1.0) -> DataFrame:
     """(bin, n): counts of scores by whole bins."""
@@ -36,15 +40,13 @@ def ranked(df: DataFrame, score: str) -> DataFrame:
     """Distinct scores with the rows above them and at them: (score, n, above).
 
     Ranks of equal scores are consecutive, so all rank sums follow from these
-    counts. The running total is taken in two steps, over 1000 ranges of score
-    and within a range; no task sees all scores.
+    counts. The running total is taken in two steps, over ranges of as many
+    distinct scores each and within a range; no task sees all scores.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"))
-    low, high = counts.agg(F.min("score"), F.max("score")).first()
-    width = ((high - low) / 1000 or 1) if low is not None else 1
-    counts = counts.withColumn("range", F.floor((F.col("score") - (low or 0)) / float(width)))
+    counts = cut(counts.repartitionByRange(F.desc("score")).withColumn("range", F.spark_partition_id()), "ranges")
     totals = counts.groupBy("range").agg(F.sum("n").alias("in_range"))
-    totals = totals.select("range", (F.sum("in_range").over(W.orderBy(F.desc("range"))) - F.col("in_range")).alias("before"))
+    totals = totals.select("range", (F.sum("in_range").over(W.orderBy("range")) - F.col("in_range")).alias("before"))
     inner = F.sum("n").over(W.partitionBy("range").orderBy(F.desc("score"))) - F.col("n")
     return counts.withColumn("inner", inner).join(totals, "range").select("score", "n", (F.col("before") + F.col("inner")).alias("above"))
 
@@ -57,8 +59,11 @@ def rank_regression(df: DataFrame, score: str, residues: float = 14147368, base:
     -log(lower) are used. Runs of equal scores are fitted rank by rank, from
     counts.
     """
-    counts = ranked(df, score).where(F.col("above") < residues * upper * base + 2)
-    each = counts.select("score", F.explode(F.sequence(F.col("above") + 1, F.col("above") + F.col("n"))).alias("rank"))
+    # the ranks that can be used, in blocks, so that a long run of equal scores isn't one array
+    begin, end = F.greatest(F.col("above") + 1, F.lit(int(residues * lower))), F.least(F.col("above") + F.col("n"), F.lit(int(residues * upper) + 2))
+    runs = ranked(df, score).select("score", begin.alias("begin"), end.alias("end")).where("begin <= end")
+    blocks = runs.select("score", "end", F.explode(F.sequence("begin", "end", F.lit(RANKS).cast("long"))).alias("begin"))
+    each = blocks.select("score", F.explode(F.sequence("begin", F.least(F.col("begin") + (RANKS - 1), "end"))).alias("rank"))
     log = lambda c: F.log(c) / math.log(base)
     rows = each.select("score", "rank", (math.log(residues) / math.log(base) - log(F.col("rank") - 0.5)).alias("y"), (F.col("rank") / 2.0).alias("w"))
     rows = rows.where((F.col("y") >= -math.log(upper) / math.log(base)) & (F.col("y") <= -math.log(lower) / math.log(base)))
