@@ -41,9 +41,12 @@ N_TOXIC, N_MINED, N_MINED_ALL, N_COMMON = 120, 220, 640, 40
 HARD, COMMON, PLAIN = 3000, 1500, 1500
 #: A word is believed if so many toxic texts have it, and at most this share as many of the others.
 BELIEVED, CLEAN_SHARE = 3, 0.3
-#: Disguises of a believed word.
-DISGUISES = 14
+MOST_BELIEVED = 800
+#: Disguises of each of the most frequent believed words, as many as landmarks, and of each other one.
+DISGUISES, FEW = 14, 4
 ROUNDS = 4
+#: Parts in which the training texts reach the driver, one after the other.
+PARTS = 64
 #: Costs of errors: on a believed word (times the root of its texts), the share of it on a disguise, on another word.
 PULL, DISGUISED, PUSH = 40, 0.3, 100
 #: A longer word is scored by overlapping pieces of this length, which cover it.
@@ -99,7 +102,7 @@ def _self(codes: np.ndarray) -> np.ndarray:
 class Kernel:
     """Normalised kernel of words to landmarks; what was computed is kept for later calls."""
 
-    BLOCK = 64
+    BLOCK = 32
 
     def __init__(self):
         self.rows: dict[str, int] = {}
@@ -109,7 +112,8 @@ class Kernel:
     def known(self, landmarks: list[str]) -> None:
         """Landmarks of calls to come."""
         new = [w for w in landmarks if w not in self.columns]
-        self.value = np.hstack([self.value, self._to(list(self.rows), new)])
+        if new:
+            self.value = np.hstack([self.value, self._to(list(self.rows), new)])
         self.columns.update({w: len(self.columns) + i for i, w in enumerate(new)})
 
     def _to(self, words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -209,14 +213,14 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, active: np.ndarray | No
     for _ in range(40):
         gram, pull = ridge.copy(), np.zeros(size + 1)
         at = np.flatnonzero(active)
-        for i in range(0, len(at), 8192):
-            part = at[i : i + 8192]
+        for i in range(0, len(at), 1024):
+            part = at[i : i + 1024]
             z = np.c_[x[part], np.ones(len(part))].astype(float)
             a = z * cost[part, None]
             gram += a.T @ z
             pull += a.T @ y[part]
         w = np.linalg.solve(gram, pull)
-        now = y * (x @ w[:-1] + w[-1]) < 1
+        now = y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1
         if (now == active).all():
             break
         active = now
@@ -321,13 +325,13 @@ def fit(bags: list[np.ndarray], toxic: np.ndarray, ids: dict[str, int], rounds:
     if least is None:
         return None
     by = lambda at, key: sorted(at.tolist(), key=lambda i: (-key[i], names[i]))
-    believed = by(np.flatnonzero(sure & (in_pos >= least)), in_pos)[:2000]
+    believed = by(np.flatnonzero(sure & (in_pos >= least)), in_pos)[:MOST_BELIEVED]
     others = np.flatnonzero((in_neg > 0) & ~sure)
     plain = sorted(others.tolist(), key=lambda i: zlib.crc32(names[i].encode("utf-8", "surrogatepass")))[:PLAIN]
     common = by(others, in_neg)[:COMMON]
     letters = "".join(c for c, _ in Counter("".join(names[i] for i in common)).most_common(26)) or "x"
     rng = np.random.default_rng(0)
-    hidden = [(v, i) for i in believed for v in disguises(names[i], letters, rng)]
+    hidden = [(v, i) for k, i in enumerate(believed) for v in disguises(names[i], letters, rng, DISGUISES if k < N_TOXIC else FEW)]
     yes = [names[i] for i in believed] + [v for v, _ in hidden]
     gain = np.sqrt([float(in_pos[i]) for i in believed] + [float(in_pos[i]) for _, i in hidden])
     first = [names[i] for i in believed[:N_TOXIC]]
@@ -388,7 +392,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
     named = named.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     key = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = named.where("toxic = 1").orderBy(*key).limit(max_toxic).unionByName(named.where("toxic = 0").orderBy(*key).limit(max_other))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(part), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(part), "doc_id").repartition(PARTS, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def held_out(doc_id):

@@ -94,3 +94,13 @@ def test_empty_and_repeated(spark):
     assert simhash.near_duplicates(empty).count() == 0
     twice = spark.createDataFrame([(7, "a b"), (7, "a b"), (None, "a b")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(twice).collect()) == [(0, 7), (7, 7), (7, 7)]
+
+
+def test_one_row_kept_by_a_defined_order(spark):
+    rows = [(1, "a b c d e", "y", 9), (1, "a b c d e", "x", 9), (1, "a b c d e f", "z", 1), (2, "a b c d e", "w", 0), (None, "a b c d e", "n", 3), (5, None, "q", 4), (6, "", "q", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _least_id string, _row_no int")
+    got = [sorted(map(str, simhash.keep_one(d).collect())) for d in (df, df.repartition(3), df.orderBy("_least_id"))]
+    assert got[0] == got[1] == got[2]
+    kept = simhash.keep_one(df).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(1, "a b c d e"), (None, "a b c d e"), (5, None)} and len(kept) == 3
+    assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df.where("false")).count() == 0

@@ -61,3 +61,27 @@ def test_counts(spark):
     got = sorted((r.doc_id or 0, r.n_tokens > 0, r.n_pretokens) for r in tk.count_tokens(df, VOCABULARY).collect())
     assert got == [(0, True, 60_001), (1, True, 3), (2, False, 0), (3, False, 0), (3, False, 0)]
     assert tk.count_tokens(df.where("false"), VOCABULARY).count() == 0
+
+
+def test_counts_equal_a_plain_count(spark):
+    """All documents of sf0.001 that are short enough, by every segmentation's best, piece by piece."""
+    pieces = tk.load(VOCABULARY)
+    scores = tk.zipf(pieces)
+    longest, known = max(map(len, scores)), {}
+
+    def plain(word):
+        if word not in known:
+            raw = word.encode()
+            best = [(0.0, 0)]
+            for end in range(1, len(raw) + 1):
+                best.append(max((best[k][0] + scores[raw[k:end]], -(-best[k][1] + 1)) for k in range(max(0, end - longest), end) if raw[k:end] in scores))
+            known[word] = -best[-1][1]
+        return known[word]
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 6000")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = tk.count_tokens(docs, VOCABULARY).collect()
+    assert len(got) == docs.count() > 100
+    for r in got:
+        own = regex.findall(tk.PRE_TOKEN, texts[r.doc_id])
+        assert (r.n_tokens, r.n_pretokens) == (sum(map(plain, own)), len(own))

@@ -68,3 +68,28 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in tx.toxicity(d, none).collect()] == [0.0]
     assert tx.toxicity(d.where("false"), none).count() == 0
+
+
+def test_figures_of_the_readme():
+    """Held-out labels of sf0.1, and disguises of ten learned insults at ten random places each."""
+    import duckdb
+
+    path = "/root/testdata/sf0.1"
+    rows = duckdb.execute(f"SELECT doc_id, text, toxic FROM '{path}/documents.parquet' JOIN '{path}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    ids = {}
+    bags = tx.bag_ids([t for i, t, _ in rows if not held(i)], ids)
+    model = tx.fit(bags, np.array([y for i, _, y in rows if not held(i)]), ids)
+    toxic = lambda texts: model.probability(tx._margins(model, texts)) >= 0.5
+    got, want = toxic([t for i, t, _ in rows if held(i)]), np.array([y for i, _, y in rows if held(i)]) == 1
+    assert (got & want).sum() >= 0.9 * want.sum() and (got & want).sum() >= 0.88 * got.sum()
+    rng = np.random.default_rng(9)
+    letter = lambda: "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))]
+    words = "trash pathetic worthless idiot loser disgusting scum clown moron stupid".split()
+    share = lambda hide: np.mean(toxic([hide(w, int(rng.integers(len(w)))) for w in words for _ in range(10)]))
+    assert share(lambda w, i: w[: i + 1] + letter() + w[i + 1 :]) >= 0.8
+    assert share(lambda w, i: w[:i] + w[i] + w[i:]) >= 0.9
+    assert share(lambda w, i: w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]) >= 0.75
+    assert share(lambda w, i: w[:i] + w[i + 1 :]) >= 0.55
+    assert share(lambda w, i: "x".join(w)) >= 0.9 and share(lambda w, i: ".".join(w)) >= 0.9
+    assert share(lambda w, i: w.translate(str.maketrans("oieas", "01345"))) >= 0.9
