@@ -526,20 +526,25 @@ def sample(p: Profile, rng: np.random.Generator, scale: float = 0.02, longest: i
     return "".join(out)
 
 
-def mutate(seq: str, alphabet: str, events: int, rng: np.random.Generator) -> str:
-    """``events`` random changes: substitution by any letter, or (half of the rest each) deletion or insertion of a run."""
-    s = list(seq)
-    for _ in range(events):
-        if len(s) < 2:
+def mutate(seq: str, alphabet: str, events: int, rng: np.random.Generator, gaps: float = 0.1, longer: float = 0.5) -> str:
+    """A sequence after so many random events.
+
+    A share ``gaps`` of the events are deletions of one letter and insertions,
+    half each; the others put any letter in a place. The lengths of insertions
+    are geometric, each further letter with the chance ``longer``. Two letters
+    are left at least.
+    """
+    letters = list(seq)
+    kinds = rng.random(events) / gaps if gaps > 0 else np.full(events, 2.0)
+    for kind in kinds.tolist():
+        if len(letters) < 2:
             break
-        u, at = rng.random() * (len(alphabet) + 1), int(rng.integers(len(s)))
-        if u >= 1:
-            s[at] = alphabet[int(u) - 1]
-        elif u >= 0.5:
-            del s[at]
+        place = int(rng.integers(len(letters)))
+        if kind >= 1:
+            letters[place] = alphabet[int(rng.integers(len(alphabet)))]
+        elif kind >= 0.5 and len(letters) > 2:
+            letters.pop(place)
         else:
-            v, run = max(rng.random(), 0.21), 1
-            while v > 0.2 and run < 50:
-                v, run = v * v, run + 1
-            s[at:at] = rng.choice(list(alphabet), run - 1).tolist()
-    return "".join(s)
+            new = rng.integers(len(alphabet), size=int(rng.geometric(1 - longer)))
+            letters[place:place] = [alphabet[k] for k in new]
+    return "".join(letters)
