@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, passages, pii, quality, rules, simhash, tokens, toxicity
+from . import chat, decontaminate, merkle, mixing, passages, pii, quality, rules, simhash, tokens, toxicity
 from .common import table
 
 
@@ -52,9 +52,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_tokens": op1_tokens, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_passages": op4_passages, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_quality": op10_quality}
+    return {"op1_tokens": op1_tokens, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_passages": op4_passages, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_quality": op10_quality, "op11_merkle": op11_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op8_rules": rules.SQL, "op9_chat": chat.SQL}
+    return {"op6_mixing": mixing.SQL, "op8_rules": rules.SQL, "op9_chat": chat.SQL, "op11_merkle": merkle.SQL}
