@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, merkle, mixing, passages, pii, quality, rules, simhash, tokens, toxicity, vectorcodes
+from . import chat, decontaminate, merkle, mixing, passages, pii, quality, rules, simhash, substrings, tokens, toxicity, vectorcodes
 from .common import table
 
 
@@ -56,12 +56,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {"op1_tokens": op1_tokens, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_passages": op4_passages, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_quality": op10_quality, "op11_merkle": op11_merkle, "op13_vectorcodes": op13_vectorcodes}
+    return {"op1_tokens": op1_tokens, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_passages": op4_passages, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_pii": op7_pii, "op8_rules": op8_rules, "op9_chat": op9_chat, "op10_quality": op10_quality, "op11_merkle": op11_merkle, "op12_substrings": op12_substrings, "op13_vectorcodes": op13_vectorcodes}
 
 
 def oracle_sql() -> dict[str, str]:
