@@ -31,6 +31,12 @@ _ITEM = np.dtype([("pos", np.int64), ("lcp", np.int32)])
 _KEYED = np.dtype([("key", np.int64), ("pos", np.int64), ("lcp", np.int32)])
 
 
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of keys; of small ones by radix."""
+    small = len(keys) and -(1 << 15) <= keys.min() and keys.max() < 1 << 15
+    return np.argsort(keys.astype(np.int16) if small else keys, kind="stable")
+
+
 def _items(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     out = np.empty(len(pos), _ITEM)
     out["pos"], out["lcp"] = pos, lcp
@@ -71,7 +77,7 @@ class Queue:
     def push(self, keys: np.ndarray, items: np.ndarray) -> None:
         if not len(keys):
             return
-        by = np.argsort(keys, kind="stable")
+        by = _in_order(keys)
         keys, items = keys[by], items[by]
         heads = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
         for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
@@ -164,7 +170,7 @@ class _Shared:
             self.least[known] = np.minimum(self.least[known], lcp.min())
         if not len(places):
             return out
-        by = np.argsort(letters, kind="stable")
+        by = _in_order(letters)
         heads = np.flatnonzero(np.r_[True, letters[by][1:] != letters[by][:-1]])
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(by)], strict=True):
             own, letter = by[a:b], int(letters[by[a]])
@@ -254,7 +260,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, memory: int, s
 def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of a string of names, by their first ``depth`` names at least, in memory."""
     n = len(names)
-    by = np.argsort(names, kind="stable")
+    by = np.argsort(names)
     rank = np.empty(n, np.int64)
     new = np.r_[True, names[by][1:] != names[by][:-1]]
     rank[by] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -266,14 +272,14 @@ def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
             break
         after = np.where(live + k < n, rank[np.minimum(live + k, n - 1)] + 1, 0)
         key = rank[live] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, own = key[by], live[by]
         old = rank[own]
         group = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], np.arange(len(own)), 0))
         inner = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(own)), 0))
         rank[own] = old + inner - group
         k *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -33,9 +33,9 @@ GRAM = 48
 #: Suffix starts in a piece at most.
 RUN = 1024
 #: Bytes sorted in one task, about.
-SHARD = 8 << 20
-#: Different pieces of one hash that go to one shard; 20,000 have about 12 MB.
-HOT = 20_000
+SHARD = 3 << 20
+#: Different pieces of one hash that go to one shard; 5,000 have about 3 MB.
+HOT = 5_000
 #: Entries that the queues of a shard keep in memory.
 MEMORY = 1 << 22
 #: Multiplier of the hashes.
