@@ -7,6 +7,7 @@ is that of distinct scores, not of rows.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -192,18 +193,87 @@ def evd_to_norm(mu: float, lam: float, mean_length: float, base: float = 10.0) -
     return (math.log(mean_length) - mu * lam) / math.log(base), lam / math.log(base)
 
 
-def quantile_regression(x: np.ndarray, y: np.ndarray, tau: float = 0.05, rounds: int = 200) -> tuple[float, float]:
-    """(intercept, slope) of the tau-quantile of y given x, by weighted least squares on shrinking residuals."""
-    a = np.c_[np.ones(len(x)), x]
-    w, coef = np.ones(len(x)), np.zeros(2)
-    for k in range(rounds):
-        new = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
-        if k and np.abs(new - coef).max() < 1e-10 * (1 + np.abs(coef).max()):
+def _whole(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Values as whole numbers, and by what they were multiplied; exact, since floats are fractions of powers of two."""
+    if np.all(values == np.floor(values)) and np.abs(values).max(initial=0) < 1 << 31:
+        return values.astype(np.int64), 1
+    parts = [Fraction(float(v)) for v in values]
+    scale = max((f.denominator for f in parts), default=1)
+    return np.array([int(f * scale) for f in parts], object), scale
+
+
+def _tilt(x: np.ndarray, y: np.ndarray, n: np.ndarray, slope: Fraction, tau: Fraction) -> tuple[int, int, int]:
+    """At a slope, with the best intercept: (least, greatest) derivative of the loss by slope, times tau's denominator, and the intercept times the slope's.
+
+    Points above the line pull with weight tau, those below push with 1 - tau;
+    those on it take what balances the two, and may share it in any way: the
+    derivative is least when those of great x take most of it.
+    """
+    big = x.dtype == object or y.dtype == object or max(abs(slope.numerator), slope.denominator) * int(max(np.abs(x).max(), np.abs(y).max())) >= 1 << 61
+    xs, ys = (v.astype(object) for v in (x, y)) if big else (x, y)
+    r = ys * slope.denominator - xs * slope.numerator
+    order = np.argsort(r, kind="stable")
+    total, need = np.cumsum(n[order]), tau * int(n.sum())
+    at = r[order[min(int(np.searchsorted(total, math.ceil(need))), len(r) - 1)]]
+    p, q = tau.numerator, tau.denominator
+    above, below, on = r > at, r < at, np.flatnonzero(r == at)
+    weigh = lambda m: int((xs[m].astype(object) * n[m]).sum()) if m.any() else 0
+    fixed = p * weigh(above) + (p - q) * weigh(below)
+    rest = -(p * int(n[above].sum()) + (p - q) * int(n[below].sum()))  # what those on the line have to sum to
+    ends = []
+    for way in (-1, 1):
+        left, sum_ = rest - (p - q) * int(n[on].sum()), fixed
+        for k in on[np.argsort(way * xs[on], kind="stable")].tolist():  # each has p - q at least and q more at most
+            more = min(left, q * int(n[k]))
+            sum_, left = sum_ + int(xs[k]) * ((p - q) * int(n[k]) + more), left - more
+        ends.append(-sum_)
+    return ends[0], ends[1], at
+
+
+def _simplest(low: Fraction, high: Fraction) -> Fraction:
+    """The fraction of least denominator between two, ends included."""
+    whole = math.ceil(low)
+    if whole <= high:
+        return Fraction(whole)
+    floor = whole - 1
+    return floor + 1 / _simplest(1 / (high - floor), 1 / (low - floor))
+
+
+def quantile_regression(x: np.ndarray, y: np.ndarray, tau: float = 0.05, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """(intercept, slope) of the tau-quantile of y given x: the line of least loss, exactly.
+
+    Each point may stand for ``counts`` rows. The loss, with the best intercept,
+    is convex in the slope and bends only at slopes of lines through two points,
+    fractions whose denominator is at most the range of x. So slopes are halved
+    between one that is too small and one that is too large, in whole numbers,
+    until one such fraction is left. One x only: slope 0.
+    """
+    x, y = np.asarray(x), np.asarray(y)
+    n = np.ones(len(x), np.int64) if counts is None else np.asarray(counts, np.int64)
+    (x, sx), (y, sy), tau = _whole(x), _whole(y), Fraction(tau).limit_denominator(10**6)
+    reach, rise = int(x.max()) - int(x.min()), int(y.max()) - int(y.min())
+    low, high, slope = Fraction(-rise - 1), Fraction(rise + 1), Fraction(0)
+    while True:
+        least, most, at = _tilt(x, y, n, slope, tau)
+        if least <= 0 <= most or reach == 0:
             break
-        coef = new
-        r = y - a @ coef
-        w = np.where(r >= 0, tau, 1 - tau) / np.maximum(np.abs(r), 1e-6 * max(1.0, np.abs(y).max()))
-    return float(coef[0]), float(coef[1])
+        low, high = (low, slope) if least > 0 else (slope, high)
+        middle = (low + high) / 2
+        slope = middle if (high - low) * reach * reach >= 1 else _simplest(low, high)
+        if slope in (low, high):  # an end that was tried: the fraction is inside
+            slope = _simplest(low + (high - low) / (4 * reach * reach + 4), high - (high - low) / (4 * reach * reach + 4))
+        elif slope == middle:
+            bits = max(0, (high - low).denominator.bit_length() - (high - low).numerator.bit_length()) + 4
+            slope = Fraction(round(middle * (1 << bits)), 1 << bits)
+    return float(Fraction(int(at), slope.denominator) / sy), float(slope * sx / sy)
+
+
+def quantile_line(df: DataFrame, x: str, y: str, tau: float = 0.05) -> tuple[float, float]:
+    """``quantile_regression`` of whole-numbered columns, from counts of their pairs: what is fitted is as large as the scores' ranges allow, whatever the rows."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")).toPandas()
+    if not len(pairs):
+        raise ValueError("no pair of scores")
+    return quantile_regression(pairs["x"].to_numpy(), pairs["y"].to_numpy(), tau, pairs["n"].to_numpy())
 
 
 def refresh_cutoffs(cutoffs: list[dict], mode: int, r: tuple[float, float], h: tuple[float, float] | None = None) -> list[dict]:
@@ -221,21 +291,20 @@ def refresh_cutoffs(cutoffs: list[dict], mode: int, r: tuple[float, float], h: t
     return out
 
 
-def calibrate(profile: Profile, library: DataFrame, family: DataFrame, cutoffs: list[dict], mode: int = 1, residues: float | None = None, tau: float = 0.05, most: int = 20_000) -> tuple[dict, DataFrame]:
+def calibrate(profile: Profile, library: DataFrame, family: DataFrame, cutoffs: list[dict], mode: int = 1, residues: float | None = None, tau: float = 0.05) -> tuple[dict, DataFrame]:
     """Normalisation and cutoffs of a profile from scores: ({r, h, cutoffs}, the pairs of scores).
 
     ``library``: random or shuffled sequences; the line of their best scores'
     ranks gives the normalisation. ``family``: true sequences or mutants of
-    them; the ``tau`` quantile of their prefilter score given the exact one, on
-    at most ``most`` of them by a hash of the sequence, gives the prefilter's
-    line. The pairs (sequence, score, h_score) are what the second fit saw.
+    them; the ``tau`` quantile of their prefilter score given the exact one gives
+    the prefilter's line. The pairs (sequence, score, h_score) are what the second
+    fit saw.
     """
     scored = with_score(library.select("sequence"), profile).where("score IS NOT NULL")
     if residues is None:
         residues = float(library.agg(F.sum(F.length("sequence"))).first()[0] or 0)
     line = rank_regression(scored, "score", residues=residues).first()
     pairs = with_score(with_h_score(family.select("sequence"), profile), profile).where("score IS NOT NULL").select("sequence", "score", "h_score")
-    some = pairs.orderBy(F.xxhash64("sequence"), "sequence").limit(most).select("score", "h_score").collect()
-    h = quantile_regression(np.array([r.score for r in some], float), np.array([r.h_score for r in some], float), tau)
+    h = quantile_line(pairs, "score", "h_score", tau)
     r = (line.r1, line.r2)
     return {"r": r, "h": h, "cutoffs": refresh_cutoffs(cutoffs, mode, r, h)}, pairs

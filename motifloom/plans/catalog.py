@@ -621,6 +621,19 @@ def truth_tally(spark, sf_dir):
     return _t(spark, sf_dir, "labels").join(found, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count("found").alias("n_found"))
 
 
+@query("""
+WITH p AS (SELECT s_nationkey AS x, floor(s_acctbal / 100)::BIGINT AS y, count(*) AS n FROM supplier GROUP BY ALL),
+l AS (SELECT DISTINCT (b.y - a.y)::DOUBLE / (b.x - a.x) AS slope, a.y - (b.y - a.y)::DOUBLE / (b.x - a.x) * a.x AS start FROM p a JOIN p b ON a.x < b.x UNION SELECT 0, y FROM p),
+t AS (SELECT slope, start, sum(n * greatest(0.05 * (y - start - slope * x), -0.95 * (y - start - slope * x))) AS loss FROM l CROSS JOIN p GROUP BY ALL)
+SELECT (SELECT count(*) FROM supplier) AS n, round(min(loss), 4) AS loss FROM t""")
+def quantile_line(spark, sf_dir):
+    """How far balances of suppliers lie from the line of their 5 % quantile by nation; the SQL tries the lines through all two points."""
+    pairs = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("x"), F.floor(F.col("s_acctbal") / 100).alias("y"))
+    start, slope = calibrate.quantile_line(pairs, "x", "y")
+    r = F.col("y") - (F.lit(start) + F.lit(slope) * F.col("x"))
+    return pairs.agg(F.count("*").alias("n"), F.round(F.sum(F.greatest(0.05 * r, -0.95 * r)), 4).alias("loss"))
+
+
 @query("SELECT o_orderkey, trunc(floor(o_totalprice)::INTEGER * 2.25::DOUBLE + 110.5 + 0.5)::INTEGER AS h_cutoff FROM orders")
 def heuristic_cutoff(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", normalize.heuristic_cutoff(F.floor("o_totalprice").cast("int"), 110.5, 2.25).alias("h_cutoff"))
