@@ -1,13 +1,17 @@
 """Sequence libraries: FASTA, FASTQ, EMBL and Swiss-Prot text as DataFrames.
 
 Columns: seq_id, description, header, sequence, and by format accession or
-quality. FASTA and flat files are split at record separators by the text
-source, so a large file is read by many tasks.
+quality. Files are split at record separators by the text source, so a large
+file is read by many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.letters import clean, header_description, header_id
@@ -18,18 +22,81 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace("value", "^>", "")
     parts = F.split(body, "\n", 2)
-    header = F.rtrim(parts[0])
+    header = F.regexp_replace(parts[0], r"\s+$", "")
     rows = raw.where(F.trim("value") != "").select(header.alias("header"), clean(F.coalesce(F.get(parts, 1), F.lit(""))).alias("sequence"))
     return rows.select(header_id(F.col("header")).alias("seq_id"), header_description(F.col("header")).alias("description"), "header", "sequence")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Records of '@' header, sequence lines, '+' line and one quality line; a file is one task's work."""
-    raw = spark.read.text(path, wholetext=True)
-    each = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(@[^\n]*\n[^+\n]*(?:\n[^+\n][^\n]*)*\n\+[^\n]*\n[^\n]*)"), F.lit(1))).alias("r"))
-    header = F.regexp_extract("r", r"^@([^\n]*)", 1)
-    seq = F.regexp_extract("r", r"^[^\n]*\n((?:[^+\n][^\n]*\n)*)\+", 1)
-    return each.select(header_id(header).alias("seq_id"), header_description(header).alias("description"), header.alias("header"), clean(seq).alias("sequence"), F.regexp_extract("r", r"\n([^\n]*)$", 1).alias("quality"))
+    """Records of '@' header, sequence lines, '+' line and one quality line, which may begin with '@' itself.
+
+    The text source cuts files at each line that begins with '@', so a large file
+    is many tasks' work and a record may have any number of lines. What begins so
+    is a record if it has a '+' line, else the quality of the record before; a
+    record without its quality where a split ends gets it from the next split of
+    its file, which meet by a window over the splits' ends only (two rows a split).
+    """
+    raw = spark.read.option("lineSep", "\n@").text(path)
+    pieces = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = pieces.mapInArrow(_fastq_pieces, "kind string, file string, block long, header string, sequence string, quality string")
+    open_ = rows.where("kind != 'record'").withColumn("next", F.lead(F.struct("kind", "quality")).over(W.partitionBy("file").orderBy("block", F.col("kind") == "tail")))
+    late = open_.where("kind = 'tail'").withColumn("quality", F.when(F.col("next.kind") == "head", F.col("next.quality")).otherwise("")).drop("next")
+    every = rows.where("kind = 'record'").unionByName(late)
+    header = F.concat(F.lit("@"), "header")
+    return every.select(header_id(header).alias("seq_id"), header_description(header).alias("description"), header.alias("header"), clean(F.col("sequence")).alias("sequence"), "quality")
+
+
+def _fastq_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each split, the quality that its first record lacks in the split before (head), and a last record without quality (tail)."""
+    names = ["kind", "file", "block", "header", "sequence", "quality"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    out, size, at, waiting = [], 0, None, None
+
+    def put(kind, header, sequence, quality):
+        nonlocal size
+        out.append((kind, *at, header, sequence, quality))
+        size += len(sequence or "") + len(quality or "")
+
+    def pack():
+        nonlocal size
+        made = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        out.clear()
+        size = 0
+        return made
+
+    for batch in batches:
+        for value, *place in zip(*(batch.column(c) for c in ("value", "file", "block")), strict=True):
+            place = [x.as_py() for x in place]
+            if place != at:
+                if waiting:
+                    put("tail", *waiting, None)
+                at, waiting, first = place, None, True
+            piece = value.as_py().replace("\r", "")
+            if first and at[1] == 0:
+                piece = piece.lstrip("\n").removeprefix("@")
+            lines = piece.split("\n")
+            plus = next((k for k, x in enumerate(lines) if k and x[:1] == "+"), None)
+            if plus is None:
+                text = "@" + lines[0]
+                if waiting:
+                    put("record", *waiting, text)
+                elif first and at[1]:
+                    put("head", None, None, text)
+                waiting = None
+            else:
+                if waiting:  # it has no quality at all
+                    put("record", *waiting, "")
+                waiting = lines[0], "".join(lines[1:plus])
+                if plus + 1 < len(lines):
+                    put("record", *waiting, lines[plus + 1])
+                    waiting = None
+            first = False
+            if size > 1 << 22 or len(out) > 10_000:
+                yield pack()
+    if waiting:
+        put("tail", *waiting, None)
+    if out:
+        yield pack()
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
