@@ -6,15 +6,18 @@ distinct pre-tokens of what a worker has seen stand in a trie of bytes. Each
 trie node holds the best score of any segmentation of its prefix and the number
 of pieces in it (of equal scores the fewest pieces), computed once for all
 pre-tokens that share the prefix; the node where a pre-token ends gives its
-count. Nothing is shuffled.
+count. A pre-token of over ``LONG`` bytes would be a branch of its own: its scores
+are computed along it without nodes, by the same rule. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,6 +28,8 @@ from .common import chunks
 
 #: Nodes of the trie at which a worker starts a new one.
 MAX_NODES = 500_000
+#: Bytes of a pre-token from which it isn't put into the trie.
+LONG = 4096
 #: Pre-tokens: a run of letters, numerals or other marks with the blank before it, or white space.
 PRE_TOKEN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s"
 
@@ -50,6 +55,7 @@ class Trie:
 
     def __init__(self, scores: dict[bytes, float]):
         self.scores, self.longest = scores, max(map(len, scores))
+        self.finder = None
         self.ends: dict[str, int] = {}  # terminal counts
         self._clear()
 
@@ -64,6 +70,8 @@ class Trie:
         if known is not None:
             return known
         word = token.encode("utf-8", "surrogatepass")
+        if len(word) > LONG:
+            return self._alone(word)
         node, path, child = 0, [0], self.child
         for depth, byte in enumerate(word, 1):
             key = node << 8 | byte
@@ -88,6 +96,32 @@ class Trie:
         self.best.append(top)
         self.count.append(fewest)
 
+    def _alone(self, word: bytes) -> int:
+        """The count of a long pre-token: the same scores along one branch, of which only the last ``longest`` are kept.
+
+        An automaton finds the pieces that end at each byte.
+        """
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            for piece, score in self.scores.items():
+                self.finder.add_word(piece.decode("latin-1"), (len(piece), score))
+            self.finder.make_automaton()
+        room = self.longest + 1
+        best, count = [0.0] * room, [0] * room
+        at, top, fewest = 0, -math.inf, 0
+        for end, (size, score) in self.finder.iter(word.decode("latin-1")):
+            if end != at:  # matches come by their end, and every byte is a piece
+                slot = (at + 1) % room
+                best[slot], count[slot] = top, fewest
+                at, top, fewest = end, -math.inf, 0
+            slot = (end + 1 - size) % room
+            total = best[slot] + score
+            if total >= top:
+                n = count[slot] + 1
+                if total > top or n < fewest:
+                    top, fewest = total, n
+        return fewest
+
     def fresh(self) -> None:
         if len(self.best) > MAX_NODES:
             self._clear()
@@ -104,10 +138,11 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     stay; an empty table gives none; other columns aren't looked at.
     """
     pieces = load(vocabulary)
+    name = hashlib.sha256(b"".join(len(p).to_bytes(4, "big") + p for p in pieces)).hexdigest()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _kept.get("for") != (vocabulary, len(pieces)):
-            _kept.update({"for": (vocabulary, len(pieces)), "trie": Trie(zipf(pieces))})
+        if _kept.get("for") != name:
+            _kept.update({"for": name, "trie": Trie(zipf(pieces))})
         trie, cut = _kept["trie"], regex.compile(PRE_TOKEN).findall
         ends = trie.ends
         for batch in batches:
@@ -116,10 +151,15 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 tokens, pres = [], []
                 for text in part.column("text").to_pylist():
                     own = cut(text) if text else []
+                    size = len(own)
+                    more = 0
                     for t in set(own).difference(ends):
-                        trie.add(t)
-                    tokens.append(sum(map(ends.__getitem__, own)))
-                    pres.append(len(own))
+                        n = trie.add(t)
+                        if t not in ends:  # long ones aren't kept
+                            more += n * own.count(t)
+                            own = [x for x in own if x != t]
+                    tokens.append(sum(map(ends.__getitem__, own)) + more)
+                    pres.append(size)
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.array(tokens, np.int64)), pa.array(np.array(pres, np.int64))], names=["doc_id", "n_tokens", "n_pretokens"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

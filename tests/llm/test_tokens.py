@@ -1,4 +1,7 @@
 import math
+import random
+import subprocess
+import sys
 
 import pytest
 import regex
@@ -85,3 +88,40 @@ def test_counts_equal_a_plain_count(spark):
     for r in got:
         own = regex.findall(tk.PRE_TOKEN, texts[r.doc_id])
         assert (r.n_tokens, r.n_pretokens) == (sum(map(plain, own)), len(own))
+
+
+def test_long_pre_tokens_equal_the_trie(monkeypatch):
+    rng, pieces = random.Random(5), tk.load(VOCABULARY)
+    scores = tk.zipf(pieces)
+    for text in ("".join(rng.choices("abcdeghinorstuABC", k=3000)), "a" * 2500, "é" * 900, "thein" * 400):
+        monkeypatch.setattr(tk, "LONG", 10**9)
+        want = tk.Trie(scores).add(text)
+        monkeypatch.setattr(tk, "LONG", 100)
+        assert tk.Trie(scores).add(text) == want
+    monkeypatch.setattr(tk, "LONG", 5)
+    trie = tk.Trie(SCORES)
+    assert all(trie.add(w) == slow(w)[1] for w in ("thering", "nérethere", "ingingthe", "ééééé"))
+
+
+def test_a_blob_needs_little_memory():
+    """20 MB of letters without a blank, in a process of its own."""
+    code = f"""
+import random, resource
+from motifloom.llm import tokens as tk
+trie = tk.Trie(tk.zipf(tk.load({VOCABULARY!r})))
+trie.add("x" * 5000)
+blob = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", k=1 << 20)) * 20
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert trie.add(blob) > 1 << 22 and len(trie.best) == 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert float(out.stdout) < 100
+
+
+def test_long_pre_tokens_in_a_text(spark):
+    blob = "Ab" * 4000
+    df = spark.createDataFrame([(1, f"{blob} and {blob} the"), (2, blob), (3, "and the")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_pretokens) for r in tk.count_tokens(df, VOCABULARY).collect()}
+    small = {r.doc_id: r.n_tokens for r in tk.count_tokens(spark.createDataFrame([(1, " and the"), (2, f" {blob}")], "doc_id long, text string"), VOCABULARY).collect()}
+    assert got[1] == (got[2][0] + small[1] + small[2], 4) and got[3][1] == 2
