@@ -201,14 +201,31 @@ def containment(spark, sf_dir):
 
 # profiles
 
-_H_SQL = f"""
-WITH d AS (SELECT doc_id, {_SEQ} AS s FROM documents),
-cells AS (SELECT doc_id, j, i, (7 * i + 3 * (ascii(substr(s, (j + 1)::INTEGER, 1)) - 64)) % 11 - 6 AS m
-  FROM (SELECT doc_id, s, unnest(range(length(s))) AS j FROM d), (SELECT unnest(range(16)) AS i)),
-run AS (SELECT doc_id, i, j, sum(m) OVER w AS p FROM cells WINDOW w AS (PARTITION BY doc_id, j - i ORDER BY j)),
-low AS (SELECT doc_id, i, j, p, min(CASE WHEN j > 0 THEN p END) OVER (PARTITION BY doc_id, j - i ORDER BY j) AS r FROM run),
-best AS (SELECT doc_id, i, greatest(0, max(CASE WHEN j = 0 THEN p ELSE p - least(0, r) END)) AS v FROM low GROUP BY doc_id, i)
-SELECT d.doc_id, coalesce(sum(v), 0)::INTEGER AS h_score FROM d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id"""
+def _h_sql() -> str:
+    """Prefilter scores of documents in DuckDB: a list of diagonal values by letter, made anew for each profile position."""
+    parts = [f"h AS (SELECT doc_id, list_transform(range(1, length(s) + 1), lambda k: ascii(s[k]) - 64) AS s, []::BIGINT[] AS v, 0::BIGINT AS h FROM (SELECT doc_id, {_SEQ} AS s FROM documents))"]
+    for i in range(16):
+        before = "coalesce(v[k - 1], 0)" if i else "0"
+        own = f"list_transform(s, lambda a, k: greatest(CASE WHEN k = 1 THEN -100 ELSE 0 END, {before} + (7 * {i} + 3 * a) % 11 - 6))"
+        parts.append(f"h{i} AS (SELECT doc_id, s, {own} AS v, h + greatest(0, coalesce(list_max(v), 0)) AS h FROM {f'h{i - 1}' if i else 'h'})")
+    parts.append("hs AS MATERIALIZED (SELECT doc_id, (h + greatest(0, coalesce(list_max(v), 0)))::INTEGER AS h_score FROM h15)")
+    return ",\n".join(parts)
+
+
+def _exact_sql() -> str:
+    """Exact scores of documents in DuckDB: for each profile position a row a letter; gaps in the document by running maxima, gaps in the profile by a column carried from position to position."""
+    parts = [f"x0 AS MATERIALIZED (SELECT doc_id, j, ascii(s[j]) - 64 AS a, 0::BIGINT AS m, {_NEG}::BIGINT AS d, {_NEG}::BIGINT AS best FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS j FROM (SELECT doc_id, {_SEQ} AS s FROM documents)))"]
+    for p in range(1, 17):
+        parts.append(f"k{p} AS (SELECT doc_id, j, a, d - 2 AS kd, best, coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY j), 0) + (7 * {p - 1} + 3 * a) % 11 - 6 AS km FROM x{p - 1})")
+        parts.append(f"i{p} AS (SELECT *, coalesce(max(km + 2 * j) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {_NEG}) - 9 - 2 * j AS ki FROM k{p})")
+        parts.append(f"x{p} AS MATERIALIZED (SELECT doc_id, j, a, greatest(km, ki, kd, {0 if p < 16 else _NEG}) AS m, greatest(km - 9, kd) AS d, greatest(best, km) AS best FROM i{p})")
+    parts.append("xs AS MATERIALIZED (SELECT d.doc_id, max(best)::INTEGER AS score FROM documents d LEFT JOIN x16 ON x16.doc_id = d.doc_id GROUP BY d.doc_id)")
+    return ",\n".join(parts)
+
+
+_NEG = -1000000
+_H_SQL = f"WITH {_h_sql()} SELECT doc_id, h_score FROM hs"
+_BOTH_SQL = f"WITH {_h_sql()},\n{_exact_sql()}"
 
 
 @query(_H_SQL)
@@ -227,12 +244,13 @@ def _scored(spark, sf_dir):
     return search.with_score(df.where(F.col("h_score") >= H_CUTOFF), profile())
 
 
-@query()
+@query(f"WITH {_exact_sql()} SELECT doc_id, score FROM xs")
 def score_exact(spark, sf_dir):
     return search.with_score(_docs(spark, sf_dir), profile()).select("doc_id", "score")
 
 
-@query()
+@query(f"""{_BOTH_SQL} SELECT doc_id, h_score, score, round(1.5::DOUBLE + 0.02::DOUBLE * score, 4) AS norm, CASE WHEN score >= 36 THEN 1 ELSE 0 END AS level
+FROM hs JOIN xs USING (doc_id) WHERE h_score >= {H_CUTOFF} AND score >= {CUTOFF}""")
 def search_cascade(spark, sf_dir):
     """Prefilter, score, normalised score and level of the documents that reach the cutoff."""
     norm = F.round(normalize.raw_to_norm("LINEAR", [1.5, 0.02], F.col("score")), 4)
@@ -248,7 +266,7 @@ def search_align(spark, sf_dir):
     return search.search(_docs(spark, sf_dir), motifs, "doc_id")
 
 
-@query()
+@query(f"{_BOTH_SQL} SELECT count(*) AS n, count_if(h_score >= {H_CUTOFF}) AS n_heuristic, count_if(h_score >= {H_CUTOFF} AND score >= {CUTOFF}) AS n_filter FROM hs JOIN xs USING (doc_id)")
 def stage_counts(spark, sf_dir):
     df = search.with_score(search.with_h_score(_docs(spark, sf_dir), profile()), profile())
     return search.stage_counts(df, "h_score", H_CUTOFF, "score", CUTOFF)
@@ -263,7 +281,6 @@ def survivors(spark, sf_dir):
 # exact scores of short sequences, the letters of page addresses: letter after letter in SQL
 
 _URL_LETTERS = "upper(regexp_replace(url, '[^A-Za-z]', '', 'g'))"
-_NEG = -1000000
 _CELL = "(7 * (p - 1) + 3 * (ascii(s[(j + 1)::INTEGER]) - 64)) % 11 - 6"
 _SCORE_SQL = f"""
 RECURSIVE walk AS (

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 SF_MORE = "/root/testdata/sf0.01"
 PROFILE = "tests/fixtures/tiny.prf"
 #: Queries whose SQL takes over a minute at sf0.01.
-SLOW = {"h_score", "h_filter", "survivors", "translate_interleaved", "translate_six_frames"}
+SLOW = {"translate_interleaved", "translate_six_frames"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
