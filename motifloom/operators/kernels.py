@@ -30,7 +30,7 @@ class Profile:
     n2: int = 0  # 0: the length
     name: str = ""
     consensus: str = ""
-    circular: bool = False  # its end joins its begin; no search takes it as linear
+    circular: bool = False  # its end joins its begin (see ``circular``)
 
     def __post_init__(self):
         n = len(self.match) + 1
@@ -109,8 +109,10 @@ def h_scores(p: Profile, codes: np.ndarray, starts: np.ndarray, floor: np.ndarra
     but for cells of a sequence's first letter; the best of each profile
     position, if positive, are summed. One vector step for each position, over
     blocks of whole sequences that fit the cache. ``floor``: the least score a
-    match position counts (see ``detours``).
+    match position counts (see ``detours``). Circular profiles have no such score.
     """
+    if p.circular:
+        raise ValueError(f"circular profiles have no prefilter score: {p.name}")
     n = len(starts) - 1
     out = np.zeros(n, np.int64)
     match = np.maximum(p.match, -(1 << 20)).astype(np.int32)
@@ -173,6 +175,12 @@ def best_ends(
     is a part of it; letters that are ``locked`` can't be used inside the
     protected positions. Sequences of like length are worked on side by side.
     """
+    if p.circular:
+        from . import circular
+
+        if others is not None:
+            raise ValueError("the ends of a circular profile's other alignments aren't kept")
+        return circular.best_ends(p, codes, locked, first, last, cutoff)
     n = len(codes)
     score, end = np.full(n, NEG, np.int64), np.zeros(n, np.int64)
     first = np.ones(n, bool) if first is None else np.asarray(first, bool)
@@ -329,6 +337,7 @@ class Match:
     protected_begin: int
     protected_end: int
     aligned: str
+    repeats: tuple = ()  # of a circular profile's path over the join: (begin, end, motif_start, motif_end) of each turn
 
 
 def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | None = None, first: bool = True, last: bool = True) -> Match | None:
@@ -336,6 +345,10 @@ def best_match(p: Profile, codes: np.ndarray, seq: str, locked: np.ndarray | Non
 
     ``first`` and ``last``: whether the letters begin and end the sequence, or are a part of it.
     """
+    if p.circular:
+        from . import circular
+
+        return circular.best_match(p, codes, seq, locked, first, last)
     n, size = len(codes), p.length
     if not n:
         return None
@@ -419,7 +432,8 @@ def _traced(p: Profile, codes: np.ndarray, seq: str, score: int, end: int, locke
         if low == 0 and (m is None or m.score != score):
             return None
         if m is not None and m.score == score:
-            return replace(m, begin=m.begin + low, end=m.end + low, protected_begin=m.protected_begin + low, protected_end=m.protected_end + low)
+            repeats = tuple((b + low, e + low, *rest) for b, e, *rest in m.repeats)
+            return replace(m, begin=m.begin + low, end=m.end + low, protected_begin=m.protected_begin + low, protected_end=m.protected_end + low, repeats=repeats)
         size *= 4
 
 
@@ -437,7 +451,7 @@ def all_matches(p: Profile, codes: list[np.ndarray], seqs: list[str], cutoff: in
     over a locked stretch, so the parts left and right of it are searched by
     themselves. Each round works on all sequences side by side.
     """
-    if p.n1 == 1 and p.last == p.length and not unique:
+    if p.n1 == 1 and p.last == p.length and not unique and not p.circular:
         return _apart(p, codes, seqs, cutoff, limit)
     found: list[list[Match]] = [[] for _ in codes]
     locked = [np.zeros(len(c), bool) for c in codes]

@@ -300,7 +300,7 @@ def apply(hits: DataFrame, rules: Sequence[tuple]) -> DataFrame:
 
 def unroll(hits: DataFrame, parts: str = "sub_hits") -> DataFrame:
     """A row for each repeat inside a match: begin and end are the repeat's, everything else the match's; a match without repeats stays."""
-    own = F.when(F.size(parts) > 0, F.col(parts)).otherwise(F.array(F.struct("begin", "end")))
+    own = F.when(F.size(parts) > 0, F.transform(parts, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end")))).otherwise(F.array(F.struct("begin", "end")))
     split = hits.withColumn("_part", F.explode(own))
     return split.withColumns({"begin": F.col("_part.begin"), "end": F.col("_part.end")}).drop("_part", parts)
 

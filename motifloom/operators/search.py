@@ -36,6 +36,9 @@ class Motif:
     unique: bool = False
 
 
+_TURN = ("begin", "end", "motif_start", "motif_end")
+
+
 def _laid(p: K.Profile, seqs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     text = "".join(s or "" for s in seqs)
     return p.encode(text), np.r_[0, np.cumsum([len(s or "") for s in seqs])].astype(np.int64)
@@ -74,38 +77,42 @@ def with_score(df: DataFrame, profile: K.Profile, column: str = "sequence", name
     return df.mapInArrow(step, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
 
 
+#: Turns of a circular profile inside one match.
+SUB_HITS = "sub_hits array<struct<begin:int,end:int,motif_start:int,motif_end:int>>"
 HIT = "motif_ac string, match_no int, begin int, end int, motif_start int, motif_end int, raw_score int, h_score int, aligned string"
 
 
-def search(df: DataFrame, motifs: Sequence[Motif], key: str = "seq_id", column: str = "sequence", align: bool = True, limit: int | None = None) -> DataFrame:
+def search(df: DataFrame, motifs: Sequence[Motif], key: str = "seq_id", column: str = "sequence", align: bool = True, limit: int | None = None, repeats: bool = False) -> DataFrame:
     """Matches of any number of motifs: the key's column and those of ``HIT``, one row for each match.
 
     A motif with a prefilter cutoff is scored only where its prefilter score
     reaches it. Matches of one motif in one sequence have apart protected
     parts and are numbered in order; ``limit`` bounds them. ``align=False``
     stops after scoring: one row for each sequence that reaches the cutoff.
+    Circular profiles are searched without a prefilter; with ``repeats`` the
+    turns inside each match are given (``SUB_HITS``, none for linear profiles).
     """
-    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, {HIT}"
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, {HIT}" + (f", {SUB_HITS}" if repeats else "")
     own = df.select(key, F.col(column).alias("_sequence"))
-    circular = [m.ac or m.profile.name for m in motifs if m.profile.circular]
+    circular = [m.ac or m.profile.name for m in motifs if m.profile.circular and m.h_cutoff is not None]
     if circular:
-        raise ValueError(f"circular profiles can't be searched with: {', '.join(circular)}")
+        raise ValueError(f"circular profiles have no prefilter: {', '.join(circular)}")
     out = None
     group: list[Motif] = []
     cells = 0
     for m in [*motifs, None]:
         size = m.profile.match.size if m else 0
         if group and (m is None or cells + size > PASS_CELLS):
-            found = own.mapInArrow(_search(list(group), align, limit), kind)
+            found = own.mapInArrow(_search(list(group), align, limit, repeats), kind)
             out = found if out is None else out.unionByName(found)
             group, cells = [], 0
         if m:
             group.append(m)
             cells += size
-    return out if out is not None else own.where("false").mapInArrow(_search([], align, limit), kind)
+    return out if out is not None else own.where("false").mapInArrow(_search([], align, limit, repeats), kind)
 
 
-def _search(motifs: list[Motif], align: bool, limit: int | None):
+def _search(motifs: list[Motif], align: bool, limit: int | None, repeats: bool = False):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, "_sequence"):
@@ -114,7 +121,7 @@ def _search(motifs: list[Motif], align: bool, limit: int | None):
                 for motif in motifs:
                     p = motif.profile
                     codes, starts = _laid(p, seqs)
-                    h = K.h_scores(p, codes, starts)
+                    h = K.h_scores(p, codes, starts) if not p.circular else np.zeros(len(seqs), np.int64)
                     passed = np.flatnonzero((h >= motif.h_cutoff) if motif.h_cutoff is not None else np.diff(starts) > 0)
                     own = [codes[starts[i] : starts[i + 1]] for i in passed]
                     best = K.scores(p, own, motif.cutoff if align else None)
@@ -125,11 +132,11 @@ def _search(motifs: list[Motif], align: bool, limit: int | None):
                         for n, m in enumerate(ms, 1):
                             rows.append(i)
                             place = (m.begin, m.end, m.motif_start, m.motif_end, m.score, int(h[i]), m.aligned) if m else (None, None, None, None, int(best[k]), int(h[i]), None)
-                            hits.append((motif.ac, n, *place))
+                            hits.append((motif.ac, n, *place, *([[dict(zip(_TURN, x, strict=True)) for x in m.repeats] if m else []] if repeats else [])))
                 if rows:
                     keys = part.column(0).take(pa.array(rows))
-                    kinds = [pa.string(), *[pa.int32()] * 7, pa.string()]
-                    yield pa.record_batch([keys, *(pa.array(c, t) for c, t in zip(zip(*hits, strict=True), kinds, strict=True))], names=[part.schema.names[0], *(x.split()[0] for x in HIT.split(", "))])
+                    kinds = [pa.string(), *[pa.int32()] * 7, pa.string(), *([pa.list_(pa.struct([(x, pa.int32()) for x in _TURN]))] if repeats else [])]
+                    yield pa.record_batch([keys, *(pa.array(c, t) for c, t in zip(zip(*hits, strict=True), kinds, strict=True))], names=[part.schema.names[0], *(x.split()[0] for x in HIT.split(", ")), *(["sub_hits"] if repeats else [])])
 
     return step
 

@@ -7,6 +7,7 @@ motifs, prices are scores. Every query runs over whole tables and whole texts.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 import numpy as np
@@ -332,6 +333,42 @@ def family_of_url(spark, sf_dir):
     return search.best_family(scored.unionByName(plain).where("raw_score IS NOT NULL"), "page_id")
 
 
+# a circular profile: the state after its last position is also that before its first
+
+_TURNS_SQL = f"""
+WITH RECURSIVE walk AS (
+  SELECT page_id, {_URL_LETTERS} AS s, 0::BIGINT AS j, list_transform(range(0, 9), lambda p: CASE WHEN p < 8 THEN 0 ELSE {_NEG} END::BIGINT) AS m,
+    list_transform(range(0, 9), lambda p: {_NEG}::BIGINT) AS i, {_NEG}::BIGINT AS best FROM pages
+  UNION ALL
+  SELECT page_id, s, j + 1, list_transform(range(0, 9), lambda p: CASE WHEN p = 0 THEN greatest(mm[1], mm[9]) ELSE greatest(mm[p + 1], dl - 2 * p) END),
+    list_transform(range(0, 9), lambda p: CASE WHEN p = 0 THEN greatest(ii[1], ii[9]) ELSE ii[p + 1] END), greatest(best, list_max(km))
+  FROM (SELECT *, greatest(km[9] - 9, kd[9]) AS dl, list_transform(range(0, 9), lambda p: greatest(km[p + 1], ki[p + 1], kd[p + 1], CASE WHEN p < 8 THEN 0 ELSE {_NEG} END)) AS mm,
+      list_transform(range(0, 9), lambda p: greatest(km[p + 1] - 9, ki[p + 1])) AS ii
+    FROM (SELECT *, list_transform(range(0, 9), lambda p: coalesce(list_max(list_transform(range(1, p), lambda q: km[q + 1] - 9 - 2 * (p - q))), {_NEG})) AS kd
+      FROM (SELECT *, list_transform(range(0, 9), lambda p: CASE WHEN p = 0 THEN {_NEG} ELSE m[p] + {_CELL} END) AS km, list_transform(i, lambda x: x - 2) AS ki
+        FROM walk WHERE j < length(s)))))
+SELECT page_id, nullif(best, {_NEG})::INTEGER AS score FROM walk WHERE j = length(s)"""
+
+
+def _circular():
+    return dataclasses.replace(profile(8), circular=True, name="TURN8")
+
+
+@query(_TURNS_SQL)
+def circular_score(spark, sf_dir):
+    """Best scores of page addresses by a profile of eight positions whose end joins its begin."""
+    return search.with_score(_urls(spark, sf_dir), _circular()).select("page_id", "score")
+
+
+@query(f"SELECT page_id, score AS raw_score FROM ({_TURNS_SQL}) WHERE score >= 24")
+def circular_turns(spark, sf_dir):
+    """The best match of each address that reaches the cutoff, by its turns put together."""
+    hits = search.search(_urls(spark, sf_dir), [search.Motif(_circular(), 24, None, "TURN8", unique=True)], "page_id", repeats=True)
+    turns = postprocess.unroll(hits).groupBy("page_id").agg(F.max("raw_score").alias("raw_score"), F.min("begin").alias("low"), F.max("end").alias("high"))
+    same = hits.join(turns.withColumnRenamed("raw_score", "of_turns"), "page_id").where("low = begin AND high = end AND raw_score = of_turns")
+    return same.select("page_id", "raw_score")
+
+
 # strings
 
 

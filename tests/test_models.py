@@ -136,12 +136,6 @@ def test_sam_lines(spark):
     assert results.formatted(hits.drop("quality"), 8).first().value.split("\t")[10] == "*"
 
 
-def test_circular_profiles_are_refused(spark):
-    p = K.linear(np.array([[0, 1, 2]]), "AB", circular=True)
-    with pytest.raises(ValueError):
-        search.search(spark.createDataFrame([("x", "AB")], "seq_id string, sequence string"), [search.Motif(p, 1)])
-
-
 def test_nearest_shares(spark):
     seqs = spark.createDataFrame([("a", "AC"), ("b", "GT")], "seq_id string, aligned string")
     cands = spark.createDataFrame([(1, "AC"), (2, "TA")], "cand_id int, aligned string")
