@@ -463,6 +463,8 @@ def all_matches(p: Profile, codes: list[np.ndarray], seqs: list[str], cutoff: in
             if s < cutoff or s <= NEG // 2:
                 continue
             m = _traced(p, codes[k], seqs[k], s, e, locked[k], True, True)
+            if locked[k][m.protected_begin - 1 : m.protected_end].all():  # it passes over the protected positions: nothing new would come
+                continue
             found[k].append(m)
             locked[k][m.protected_begin - 1 : m.protected_end] = True
             if not unique and (limit is None or len(found[k]) < limit):

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import inorder
 from . import kernels as K
 
 #: Profile cells (positions times letters) carried to tasks in one pass.
@@ -34,6 +35,7 @@ class Motif:
     h_cutoff: int | None = None
     ac: str = ""
     unique: bool = False
+    order: str = "best"  # matches are taken best first, or accepted from left to right: "sequence"
 
 
 _TURN = ("begin", "end", "motif_start", "motif_end")
@@ -94,6 +96,9 @@ def search(df: DataFrame, motifs: Sequence[Motif], key: str = "seq_id", column:
     """
     kind = f"`{key}` {df.schema[key].dataType.simpleString()}, {HIT}" + (f", {SUB_HITS}" if repeats else "")
     own = df.select(key, F.col(column).alias("_sequence"))
+    unknown = {m.order for m in motifs} - {"best", "sequence"}
+    if unknown:
+        raise ValueError(f"no such order of matches: {', '.join(unknown)}")
     circular = [m.ac or m.profile.name for m in motifs if m.profile.circular and m.h_cutoff is not None]
     if circular:
         raise ValueError(f"circular profiles have no prefilter: {', '.join(circular)}")
@@ -126,7 +131,8 @@ def _search(motifs: list[Motif], align: bool, limit: int | None, repeats: bool =
                     own = [codes[starts[i] : starts[i + 1]] for i in passed]
                     best = K.scores(p, own, motif.cutoff if align else None)
                     good = np.flatnonzero(best >= motif.cutoff)
-                    found = K.all_matches(p, [own[k] for k in good], [seqs[passed[k]] for k in good], motif.cutoff, motif.unique, limit) if align else [[None]] * len(good)
+                    finder = inorder.all_matches if motif.order == "sequence" else K.all_matches
+                    found = finder(p, [own[k] for k in good], [seqs[passed[k]] for k in good], motif.cutoff, motif.unique, limit) if align else [[None]] * len(good)
                     for k, ms in zip(good.tolist(), found, strict=True):
                         i = int(passed[k])
                         for n, m in enumerate(ms, 1):

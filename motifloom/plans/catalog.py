@@ -267,6 +267,12 @@ def search_align(spark, sf_dir):
     return search.search(_docs(spark, sf_dir), motifs, "doc_id")
 
 
+@query()
+def search_in_order(spark, sf_dir):
+    """All matches of the profile in every document, accepted from left to right."""
+    return search.search(_docs(spark, sf_dir), [search.Motif(profile(), 34, H_CUTOFF, "RULE16", order="sequence")], "doc_id")
+
+
 @query(f"{_BOTH_SQL} SELECT count(*) AS n, count_if(h_score >= {H_CUTOFF}) AS n_heuristic, count_if(h_score >= {H_CUTOFF} AND score >= {CUTOFF}) AS n_filter FROM hs JOIN xs USING (doc_id)")
 def stage_counts(spark, sf_dir):
     df = search.with_score(search.with_h_score(_docs(spark, sf_dir), profile()), profile())

@@ -30,9 +30,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut that no later plan reads."""
+    """Delete the files of a cut that no later plan reads, and let the driver collect its garbage: Spark deletes shuffle files only after that."""
     spark, path = df.sparkSession, getattr(df, "_cut_path", None)
     if path:
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        jvm.System.gc()
