@@ -7,11 +7,14 @@ DataFrame step; a single model's tables are small and are made on the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import NEG, Profile
 
@@ -103,21 +106,72 @@ def make_profile(msa: DataFrame, matrix: DataFrame, alphabet: str, mode: str = "
     return Profile(alphabet, match, insert, extend, trans, {"b0": b0, "b1": b1, "e0": e0, "e1": e1}, 1 + tail, size - tail, consensus=consensus)
 
 
-def nearest_shares(candidates: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(seq_id, share): each candidate gives one, in equal parts, to the sequences at the least Hamming distance.
+#: Rows of a block that is compared with another block.
+BLOCK = 1024
+
+
+def _planes(rows: list[str], width: int, bits: int) -> np.ndarray:
+    """Rows of letters as bits: (row, bit of the letter's number, words of 64 columns)."""
+    codes = np.zeros((len(rows), width), np.uint32)
+    for k, row in enumerate(rows):
+        own = np.frombuffer((row or "").encode("utf-32-le"), np.uint32)
+        codes[k, : len(own)] = own
+    out = np.zeros((len(rows), bits, -(-width // 64) * 8), np.uint8)
+    for bit in range(bits):
+        packed = np.packbits((codes >> bit & 1).astype(bool), axis=1)
+        out[:, bit, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Hamming distances of all rows of a to all rows of b: columns whose letters differ in any bit, 64 at a time."""
+    width = max(map(len, [*a, *b]), default=0)
+    bits = max((ord(max(x)) for x in [*a, *b] if x), default=1).bit_length()
+    if not width:
+        return np.zeros((len(a), len(b)), np.int64)
+    x, y = _planes(a, width, bits), _planes(b, width, bits)
+    out = np.zeros((len(a), len(b)), np.int64)
+    for k in range(len(a)):
+        differ = x[k, 0] ^ y[:, 0]
+        for bit in range(1, bits):
+            differ |= x[k, bit] ^ y[:, bit]
+        out[k] = np.bitwise_count(differ).sum(axis=1)
+    return out
+
+
+def nearest(candidates: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(cand_id, distance, seq_ids): for each candidate the sequences at the least Hamming distance, by blocks.
 
-    Both have an id and an ``aligned`` string of one length; candidates are met
-    by (col, symbol) equality, so pairs that agree nowhere cost nothing. A
-    candidate that agrees with none anywhere is as near to all of them.
+    Both have an id and an ``aligned`` string. Rows are gathered into blocks; each
+    block of candidates meets each block of sequences, which gives a row a
+    candidate, with the least distance in the block and who has it; pairs of rows
+    are never made. No sequences: no rows.
     """
-    letters = lambda df, key: df.select(key, F.posexplode(F.split("aligned", "")).alias("col", "symbol")).where("symbol != ''")
-    same = letters(candidates, "cand_id").join(letters(sequences, "seq_id"), ["col", "symbol"]).groupBy("cand_id", "seq_id").agg(F.count("*").alias("same"))
-    best = same.withColumn("k", F.rank().over(W.partitionBy("cand_id").orderBy(F.desc("same")))).where("k = 1")
-    ties = best.groupBy("cand_id").agg(F.count("*").alias("ties"))
-    shares = best.join(ties, "cand_id").groupBy("seq_id").agg(F.sum(1.0 / F.col("ties")).alias("share"))
-    apart, n = candidates.join(ties, "cand_id", "left_anti").count(), sequences.count()
-    every = sequences.select("seq_id").join(shares, "seq_id", "left") if apart else shares
-    return every.select("seq_id", (F.coalesce("share", F.lit(0.0)) + F.lit(apart / n if apart and n else 0.0)).alias("share"))
+    ids, named = sequences.schema["seq_id"].dataType, candidates.schema["cand_id"].dataType
+    n_seq, n_cand = sequences.count(), candidates.count()
+    blocks = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // BLOCK)))).alias("block")).agg(F.collect_list(F.struct(key, "aligned")).alias("rows"))
+    left = blocks(candidates, "cand_id", n_cand).select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n_seq // BLOCK) - 1)).cast("long"))).alias("other"))
+    met = left.join(blocks(sequences, "seq_id", n_seq).select(F.col("block").alias("other"), F.col("rows").alias("seqs")), "other").select("rows", "seqs")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cands, seqs = batch.column(0)[k].values, batch.column(1)[k].values
+                d = distances(cands.field("aligned").fill_null("").to_pylist(), seqs.field("aligned").fill_null("").to_pylist())
+                least = d.min(axis=1)
+                row, at = np.nonzero(d == least[:, None])
+                ties = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(d) + 1)).astype(np.int32)), seqs.field("seq_id").take(pa.array(at)))
+                yield pa.record_batch([cands.field("cand_id"), pa.array(least), ties], names=["cand_id", "distance", "seq_ids"])
+
+    each = met.mapInArrow(step, T.StructType([T.StructField("cand_id", named), T.StructField("distance", T.LongType()), T.StructField("seq_ids", T.ArrayType(ids))]))
+    best = each.withColumn("least", F.min("distance").over(W.partitionBy("cand_id"))).where("distance = least")
+    return best.groupBy("cand_id").agg(F.first("distance").alias("distance"), F.flatten(F.collect_list("seq_ids")).alias("seq_ids"))
+
+
+def nearest_shares(candidates: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(seq_id, share): each candidate gives one, in equal parts, to the sequences at the least Hamming distance."""
+    near = nearest(candidates, sequences)
+    return near.select(F.explode("seq_ids").alias("seq_id"), (1.0 / F.size("seq_ids")).alias("part")).groupBy("seq_id").agg(F.sum("part").alias("share"))
 
 
 def weights(msa: DataFrame, shuffles: int = 100, total: float = 1.0, seed: int = 1) -> DataFrame:

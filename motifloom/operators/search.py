@@ -67,6 +67,30 @@ def with_h_score(df: DataFrame, profile: K.Profile, column: str = "sequence", na
     return df.mapInArrow(step, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
 
 
+def folded_h_score(sequence: Column, profile: K.Profile) -> Column:
+    """The prefilter score as an expression of built-in functions: a fold over profile positions of the diagonal values by letter.
+
+    Each position makes the array of values anew from the one before, shifted by
+    a letter, and adds its best, if positive, to the sum. A null sequence has
+    null, an empty one 0.
+    """
+    if profile.circular:
+        raise ValueError(f"circular profiles have no prefilter score: {profile.name}")
+    table = F.array(*(F.array(*(F.lit(int(max(v, -(1 << 20)))) for v in row)) for row in profile.match))
+    letters = F.filter(F.split(sequence, ""), lambda c: c != "")
+    codes = F.transform(letters, lambda c, k: F.struct(F.instr(F.lit(profile.alphabet), c).alias("code"), (k == 0).alias("first")))
+    start = F.struct(codes.alias("codes"), F.transform(codes, lambda c: F.lit(0)).alias("values"), F.lit(0).alias("total"))
+
+    def fold(state, row):
+        before = F.slice(F.concat(F.array(F.lit(0)), state["values"]), F.lit(1), F.size(state["codes"]))
+        least = F.lit(-(1 << 22))
+        values = F.zip_with(before, state["codes"], lambda v, c: F.greatest(F.when(c["first"], least).otherwise(F.lit(0)), v + F.get(row, c["code"])))
+        best = F.greatest(F.coalesce(F.array_max(values), F.lit(0)), F.lit(0))
+        return F.struct(state["codes"].alias("codes"), values.alias("values"), (state["total"] + best).alias("total"))
+
+    return F.aggregate(table, start, fold, lambda state: state["total"])
+
+
 def with_score(df: DataFrame, profile: K.Profile, column: str = "sequence", name: str = "score") -> DataFrame:
     """df with the best alignment score of each sequence; null for null, empty and impossible ones."""
 

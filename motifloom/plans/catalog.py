@@ -234,6 +234,12 @@ def h_score(spark, sf_dir):
     return search.with_h_score(_docs(spark, sf_dir), profile()).select("doc_id", "h_score")
 
 
+@query(_H_SQL)
+def h_score_folded(spark, sf_dir):
+    """The prefilter score by built-in functions alone: no Python runs."""
+    return _docs(spark, sf_dir).select("doc_id", search.folded_h_score(F.col("sequence"), profile()).alias("h_score"))
+
+
 @query(f"SELECT * FROM ({_H_SQL}) WHERE h_score >= {H_CUTOFF}")
 def h_filter(spark, sf_dir):
     scored = search.with_h_score(_docs(spark, sf_dir), profile()).select("doc_id", "h_score")
@@ -411,6 +417,17 @@ def column_frequencies(spark, sf_dir):
     return freqs.select(F.col("col").cast("long").alias("col"), "symbol", F.round("freq", 9).alias("freq"), F.round("gap", 9).alias("gap"))
 
 
+@query("""
+WITH d AS (SELECT s_suppkey AS cand_id, page_id, len(list_filter(range(1, 33), lambda k: substr(md5(s_name), k, 1) <> substr(md5(url), k, 1))) AS distance FROM supplier, pages),
+m AS (SELECT *, min(distance) OVER (PARTITION BY cand_id) AS least FROM d)
+SELECT cand_id, least AS distance, count(*) AS ties, min(page_id) AS page_id FROM m WHERE distance = least GROUP BY ALL""")
+def nearest_rows(spark, sf_dir):
+    """For each supplier the pages whose address digests differ from its name's in the fewest digits."""
+    cands = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cand_id"), F.md5(F.col("s_name").cast("binary")).alias("aligned"))
+    rows = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("seq_id"), F.md5(F.col("url").cast("binary")).alias("aligned"))
+    return build.nearest(cands, rows).select("cand_id", "distance", F.size("seq_ids").cast("long").alias("ties"), F.array_min("seq_ids").alias("page_id"))
+
+
 # normalisation and levels
 
 _R = (240.0, -0.02, 0.3, 1.2, 0.35)

@@ -169,3 +169,19 @@ def test_all_matches_equal_one_search_after_another():
     p = K.linear(np.array([[-9] + [5 if a == i % 4 else -9 for a in range(4)] for i in range(8)]), "ACGT", -30, -10)
     found = K.matches(p, p.encode(long), long, 40)
     assert len(found) == 2_000 and all(m.aligned == "ACGTACGT" for m in found)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("ACGé-Ω"), n))
+    for n in (1, 63, 64, 130):
+        a, b = [word(n) for _ in range(20)], [word(n) for _ in range(30)]
+        assert build.distances(a, b).tolist() == [[sum(p != q for p, q in zip(x, y)) for y in b] for x in a]
+    monkeypatch.setattr(build, "BLOCK", 8)
+    cands, seqs = [word(12) for _ in range(50)], [word(12) for _ in range(40)] + ["A" * 12] * 3
+    got = build.nearest(spark.createDataFrame(list(enumerate(cands)), "cand_id long, aligned string"), spark.createDataFrame(list(enumerate(seqs)), "seq_id long, aligned string")).collect()
+    want = {}
+    for k, c in enumerate(cands):
+        d = [sum(p != q for p, q in zip(c, s)) for s in seqs]
+        want[k] = (min(d), [i for i, v in enumerate(d) if v == min(d)])
+    assert {r.cand_id: (r.distance, sorted(r.seq_ids)) for r in got} == want and len(got) == 50
