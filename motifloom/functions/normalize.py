@@ -101,12 +101,21 @@ def level(score: Column, cutoffs: Sequence[tuple[int, int]], rule: str = "highes
     return out
 
 
-def level_tag(score: Column, cutoffs: Sequence[tuple[int, str]]) -> Column:
-    """The text of the highest cutoff (least score, text) reached, else '#'."""
-    out = F.lit("#")
-    for least, text in sorted(cutoffs):
-        out = F.when(score >= least, F.lit(text)).otherwise(out)
-    return out
+def level_tag(score: Column, cutoffs: Sequence[tuple], mode: int | None = None) -> Column:
+    """The text of the highest cutoff (least score, text, modes) reached, else '#'.
+
+    Cutoffs are looked at in the order given. With ``mode`` only those count that
+    list it among their modes. One without a text leaves the tag as it is, but
+    bars lower ones that follow.
+    """
+    best, tag = F.lit(-(1 << 62)), F.lit("#")
+    for least, text, *modes in cutoffs:
+        if mode is not None and mode not in (modes[0] if modes else ()):
+            continue
+        reached = (score >= least) & (F.lit(least) > best)
+        tag = F.when(reached, F.lit(text)).otherwise(tag) if text else tag
+        best = F.when(reached, F.lit(least)).otherwise(best)
+    return tag
 
 
 def composition(seq: Column, alphabet: str) -> Column:

@@ -291,9 +291,15 @@ RULES = {
 }
 
 
-def apply(hits: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    """Rules (type, target, effector, further arguments...) in order; rules of a motif on itself come first."""
-    for kind, target, effector, *more in sorted(rules, key=lambda r: r[1] != r[2]):
+def apply(hits: DataFrame, rules: Sequence[tuple], ranks: dict[str, int] | None = None) -> DataFrame:
+    """Rules (type, target, effector, further arguments...): those of a motif on itself first, then the others.
+
+    Either by the place of their target's motif in the motif file (``ranks``,
+    motifs without one count as 0), the last motif first; rules of one target in
+    the order given. Later rules see what earlier ones changed.
+    """
+    ranks = ranks or {}
+    for kind, target, effector, *more in sorted(rules, key=lambda r: (r[1] != r[2], -ranks.get(r[1], 0))):
         hits = RULES[kind](hits, target, effector, *more)
     return hits
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +71,8 @@ def folded_h_score(sequence: Column, profile: K.Profile) -> Column:
     """The prefilter score as an expression of built-in functions: a fold over profile positions of the diagonal values by letter.
 
     Each position makes the array of values anew from the one before, shifted by
-    a letter, and adds its best, if positive, to the sum. A null sequence has
-    null, an empty one 0.
+    a letter, and adds its best, if positive, to the sum. Null and empty sequences
+    have 0.
     """
     if profile.circular:
         raise ValueError(f"circular profiles have no prefilter score: {profile.name}")
@@ -176,10 +176,41 @@ def survivors(df: DataFrame, hits: DataFrame, key: str = "seq_id") -> DataFrame:
     return df.join(hits.select(key).distinct(), key, "left_semi")
 
 
-def stage_counts(df: DataFrame, h: str, h_cutoff: int, score: str, cutoff: int) -> DataFrame:
-    """How many records there are, pass the prefilter, and pass the score filter after it."""
-    passed: Column = F.col(h) >= h_cutoff
-    return df.agg(F.count("*").alias("n"), F.count_if(passed).alias("n_heuristic"), F.count_if(passed & (F.col(score) >= cutoff)).alias("n_filter"))
+def stage_counts(df: DataFrame, motif: Motif, column: str = "sequence") -> DataFrame:
+    """How many records there are, pass the prefilter, and reach the cutoff after it: (n, n_heuristic, n_filter).
+
+    Counted where the cascade runs, a row a batch; only what passes the prefilter
+    is scored, and only up to the cutoff.
+    """
+    p = motif.profile
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, column):
+                codes, starts = _laid(p, part.column(column).to_pylist())
+                full = np.diff(starts) > 0
+                passed = np.flatnonzero(K.h_scores(p, codes, starts) >= motif.h_cutoff) if motif.h_cutoff is not None else np.arange(len(full))
+                own = [codes[starts[i] : starts[i + 1]] for i in passed]
+                good = int((K.scores(p, own, motif.cutoff) >= motif.cutoff).sum()) if own else 0
+                yield pa.record_batch([pa.array([x], pa.int64()) for x in (len(full), len(passed), good)], names=["n", "n_heuristic", "n_filter"])
+
+    each = df.select(column).mapInArrow(step, "n long, n_heuristic long, n_filter long")
+    return each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in each.columns))
+
+
+def observed(df: DataFrame, motif: Motif, column: str = "sequence") -> tuple[DataFrame, dict[str, Observation]]:
+    """df's records that reach the motif's cutoff, with h_score and score, and what each stage saw.
+
+    The counts are metrics of the search itself: after the first action on the
+    records each observation's ``get`` has n, for the stages "read", "heuristic"
+    and "filter".
+    """
+    seen = {k: Observation(f"{motif.ac or motif.profile.name}-{k}") for k in ("read", "heuristic", "filter")}
+    count = F.count(F.lit(1)).alias("n")
+    scored = with_h_score(df.observe(seen["read"], count), motif.profile, column)
+    passed = scored.where(F.col("h_score") >= motif.h_cutoff) if motif.h_cutoff is not None else scored
+    kept = with_score(passed.observe(seen["heuristic"], count), motif.profile, column).where(F.col("score") >= motif.cutoff)
+    return kept.observe(seen["filter"], count), seen
 
 
 def score_dump(df: DataFrame, profile: K.Profile, key: str = "seq_id", column: str = "sequence", both_strands: bool = False) -> DataFrame:

@@ -281,8 +281,7 @@ def search_in_order(spark, sf_dir):
 
 @query(f"{_BOTH_SQL} SELECT count(*) AS n, count_if(h_score >= {H_CUTOFF}) AS n_heuristic, count_if(h_score >= {H_CUTOFF} AND score >= {CUTOFF}) AS n_filter FROM hs JOIN xs USING (doc_id)")
 def stage_counts(spark, sf_dir):
-    df = search.with_score(search.with_h_score(_docs(spark, sf_dir), profile()), profile())
-    return search.stage_counts(df, "h_score", H_CUTOFF, "score", CUTOFF)
+    return search.stage_counts(_docs(spark, sf_dir), search.Motif(profile(), CUTOFF, H_CUTOFF))
 
 
 @query(f"SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_H_SQL}) WHERE h_score >= {H_CUTOFF})")
@@ -333,7 +332,7 @@ def url_search(spark, sf_dir):
 
 @query(f"WITH {_SCORE_SQL} SELECT count(*) AS n, count_if(h_score >= 90) AS n_heuristic, count_if(h_score >= 90 AND score >= 14) AS n_filter FROM scored")
 def url_stage_counts(spark, sf_dir):
-    return search.stage_counts(search.score_dump(_urls(spark, sf_dir), profile(), "page_id"), "h_score", 90, "score", 14)
+    return search.stage_counts(_urls(spark, sf_dir), search.Motif(profile(), 14, 90))
 
 
 @query(f"""WITH {_SCORE_SQL}, both_ AS (SELECT page_id, 'RULE16' AS ac, score AS v FROM scored UNION ALL SELECT page_id, 'LENGTH', length(s)::INTEGER FROM d)
@@ -456,10 +455,11 @@ def norm_to_raw(spark, sf_dir):
 @query("""
 SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 1 WHEN o_totalprice >= 150000 THEN 0 WHEN o_totalprice >= 50000 THEN -1 ELSE -2 END AS level,
   CASE WHEN o_totalprice >= 50000 THEN -1 WHEN o_totalprice >= 150000 THEN 0 WHEN o_totalprice >= 300000 THEN 1 ELSE 0 END AS level_by_file,
-  CASE WHEN o_totalprice >= 300000 THEN '!!' WHEN o_totalprice >= 150000 THEN '!' WHEN o_totalprice >= 50000 THEN '?' ELSE '#' END AS level_tag FROM orders""")
+  CASE WHEN o_totalprice >= 300000 THEN '!!' WHEN o_totalprice >= 150000 THEN '!' WHEN o_totalprice >= 50000 THEN '?' ELSE '#' END AS level_tag,
+  CASE WHEN o_totalprice >= 300000 THEN '!!' WHEN o_totalprice >= 50000 THEN '?' ELSE '#' END AS mode_tag FROM orders""")
 def levels(spark, sf_dir):
     s, cuts = F.col("o_totalprice"), [(-1, 50000), (0, 150000), (1, 300000)]
-    return _t(spark, sf_dir, "orders").select("o_orderkey", normalize.level(s, cuts).alias("level"), normalize.level(s, cuts, "file_order").alias("level_by_file"), normalize.level_tag(s, [(50000, "?"), (150000, "!"), (300000, "!!")]).alias("level_tag"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", normalize.level(s, cuts).alias("level"), normalize.level(s, cuts, "file_order").alias("level_by_file"), normalize.level_tag(s, [(50000, "?"), (150000, "!"), (300000, "!!")]).alias("level_tag"), normalize.level_tag(s, [(50000, "?", [1]), (150000, "!", [2]), (300000, "!!", [1, 2])], 1).alias("mode_tag"))
 
 
 # rules on hits: the lines of an order as hits in a sequence; scores are in 1024ths, so that sums are exact in any order
