@@ -102,6 +102,11 @@ def scan(df: DataFrame, regex: str, column: str = "sequence", max_matches: int |
     return df.where(F.col(column).rlike(regex)).mapInArrow(step, kinds)
 
 
+def places(seq: str, rx: re.Pattern) -> list[tuple[int, int]]:
+    """Begin and end (from 0, exclusive) of the matches that ``scan`` gives by default."""
+    return _matches(rx, seq, None, True, False, None)
+
+
 def _matches(rx: re.Pattern, seq: str, limit: int | None, overlap: bool, include: bool, max_x: int | None) -> list[tuple[int, int]]:
     out, at, last = [], 0, -1
     while at <= len(seq) and (limit is None or len(out) < limit):

@@ -16,8 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import letters, normalize, patterns
-from ..operators import build, calibrate, kernels, postprocess, search
-from ..sources import sequences
+from ..operators import build, calibrate, kernels, postprocess, search, tables
+from ..sources import motifs, sequences
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -344,6 +344,49 @@ def family_of_url(spark, sf_dir):
     return search.best_family(scored.unionByName(plain).where("raw_score IS NOT NULL"), "page_id")
 
 
+# motifs as rows: three of the rule's profiles, each shifted by some score
+
+_SHIFTS = (0, 4, 7)
+_SHIFTED_SQL = (
+    _SCORE_SQL[: _SCORE_SQL.index(",\nd AS (")].replace("SELECT page_id, ", "SELECT page_id, sh, ").replace("FROM pages", f"FROM pages, (SELECT unnest({list(_SHIFTS)}) AS sh)")
+    .replace("(7 * (p - 1) + 3 *", "(7 * (p - 1) + sh + 3 *")
+)
+
+
+def _motif_rows(spark):
+    rows = []
+    for shift in _SHIFTS:
+        p = profile()
+        match = (p.match + 6 + shift) % 11 - 6
+        match[:, 0] = -6
+        own = kernels.linear(match, _AZ, open_gap=-9, extend=-2)
+        cut = {"level": 0, "score": 16, "h_score": None, "n_score": [8.5], "mode": [1], "text": "!"}
+        rows.append((f"M{shift}", motifs.serialize(motifs.Entry(id=f"R{shift}", ac=f"M{shift}", type="MATRIX", profile=own, cutoffs=[cut]))))
+    return spark.createDataFrame(rows, "ac string, text string")
+
+
+@query(f"WITH {_SHIFTED_SQL} SELECT 'M' || sh AS motif_ac, page_id, score AS raw_score FROM exact WHERE score >= 16")
+def motif_table_search(spark, sf_dir):
+    """Page addresses searched with a table of motifs: the scores that reach the cutoff."""
+    hits = tables.search_table(_urls(spark, sf_dir), _motif_rows(spark), "page_id", align=False)
+    return hits.select("motif_ac", "page_id", "raw_score")
+
+
+@query(f"WITH {_SHIFTED_SQL} SELECT 'M' || sh AS motif_ac, page_id, score AS best FROM exact WHERE score >= 16")
+def lateral_matches(spark, sf_dir):
+    """The same by SQL: a table function gives the matches, of which the best score is the exact one."""
+    tables.register(spark)
+    return spark.sql("SELECT m.motif_ac, u.page_id, max(m.raw_score) AS best FROM {motifs} t JOIN {urls} u ON u.sequence <> '', LATERAL motif_matches(u.sequence, t.text, 0) m GROUP BY ALL", motifs=_motif_rows(spark), urls=_urls(spark, sf_dir))
+
+
+@query(f"""
+WITH d AS (SELECT page_id, {_URL_LETTERS} AS s FROM pages), places AS (SELECT page_id, s, unnest(range(1, length(s) - 2)) AS i FROM d)
+SELECT page_id, i AS "begin", substr(s, i, 4) AS matched FROM places WHERE regexp_full_match(substr(s, i, 4), '[TX][HEZX].[RNBX]')""")
+def lateral_patterns(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT u.page_id, CAST(m.begin AS BIGINT) AS begin, m.matched FROM {urls} u, LATERAL pattern_matches(u.sequence, '" + PATTERN + "') m", urls=_urls(spark, sf_dir))
+
+
 # a circular profile: the state after its last position is also that before its first
 
 _TURNS_SQL = f"""
