@@ -173,7 +173,8 @@ def best_ends(
 
     ``first`` and ``last`` tell whether each begins and ends its sequence, or
     is a part of it; letters that are ``locked`` can't be used inside the
-    protected positions. Sequences of like length are worked on side by side.
+    protected positions. Sequences of like length are worked on side by side,
+    very long ones by tiles of letters (unless letters are locked or all ends asked for).
     """
     if p.circular:
         from . import circular
@@ -186,6 +187,12 @@ def best_ends(
     first = np.ones(n, bool) if first is None else np.asarray(first, bool)
     last = np.ones(n, bool) if last is None else np.asarray(last, bool)
     order = sorted((k for k in range(n) if len(codes[k])), key=lambda k: len(codes[k]))
+    if locked is None and others is None:
+        from . import tiled
+
+        while order and len(codes[order[-1]]) > 2 * tiled.TILE:
+            k = order.pop()
+            score[k], end[k] = tiled.best_end(p, codes[k], bool(first[k]), bool(last[k]), cutoff)
     at = 0
     while at < len(order):
         to, least = at + 1, len(codes[order[at]])
