@@ -85,8 +85,20 @@ def family(width: int = 60) -> Column:
     return F.concat_ws("\t", "seq_id", "motif_ac", F.col("raw_score").cast("string"))
 
 
+def _quoted(column: str) -> Column:
+    """A string literal of Turtle: backslash, quote and line ends escaped."""
+    s = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), s, F.lit('"'))
+
+
+#: The line before all Turtle records.
+TURTLE_PREFIX = "@prefix : <urn:motif-match:> ."
+
+
 def turtle(width: int = 60) -> Column:
-    return F.concat(F.lit("[] a :Match ; :sequence \""), "seq_id", F.lit("\" ; :motif \""), "motif_ac", F.lit("\" ; :begin "), "begin", F.lit(" ; :end "), "end", F.lit(" ; :score "), F.format_string("%.3f", "norm_score"), F.lit(" ."))
+    return F.concat(F.lit("[] a :Match ; :sequence "), _quoted("seq_id"), F.lit(" ; :motif "), _quoted("motif_ac"), F.lit(" ; :begin "), "begin", F.lit(" ; :end "), "end", F.lit(" ; :score "), F.format_string("%.3f", "norm_score"), F.lit(" ."))
 
 
 def gff(width: int = 60) -> Column:
@@ -97,16 +109,80 @@ def pff(width: int = 60) -> Column:
     return F.concat_ws("\t", "seq_id", F.col("begin").cast("string"), F.col("end").cast("string"), "motif_ac", F.col("motif_start").cast("string"), F.col("motif_end").cast("string"), F.col("raw_score").cast("string"), F.format_string("%.3f", "norm_score"), F.col("level").cast("string"))
 
 
-FORMATS = {0: default, 1: level_header, 2: region_header, 3: place_header, 4: motif_header, 5: level_line, 6: xpsa, 7: tsv, 8: sam, 9: family, 10: turtle, "gff": gff, "pff": pff}
+def _matched() -> Column:
+    return F.regexp_replace(F.coalesce("aligned", F.lit("")), r"\s", "")
+
+
+def epff(width: int = 60) -> Column:
+    """``pff`` with the level's tag, if there is one, in place of the level, and what matched as a last field."""
+    fields = ["seq_id", *(F.col(c).cast("string") for c in ("begin", "end")), F.col("motif_ac"), *(F.col(c).cast("string") for c in ("motif_start", "motif_end", "raw_score")), F.format_string("%.3f", "norm_score"), F.coalesce("level_tag", F.col("level").cast("string")), _matched()]
+    return F.concat_ws("\t", *(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in fields))
+
+
+def _level_mark() -> Column:
+    return F.coalesce(F.concat(F.lit("L="), F.coalesce("level_tag", F.col("level").cast("string"))), F.lit(""))
+
+
+def fasta_hit(width: int = 60) -> Column:
+    """A FASTA record of each match: its letters, without gaps."""
+    head = F.concat(F.lit(">"), "seq_id", F.lit("/"), "begin", F.lit("-"), "end", F.lit(" : "), "motif_ac", F.lit(" "), F.coalesce("motif_id", F.lit("")), F.lit(" "), _level_mark())
+    return F.concat(F.rtrim(head), F.lit("\n"), wrap(ungapped(_matched()), width))
+
+
+def aligned_hit(width: int = 60) -> Column:
+    """As ``fasta_hit``, with the aligned string, which has one letter or gap for each profile position."""
+    return F.concat(F.substring_index(fasta_hit(width), "\n", 1), F.lit("\n"), wrap(_matched(), width))
+
+
+FORMATS = {0: default, 1: level_header, 2: region_header, 3: place_header, 4: motif_header, 5: level_line, 6: xpsa, 7: tsv, 8: sam, 9: family, 10: turtle, "gff": gff, "pff": pff, "epff": epff, "fasta": fasta_hit, "psa": aligned_hit, "msa": aligned_hit}
 
 
 def formatted(hits: DataFrame, kind: int | str = 6, width: int = 60) -> DataFrame:
     """One row of text for each hit; quality, strand and normalised score may be missing."""
-    defaults = {"quality": F.lit(None).cast("string"), "strand": F.lit("+"), "norm_score": F.lit(None).cast("double")}
+    defaults = {"quality": F.lit(None).cast("string"), "strand": F.lit("+"), "norm_score": F.lit(None).cast("double"), "level": F.lit(None).cast("int"), "level_tag": F.lit(None).cast("string")}
     hits = hits.withColumns({k: v for k, v in defaults.items() if k not in hits.columns})
     return hits.select(FORMATS[kind](width).alias("value"))
 
 
+def scan_text(hits: DataFrame, width: int = 60) -> DataFrame:
+    """A text for each sequence and motif: a header line, and for each match its places, its letters in lines of a width, and its level.
+
+    Hits without a motif_id or motif_desc have blanks there. Matches are in order.
+    """
+    for c in ("motif_id", "motif_desc", "level_tag"):
+        hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast("string"))
+    hits = hits if "level" in hits.columns else hits.withColumn("level", F.lit(None).cast("int"))
+    mark = F.when(_level_mark() != "", F.concat(F.lit(" "), _level_mark())).otherwise("")
+    lines = F.regexp_extract_all(_matched(), F.lit(f".{{1,{width}}}"), F.lit(0))
+    shown = F.transform(lines, lambda x, k: F.concat(F.when(k == 0, "").otherwise(" "), F.when(mark == "", x).otherwise(F.rpad(x, width, " ")), mark))
+    places = F.lpad(F.concat("begin", F.lit(" - "), "end"), 13, " ")
+    one = F.struct("begin", "end", F.concat(places, F.lit("  "), F.array_join(shown, "\n")).alias("text"))
+    head = F.concat(F.lit(">"), "seq_id", F.lit(" : "), "motif_ac", F.lit(" "), F.coalesce("motif_id", F.lit("")), F.lit(" "), F.coalesce("motif_desc", F.lit("")))
+    per = hits.withColumn("_head", F.rtrim(head)).groupBy("seq_id", "motif_ac", "_head").agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    return per.select("seq_id", "motif_ac", F.concat_ws("\n", "_head", F.transform("_all", lambda x: x["text"])).alias("value"))
+
+
+def hit_sequences(hits: DataFrame, library: DataFrame, width: int = 60) -> DataFrame:
+    """The whole sequence, as FASTA text, once for each motif that has a hit in it."""
+    named = hits.select("seq_id", "motif_ac").distinct()
+    head = F.concat(F.lit(">"), "seq_id", F.lit(" : "), F.coalesce("description", F.lit("")), F.lit(" : "), "motif_ac")
+    return library.join(named, "seq_id").select("seq_id", "motif_ac", F.concat(head, F.lit("\n"), wrap(F.col("sequence"), width)).alias("value"))
+
+
+def match_list(hits: DataFrame) -> DataFrame:
+    """(motif_id, part, seq_ac, value): for each pattern its name, a line for each sequence with the number of its matches, and the totals.
+
+    Sorted by the first three columns the values are the list; parts are 0, 1, 2.
+    """
+    per = hits.groupBy("motif_id", "seq_ac", "seq_id").agg(F.count("*").alias("n"))
+    line = F.concat(F.rpad("seq_ac", 6, " "), F.lit(", "), F.rpad("seq_id", 10, " "), F.lit(", T;       "), F.col("n").cast("string"))
+    entries = per.select("motif_id", F.lit(1).alias("part"), "seq_ac", line.alias("value"))
+    total = per.groupBy("motif_id").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    sums = total.select("motif_id", F.lit(2).alias("part"), F.lit("").alias("seq_ac"), F.concat(F.lit(" "), F.rpad(F.col("k").cast("string"), 13, " "), F.lit(" "), F.col("n").cast("string")).alias("value"))
+    names = total.select("motif_id", F.lit(0).alias("part"), F.lit("").alias("seq_ac"), F.col("motif_id").alias("value"))
+    return names.unionByName(entries).unionByName(sums)
+
+
 def sam_header(motifs) -> list[str]:
     """The header lines of SAM output, from (accession, length) pairs."""
     return ["@HD\tVN:1.6\tSO:unknown", *(f"@SQ\tSN:{ac}\tLN:{n}" for ac, n in motifs)]
