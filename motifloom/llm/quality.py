@@ -1,16 +1,19 @@
 """Quality classifier by co-training on two views of a document.
 
-One view is the content of the text: repeats, marks, capitals, word lengths. The
-other is what a page says about itself: language, source, length, layout of its
-lines. Each has a logistic classifier. Over some rounds each labels the
-unlabelled documents it is surest of for the other to learn from. Both are then
-calibrated on labelled documents and their logits combined.
+One view is the content of the text: its words by hash, repeats, marks, capitals,
+word lengths. The other is what a page says about itself: language, source, length, layout of its
+lines. Each has a logistic classifier. Over some rounds each labels those of all
+unlabelled documents that it is surest of for the other to learn from: features
+are written once, tasks keep their surest rows, and the driver gets so many rows a
+label and round. Both are then calibrated on labelled documents and their logits
+combined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, shingle_hashes, text_bytes, words
+from .common import chunks, cut, drop_cut, shingle_hashes, text_bytes, words
 
-#: Labelled and unlabelled documents that training reads at most.
-MAX_LABELLED, MAX_OTHER = 5000, 5000
+#: Labelled documents that training reads at most.
+MAX_LABELLED = 5000
+#: Buckets of words in the content view, and its other features.
+WORDS, COUNTS = 128, 9
 ROUNDS = 4
 #: Documents of each label that a view passes to the other in a round, and how sure it has to be.
 PASSED, SURE = 150, 0.95
@@ -62,6 +67,8 @@ def content_view(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     covered = np.cumsum(edge)[: len(doc)] > 0
     upper, lower = byte(_UPPER), byte(_LOWER)
     size = np.diff(offsets).astype(float)
+    bucket = (hashes % np.uint64(WORDS)).astype(np.int64)
+    known = np.bincount(doc * WORDS + bucket, minlength=n * WORDS).reshape(n, WORDS)
     return np.c_[
         np.minimum(byte(_SYMBOL) / most, 1),
         np.minimum(byte(_STOP) / most, 1),
@@ -72,6 +79,7 @@ def content_view(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.minimum(byte(_DIGIT) / np.maximum(size, 1), 1),
         np.minimum((size - count) / most, 40) / 10,
         np.log1p(count) / 10,
+        np.sqrt(known / most[:, None]),
     ]
 
 
@@ -131,8 +139,16 @@ class Model:
         return sure(each[0]), sure(each[1]), self.combined.probability(np.c_[each[0], each[1]])
 
 
-def fit(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, other: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model | None:
-    """Co-train on labelled and unlabelled rows of both views; None without both labels."""
+Pool = Callable[[list[Logistic], list[set], list[int]], list[tuple[list[int], np.ndarray, np.ndarray]]]
+
+
+def fit(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool | None, rounds: int = ROUNDS) -> Model | None:
+    """Co-train on labelled rows of both views and what ``pool`` finds in the unlabelled ones; None without both labels.
+
+    pool(models, taken, most): for each pupil view the rows, with its features and
+    labels, that the other view is surest of, ``most`` of each label at most,
+    without those ``taken`` before.
+    """
     if not len(y) or y.min() == y.max():
         return None
     odd = np.arange(len(y)) % 4 == 3  # a quarter is kept for calibration
@@ -140,21 +156,17 @@ def fit(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, other: tuple[np.
         learn, judge = np.arange(len(y)), np.arange(len(y))
     else:
         learn, judge = np.flatnonzero(~odd), np.flatnonzero(odd)
-    taught = [([], []), ([], [])]  # rows of ``other`` and labels passed to each view
-    free = np.ones((2, len(other[0])), bool)
+    taught = [[(x[learn], y[learn])] for x in labelled]  # what each view has learnt from
+    taken: list[set] = [set(), set()]
     models = [Logistic.fit(x[learn], y[learn]) for x in labelled]
     share = y[learn].mean()
-    for _ in range(rounds if len(other[0]) else 0):
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = models[teacher].probability(other[teacher])
-            for label, sure in ((1, p), (0, 1 - p)):
-                most = int(PASSED * 2 * (share if label else 1 - share)) + 1
-                rows = np.flatnonzero(free[pupil] & (sure >= SURE))
-                rows = rows[np.argsort(-sure[rows], kind="stable")][:most]
-                free[pupil, rows] = False
-                taught[pupil][0].extend(rows.tolist())
-                taught[pupil][1].extend([label] * len(rows))
-        models = [Logistic.fit(np.r_[x[learn], o[t[0]]], np.r_[y[learn], t[1]]) if t[0] else m for x, o, t, m in zip(labelled, other, taught, models, strict=True)]
+    most = [int(PASSED * 2 * (share if label else 1 - share)) + 1 for label in (0, 1)]
+    for _ in range(rounds if pool else 0):
+        for pupil, (rows, x, label) in enumerate(pool(models, taken, most)):
+            taken[pupil].update(rows)
+            if len(rows):
+                taught[pupil].append((x, label))
+        models = [Logistic.fit(*map(np.concatenate, zip(*t, strict=True))) if len(t) > 1 else m for t, m in zip(taught, models, strict=True)]
     logits = [m.logit(x)[:, None] for m, x in zip(models, labelled, strict=True)]
     calibrated = tuple(Logistic.fit(z[judge], y[judge]) for z in logits)
     both = np.c_[tuple(c.logit(z) for c, z in zip(calibrated, logits, strict=True))]
@@ -170,36 +182,77 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"), col("lang").alias("lang"), col("source").alias("source"))
 
 
+_WIDTH = COUNTS + WORDS
+_ALL = _WIDTH + LANGS + SOURCES + 3
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
-            x = np.c_[_views(part)]
-            yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            x = np.c_[_views(part)].astype(np.float32)
+            yield pa.record_batch([part.column("uid"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["uid", "y", "x"])
+
+
+def _matrix(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), _ALL).astype(float)
+    return x[:, :_WIDTH], x[:, _WIDTH:]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_other: int = MAX_OTHER) -> Model | None:
-    """Fit on at most so many labelled and unlabelled documents.
+def _surest(models: list[Logistic], taken: list[set], most: list[int]):
+    """Of a task's rows the ``most`` surest of each label, for each pupil by the other view."""
 
-    Labelled ones are the first by a hash of doc_id, unlabelled ones the first of a
-    hash class whose number the row count sets (of repeated ids no more rows count than that); held-out ids (crc32 of the id
-    as text a multiple of 5) lend no label. Only features reach the driver.
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {(pupil, label): (np.zeros(0), np.zeros(0, np.int64)) for pupil in (0, 1) for label in (0, 1)}
+        for batch in batches:
+            uid, views = np.asarray(batch.column("uid")), _matrix(batch.column("x").to_pylist())
+            for (pupil, label), (sure, ids) in kept.items():
+                p = models[1 - pupil].probability(views[1 - pupil])
+                p = p if label else 1 - p
+                at = np.flatnonzero(p >= SURE)
+                at = at[~np.isin(uid[at], list(taken[pupil]))]
+                sure, ids = np.r_[sure, p[at]], np.r_[ids, uid[at]]
+                best = np.lexsort((ids, -sure))[: most[label]]
+                kept[pupil, label] = sure[best], ids[best]
+        for (pupil, label), (sure, ids) in kept.items():
+            yield pa.record_batch([pa.array([pupil] * len(ids), pa.int32()), pa.array([label] * len(ids), pa.int32()), pa.array(sure), pa.array(ids)], names=["pupil", "label", "sure", "uid"])
+
+    return step
+
+
+def unlabelled(features: DataFrame) -> Pool:
+    """What views are surest of among all rows of a written table of features."""
+
+    def pool(models: list[Logistic], taken: list[set], most: list[int]):
+        each = cut(features.select("uid", "x").mapInArrow(_surest(models, taken, most), "pupil int, label int, sure double, uid long"), "surest")
+        best = [each.where((F.col("pupil") == pupil) & (F.col("label") == label)).orderBy(F.desc("sure"), "uid").limit(most[label]) for pupil in (0, 1) for label in (0, 1)]
+        rows = reduce(DataFrame.unionByName, best).collect()
+        drop_cut(each)
+        x = {r.uid: r.x for r in features.where(F.col("uid").isin([r.uid for r in rows])).select("uid", "x").collect()} if rows else {}
+        out = []
+        for pupil in (0, 1):
+            own = sorted((r.uid, r.label) for r in rows if r.pupil == pupil)
+            out.append(([u for u, _ in own], _matrix([x[u] for u, _ in own])[pupil], np.array([label for _, label in own])))
+        return out
+
+    return pool
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+    """Fit on at most so many labelled documents, and on all unlabelled ones.
+
+    Labelled ones are the first by a hash of doc_id; held-out ids (crc32 of the
+    id as text a multiple of 5) lend no label. The driver gets the features of
+    labelled documents and of those that a view passes to the other.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     named = named.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rate = max(1, -(-docs.count() * 3 // (2 * max_other)))
     own = _own(docs)
-    first = own.join(F.broadcast(named), "doc_id").select("doc_id", "text", "lang", "source", "y")
-    second = own.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rate)) == 0).withColumn("y", F.lit(None).cast("int"))
-    features = lambda df: df.mapInArrow(_features, "doc_id long, y int, x array<double>")
-    mine = features(first).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_labelled)
-    rows = mine.unionByName(features(second).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_other)).collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, tuple(r.x)))
-    mine = [r for r in rows if r.y is not None]
-    seen = {r.doc_id for r in mine}
-    rest = [r for r in rows if r.y is None and r.doc_id not in seen]
-    width = 9
-    split = lambda rs: (lambda x: (x[:, :width], x[:, width:]))(np.array([r.x for r in rs]).reshape(len(rs), width + LANGS + SOURCES + 3))
-    return fit(split(mine), np.array([r.y for r in mine]), split(rest))
+    rows = own.join(F.broadcast(named), "doc_id", "left").withColumn("uid", F.monotonically_increasing_id())
+    features = cut(rows.select("uid", "y", "text", "lang", "source").mapInArrow(_features, "uid long, y int, x binary"), "features")
+    mine = features.where("y IS NOT NULL").orderBy(F.xxhash64("x"), "x").limit(max_labelled).select("y", "x").collect()
+    model = fit(_matrix([r.x for r in mine]), np.array([r.y for r in mine]), unlabelled(features.where("y IS NULL")))
+    drop_cut(features)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

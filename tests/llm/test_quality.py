@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -48,3 +49,70 @@ def test_no_labels(spark):
     docs, labels, _ = corpus(spark, 10)
     assert all(r.keep for r in q.quality(docs, labels.where("false")).collect())
     assert q.quality(docs.where("false"), labels).count() == 0
+
+
+def test_word_features():
+    texts = ["the cat the dog", "", "zebra"]
+    got = q.content_view(*text_bytes(pa.array(texts)))[:, q.COUNTS :]
+    assert got.shape == (3, q.WORDS) and not got[1].any() and got[2].max() == 1 and np.isclose((got[0] ** 2).sum(), 1)
+    assert np.isclose(got[0].max(), math.sqrt(0.5))
+
+
+def test_words_are_learnt(spark):
+    """Bad documents differ by some of their words only, the page says nothing."""
+    rng = np.random.default_rng(8)
+    good, bad = [f"fine{i}" for i in range(40)], [f"poor{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(600):
+        ws = list(rng.choice(good, 20)) + (list(rng.choice(bad, 8)) if i % 3 == 0 else list(rng.choice(good, 8)))
+        rows.append((i, " ".join(ws), "en", "s"))
+        if i < 400:
+            labels.append((i, int(i % 3 != 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.keep for r in q.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert np.mean([got[i] == (i % 3 != 0) for i in range(400, 600)]) > 0.9
+
+
+def plain_pool(x):
+    """Every row scored, the surest of each label sorted out on one machine."""
+
+    def pool(models, taken, most):
+        out = []
+        for pupil in (0, 1):
+            p = models[1 - pupil].probability(x[1 - pupil])
+            rows = []
+            for label, sure in ((0, 1 - p), (1, p)):
+                fit = [k for k in range(len(p)) if sure[k] >= q.SURE and k not in taken[pupil]]
+                rows += [(k, label) for k in sorted(fit, key=lambda k: (-sure[k], k))[: most[label]]]
+            rows.sort()
+            out.append(([k for k, _ in rows], x[pupil][[k for k, _ in rows]].reshape(len(rows), x[pupil].shape[1]), np.array([v for _, v in rows])))
+        return out
+
+    return pool
+
+
+def test_co_training_equals_a_plain_loop(spark, monkeypatch):
+    """The rows passed in each round, and so the model, are those of a loop over all rows."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(q, "PASSED", 15)
+    y = rng.integers(0, 2, 120)
+    make = lambda y: np.c_[rng.normal(y[:, None] * 0.8, 1, (len(y), q._WIDTH)), rng.normal(y[:, None] * 0.6, 1, (len(y), q._ALL - q._WIDTH))].astype(np.float32)
+    mine, other = make(y), make(rng.integers(0, 2, 500))
+    split = lambda x: (x[:, : q._WIDTH].astype(float), x[:, q._WIDTH :].astype(float))
+    table = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(other)], "uid long, x binary").repartition(5)
+    seen = []
+
+    def watched(inner):
+        def pool(models, taken, most):
+            out = inner(models, taken, most)
+            seen.append([sorted(zip(rows, label.tolist())) for rows, _, label in out])
+            return out
+
+        return pool
+
+    a = q.fit(split(mine), y, watched(q.unlabelled(table)), 3)
+    b = q.fit(split(mine), y, watched(plain_pool(split(other))), 3)
+    assert seen[:3] == seen[3:] and all(len(s[0]) > 10 and len(s[1]) > 10 for s in seen[:2])
+    assert not set(seen[0][0]) & set(seen[1][0])
+    for m, n in zip((*a.views, *a.calibrated, a.combined), (*b.views, *b.calibrated, b.combined), strict=True):
+        assert np.allclose(m.weight, n.weight, atol=1e-6)
