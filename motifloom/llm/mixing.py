@@ -27,6 +27,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _md5(column: str) -> Column:
+    return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
 def _by_turn(rank: Column, values: tuple) -> Column:
     out = F.lit(values[-1])
     for i, v in enumerate(values[:-1]):
@@ -73,15 +77,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, leans: tuple = LEANS, with_te
     Within a source documents are served in the order of md5(doc_id), pass
     after pass until the whole words of the target are taken; the last may be
     taken in part. So reruns agree; rows with equal doc_id and size are alike,
-    and rows that share a doc_id but differ in size are served by size. A null
-    doc_id is ordered as an empty one. Running sums are taken in two steps,
+    and rows that share a doc_id but differ in size are served by size. Rows
+    with a null doc_id are ordered by md5(text). Running sums are taken in two steps,
     over buckets of the order and within a bucket, so a source with a third of
     all rows is spread over 4096 groups. An empty table gives no rows; a table
     without a word has targets of 0.
     """
     more = ["text"] if with_text else []
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *more), "sizes")
-    keyed = sizes.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.when(F.col("doc_id").isNull(), _md5("text")).alias("of_text"), *more), "sizes")
+    keyed = sizes.withColumn("key", F.coalesce("of_text", _md5("doc_id")))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     buckets = buckets.withColumn("earlier", F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket"))
@@ -110,7 +114,8 @@ def position(before: Column, target: Column, lean: Column) -> Column:
 
 SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(CASE WHEN doc_id IS NULL THEN coalesce(text, '') ELSE CAST(doc_id AS VARCHAR) END) AS key FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sources),
 weighed AS (
@@ -129,7 +134,7 @@ goals AS (
     ELSE CAST(weight * (SELECT num FROM level) AS DOUBLE) / CAST(2 * (SELECT rest FROM level) AS DOUBLE) END AS target FROM judged),
 served AS (
   SELECT z.doc_id, z.source, CAST(z.size AS BIGINT) AS size, g.source_size, g.target, g.lean,
-    CAST(sum(z.size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(CAST(z.doc_id AS VARCHAR), '')), z.size, z.doc_id
+    CAST(sum(z.size) OVER (PARTITION BY z.source ORDER BY z.key, z.size, z.doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - z.size AS BIGINT) AS before
   FROM sizes z JOIN goals g ON z.source IS NOT DISTINCT FROM g.source),
 passed AS (

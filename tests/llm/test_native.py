@@ -179,3 +179,18 @@ def test_chat_chains_and_cycles(spark):
         assert (r.order_turn, r.phase, r.linked) in by_line[r.conv_id, r.turn], (r, by_line[r.conv_id, r.turn])
     assert {(r.turn, r.order_turn, r.phase) for r in got if r.conv_id == 1} == {(9, 9, 0), (5, 9, 1), (4, 9, 2), (3, 9, 3), (12, 12, 2)}
     assert all(r.order_turn == 100 for r in got if r.conv_id == 4) and [r.phase for r in got if r.conv_id == 4] == list(range(41))
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Null ids are ordered by text, so they are dealt to many buckets; DuckDB gives the same."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(None if i % 3 else i, "w " * (i % 11) + f"t{i % 40}", "a" if i % 4 else "b") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    con.execute("CREATE VIEW documents AS SELECT * FROM given")
+    want = con.execute(f"SELECT source, size, taken, round(coalesce(position, -1), 4) FROM ({mixing.SQL}) ORDER BY ALL").fetchall()
+    here = sorted((r.source, r.size, r.taken, round(-1 if r.position is None else r.position, 4)) for r in got.collect())
+    assert [x[:3] for x in here] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-4 for a, b in zip(here, want))
