@@ -51,10 +51,14 @@ class Profile:
         return self.n2 or self.length
 
     def encode(self, seq: str) -> np.ndarray:
+        return self.numbers(np.frombuffer(seq.encode("latin-1", "replace"), np.uint8))
+
+    def numbers(self, letters: np.ndarray) -> np.ndarray:
+        """Numbers of letters given as bytes."""
         table = np.zeros(256, np.uint8)
         for i, a in enumerate(self.alphabet):
             table[ord(a)] = i + 1
-        return table[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+        return table[letters]
 
     def enter(self, state: str, first: bool) -> np.ndarray:
         """Score of starting before each position; at the first residue or later. Not inside or past the protected end."""

@@ -41,9 +41,21 @@ class Motif:
 _TURN = ("begin", "end", "motif_start", "motif_end")
 
 
-def _laid(p: K.Profile, seqs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    text = "".join(s or "" for s in seqs)
-    return p.encode(text), np.r_[0, np.cumsum([len(s or "") for s in seqs])].astype(np.int64)
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column as one array of bytes, a letter each, and where its strings begin; null counts as empty."""
+    n, column = len(column), column.cast(pa.string())
+    _, off, data = column.buffers()
+    starts = np.frombuffer(off, np.int32, n + 1 + column.offset)[column.offset :].astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.zeros(0, np.uint8)
+    if not column.null_count and raw.max(initial=0) < 128:
+        return raw, starts - starts[0]
+    seqs = [s or "" for s in column.to_pylist()]
+    return np.frombuffer("".join(seqs).encode("latin-1", "replace"), np.uint8), np.r_[0, np.cumsum([len(s) for s in seqs])].astype(np.int64)
+
+
+def _laid(p: K.Profile, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, starts = _letters(column)
+    return p.numbers(raw), starts
 
 
 def _parts(batch: pa.RecordBatch, column: str, letters: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -62,7 +74,7 @@ def with_h_score(df: DataFrame, profile: K.Profile, column: str = "sequence", na
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, column):
-                yield part.append_column(name, pa.array(K.h_scores(profile, *_laid(profile, part.column(column).to_pylist())).astype(np.int32)))
+                yield part.append_column(name, pa.array(K.h_scores(profile, *_laid(profile, part.column(column))).astype(np.int32)))
 
     return df.mapInArrow(step, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
 
@@ -97,7 +109,8 @@ def with_score(df: DataFrame, profile: K.Profile, column: str = "sequence", name
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, column):
-                s = K.scores(profile, [profile.encode(x or "") for x in part.column(column).to_pylist()])
+                codes, starts = _laid(profile, part.column(column))
+                s = K.scores(profile, [codes[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)])
                 yield part.append_column(name, pa.array(s.astype(np.int32), mask=s <= K.NEG // 2))
 
     return df.mapInArrow(step, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
@@ -145,18 +158,21 @@ def _search(motifs: list[Motif], align: bool, limit: int | None, repeats: bool =
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, "_sequence"):
-                seqs = [s or "" for s in part.column("_sequence").to_pylist()]
+                raw, starts = _letters(part.column("_sequence"))
+                known: dict[str, np.ndarray] = {}  # numbers of the letters by alphabet
                 rows, hits = [], []
                 for motif in motifs:
                     p = motif.profile
-                    codes, starts = _laid(p, seqs)
-                    h = K.h_scores(p, codes, starts) if not p.circular else np.zeros(len(seqs), np.int64)
+                    if p.alphabet not in known:
+                        known[p.alphabet] = p.numbers(raw)
+                    codes = known[p.alphabet]
+                    h = K.h_scores(p, codes, starts) if not p.circular else np.zeros(part.num_rows, np.int64)
                     passed = np.flatnonzero((h >= motif.h_cutoff) if motif.h_cutoff is not None else np.diff(starts) > 0)
                     own = [codes[starts[i] : starts[i + 1]] for i in passed]
                     best = K.scores(p, own, motif.cutoff if align else None)
                     good = np.flatnonzero(best >= motif.cutoff)
                     finder = inorder.all_matches if motif.order == "sequence" else K.all_matches
-                    found = finder(p, [own[k] for k in good], [seqs[passed[k]] for k in good], motif.cutoff, motif.unique, limit) if align else [[None]] * len(good)
+                    found = finder(p, [own[k] for k in good], [part.column("_sequence")[int(passed[k])].as_py() for k in good], motif.cutoff, motif.unique, limit) if align else [[None]] * len(good)
                     for k, ms in zip(good.tolist(), found, strict=True):
                         i = int(passed[k])
                         for n, m in enumerate(ms, 1):
@@ -187,7 +203,7 @@ def stage_counts(df: DataFrame, motif: Motif, column: str = "sequence") -> DataF
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, column):
-                codes, starts = _laid(p, part.column(column).to_pylist())
+                codes, starts = _laid(p, part.column(column))
                 full = np.diff(starts) > 0
                 passed = np.flatnonzero(K.h_scores(p, codes, starts) >= motif.h_cutoff) if motif.h_cutoff is not None else np.arange(len(full))
                 own = [codes[starts[i] : starts[i + 1]] for i in passed]
