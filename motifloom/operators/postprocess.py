@@ -71,15 +71,15 @@ def contained(inner: DataFrame, outer: DataFrame, width: int = BIN) -> DataFrame
     An interval is covered if the greatest end of the outer ones that begin no
     later reaches its own. That running maximum is taken in two steps, over bins
     and within a bin, so no pairs are made and no window holds a whole sequence.
+    Both inputs are read once, into a written table.
     """
     at = F.floor(F.col("begin") / width).alias("_bin")
     rows = inner.select("seq_id", "begin", at, F.lit(1).alias("_inner"), F.struct(*inner.columns).alias("_row"), F.lit(None).cast("long").alias("_end"))
     ends = outer.groupBy("seq_id", "begin").agg(F.max("end").cast("long").alias("_end"))
     empty = F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")
-    both = rows.unionByName(ends.select("seq_id", "begin", at, F.lit(0).alias("_inner"), empty, "_end"))
+    both = cut(rows.unionByName(ends.select("seq_id", "begin", at, F.lit(0).alias("_inner"), empty, "_end")), "contained")
     within = F.max("_end").over(W.partitionBy("seq_id", "_bin").orderBy("begin", "_inner").rowsBetween(W.unboundedPreceding, 0))
-    per = ends.groupBy("seq_id", at).agg(F.max("_end").alias("_most"))
-    places = both.select("seq_id", "_bin").distinct().join(per, ["seq_id", "_bin"], "left")
+    places = both.groupBy("seq_id", "_bin").agg(F.max("_end").alias("_most"))
     past = W.partitionBy("seq_id").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     places = places.select("seq_id", "_bin", F.max("_most").over(past).alias("_before")).where("_before IS NOT NULL")
     reached = both.withColumn("_here", within).where("_inner = 1").join(places, ["seq_id", "_bin"], "left")
