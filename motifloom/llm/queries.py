@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op8_rules": rules.SQL, "op9_chat": chat.SQL, "op11_merkle": merkle.SQL, "op13_vectorcodes": vectorcodes.SQL}
+    return {"op6_mixing": mixing.SQL, "op8_rules": rules.SQL, "op9_chat": chat.SQL, "op11_merkle": merkle.SQL, "op12_substrings": substrings.SQL, "op13_vectorcodes": vectorcodes.SQL}

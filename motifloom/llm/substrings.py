@@ -262,3 +262,17 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     out = [F.col("key").alias(key), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
     return rows.select(*out, *([F.coalesce("kept", "text").alias("kept")] if with_text else []))
+
+
+#: The same rows in DuckDB: all strings of SIZE bytes by their digests, from texts as hexadecimal digits.
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h AS (SELECT r, i, md5(substr(x, 2 * i + 1, {2 * SIZE})) AS h FROM (SELECT r, x, unnest(range(len(x) // 2 - {SIZE - 1})) AS i FROM d)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1),
+heads AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + {SIZE} THEN 1 ELSE 0 END AS head FROM again),
+runs AS (SELECT r, min(i) AS a, max(i) + {SIZE} AS b FROM (SELECT r, i, sum(head) OVER (PARTITION BY r ORDER BY i) AS run FROM heads) GROUP BY r, run),
+placed AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM runs),
+left_ AS (SELECT p.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || any_value(substr(x, 2 * m + 1)) AS kept
+  FROM placed p JOIN d ON p.r = d.r JOIN (SELECT r, max(b) AS m FROM runs GROUP BY r) e ON p.r = e.r GROUP BY p.r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN left_ USING (r)"""

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import oracle
 import pytest
 
 from motifloom.llm import inducing, queries, substrings
@@ -93,3 +94,8 @@ def test_queue_spills():
 def test_long_run_of_one_letter(spark):
     df = spark.createDataFrame([(1, "a" * 200_000, "", "", ""), (2, "b" * 399, "", "", "")], KIND)
     assert [(r.doc_id, r.n_removed) for r in substrings.deduplicated(df).orderBy("doc_id").collect()] == [(1, 200_000), (2, 0)]
+
+
+def test_sql(spark):
+    a, b, here, there = oracle.differences(spark, "/root/testdata/sf0.001", queries.op12_substrings, substrings.SQL)
+    assert a == b and not here and not there
