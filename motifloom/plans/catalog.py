@@ -665,6 +665,16 @@ def motif_closure(spark, sf_dir):
     return postprocess.closure(_t(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey").toDF("target_ac", "effector_ac")
 
 
+@query("""
+WITH RECURSIVE links AS (SELECT s_suppkey AS a, s_suppkey // 2 AS b FROM supplier WHERE s_suppkey > 1),
+r AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a)
+SELECT a AS target_ac, b AS effector_ac FROM r""")
+def motif_closure_deep(spark, sf_dir):
+    """Suppliers linked to the one of half their number, over as many steps as that takes."""
+    links = _t(spark, sf_dir, "supplier").where("s_suppkey > 1").select("s_suppkey", F.floor(F.col("s_suppkey") / 2).alias("half"))
+    return postprocess.closure(links, "s_suppkey", "half").toDF("target_ac", "effector_ac")
+
+
 @query("""
 WITH e AS (SELECT user_id, epoch(ts) AS x, value AS y, event_id FROM events),
 p AS (SELECT user_id, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS part FROM e WINDOW w AS (PARTITION BY user_id ORDER BY x, event_id))
