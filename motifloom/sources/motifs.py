@@ -173,14 +173,29 @@ def read_entries(spark: SparkSession, path: str) -> list[Entry]:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(ac, id, type, description, pattern, skip, taxo_range, max_repeat, n_false): one row an entry, without its tables."""
+    """One row an entry, without its tables.
+
+    Columns: ac, id, type, description, pattern, doc, skip, taxo_range, max_repeat,
+    n_false, sites (position, name), cutoffs (a map of each CUT_OFF line's fields),
+    rules (type, discriminators) of its post-processing lines. An entry has empty
+    arrays for lines it doesn't have.
+    """
     raw = spark.read.option("lineSep", "\n//").text(path).select(F.concat(F.lit("\n"), F.ltrim("value")).alias("r")).where(F.col("r").rlike("\nID "))
     one = lambda p: F.regexp_extract("r", p, 1)
     joined = lambda code, sep: F.array_join(F.transform(F.regexp_extract_all("r", F.lit(rf"\n{code}   ([^\n]*)"), F.lit(1)), lambda x: F.trim(x)), sep)
+    found = lambda p, k=1: F.regexp_extract_all("r", F.lit(p), F.lit(k))
+    site = r"/SITE=(\d+),([^;\n]*);"
+    sites = F.zip_with(found(site), found(site, 2), lambda a, b: F.struct(a.cast("int").alias("position"), b.alias("name")))
+    fields = lambda line: F.filter(F.split(line, r";\s*"), lambda x: x.contains("="))
+    pair = lambda x: F.struct(F.substring_index(x, "=", 1), F.substr(x, F.instr(x, "=") + 1))
+    cutoffs = F.transform(found(r"\nMA   /CUT_OFF:\s*([^\n]*)"), lambda line: F.map_from_entries(F.transform(fields(line), pair)))
+    pp = r"\nPP   /?(\w+):\s*([^\r\n]+)"
+    rules = F.zip_with(found(pp), found(pp, 2), lambda a, b: F.struct(a.alias("type"), F.filter(F.split(b, r";\s*"), lambda x: x != "").alias("discriminators")))
     return raw.select(
-        one(r"\nAC   ([^;\n]*)").alias("ac"), one(r"\nID   ([^;\n]*)").alias("id"), one(r"\nID   [^;\n]*;\s*([A-Z]+)").alias("type"), joined("DE", " ").alias("description"),
+        one(r"\nAC   ([^;\n]*)").alias("ac"), one(r"\nID   ([^;\n]*)").alias("id"), one(r"\nDO   (\w+)").alias("doc"), one(r"\nID   [^;\n]*;\s*([A-Z]+)").alias("type"), joined("DE", " ").alias("description"),
         F.regexp_replace(joined("PA", ""), r"\.$", "").alias("pattern"), F.col("r").contains("/SKIP-FLAG=TRUE").alias("skip"), one(r"/TAXO-RANGE=([^;\n]*)").alias("taxo_range"),
         one(r"/MAX-REPEAT=(\d+)").try_cast("int").alias("max_repeat"), F.regexp_count("r", F.lit(r",\s*F\s*;")).alias("n_false"),
+        sites.alias("sites"), cutoffs.alias("cutoffs"), rules.alias("rules"),
     )
 
 

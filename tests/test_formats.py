@@ -32,3 +32,19 @@ def test_sequences_and_match_list(spark):
     assert [r.value for r in results.hit_sequences(hits, lib).collect()] == [">s1 : one : PS1\n" + ("ACGT" * 15) + "\n" + "ACGT" * 5]
     rows = results.match_list(hits).orderBy("motif_id", "part", "seq_ac").collect()
     assert [r.value for r in rows] == ["NAME", "P1    , s1        , T;       2", " 1             2", "PAT", 'P2    , s"2       , T;       1', " 1             1"]
+
+
+def test_metadata_of_entries(spark, tmp_path):
+    from motifloom.sources import motifs
+
+    (tmp_path / "m.dat").write_text(
+        "ID   ONE; MATRIX.\nAC   PS1;\nDE   First.\nMA   /CUT_OFF: LEVEL=0; SCORE=20; N_SCORE=2.5; MODE=1; TEXT='!';\nMA   /CUT_OFF: LEVEL=-1; SCORE=10; TEXT='?';\n"
+        "CC   /SITE=3,active_site; /SITE=9,metal(?);\nPP   /PROMOTED_BY: PS2=1; PS3;\nPP   /FTREP: PS1=2;\nDO   PDOC00001;\n//\nID   TWO; PATTERN.\nAC   PS2;\nPA   A-C.\n//\n"
+    )
+    got = {r.ac: r for r in motifs.read_metadata(spark, str(tmp_path / "m.dat")).collect()}
+    one = got["PS1"]
+    assert [tuple(x) for x in one.sites] == [(3, "active_site"), (9, "metal(?)")] and one.doc == "PDOC00001"
+    assert one.cutoffs == [{"LEVEL": "0", "SCORE": "20", "N_SCORE": "2.5", "MODE": "1", "TEXT": "'!'"}, {"LEVEL": "-1", "SCORE": "10", "TEXT": "'?'"}]
+    assert [tuple(x) for x in one.rules] == [("PROMOTED_BY", ["PS2=1", "PS3"]), ("FTREP", ["PS1=2"])]
+    two = got["PS2"]
+    assert two.pattern == "A-C" and two.sites == two.cutoffs == two.rules == []
