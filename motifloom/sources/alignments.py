@@ -24,17 +24,16 @@ def read_msa(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_msf(spark: SparkSession, path: str) -> DataFrame:
-    """A GCG/MSF alignment: names and weights, then blocks of rows, joined by name in file order."""
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    head, _, body = text.partition("//")
-    weights = {m[1]: float(m[2]) for m in re.finditer(r"Name:\s+(\S+).*?Weight:\s+(\S+)", head)}
-    rows = dict.fromkeys(weights, "")
-    for line in body.splitlines():
-        name, _, part = line.strip().partition(" ")
-        if name in rows:
-            rows[name] += re.sub(r"\s", "", part)
-    made = [(n, weights[n], r.replace(".", "-").replace("~", "-")) for n, r in rows.items()]
-    return _long(spark.createDataFrame(made, "seq_id string, weight double, row string"))
+    """GCG/MSF alignments: names and weights, then blocks of rows, joined by name in file order; each file is one row to begin with, its lines are dealt out."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n//", 2).alias("part"))
+    named = r"Name:\s+(\S+)[^\n]*?Weight:\s+(\S+)"
+    head = F.arrays_zip(F.regexp_extract_all(F.col("part")[0], F.lit(named), F.lit(1)).alias("name"), F.regexp_extract_all(F.col("part")[0], F.lit(named), F.lit(2)).alias("weight"))
+    names = raw.select("file", F.inline(head)).groupBy("file", "name").agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    lines = raw.select("file", F.posexplode(F.split(F.coalesce(F.get("part", F.lit(1)), F.lit("")), "\n")).alias("at", "line"))
+    parts = lines.select("file", F.regexp_extract(F.trim("line"), r"^(\S+)", 1).alias("name"), "at", F.regexp_replace(F.regexp_extract(F.trim("line"), r"^\S+\s+(.*)$", 1), r"\s", "").alias("text"))
+    rows = parts.where("name != ''").groupBy("file", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("row"))
+    made = names.join(rows, ["file", "name"], "left").select(F.col("name").alias("seq_id"), "weight", F.translate(F.coalesce("row", F.lit("")), ".~", "--").alias("row"))
+    return _long(made)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:

@@ -48,3 +48,18 @@ def test_metadata_of_entries(spark, tmp_path):
     assert [tuple(x) for x in one.rules] == [("PROMOTED_BY", ["PS2=1", "PS3"]), ("FTREP", ["PS1=2"])]
     two = got["PS2"]
     assert two.pattern == "A-C" and two.sites == two.cutoffs == two.rules == []
+
+
+def test_msf_files(spark, tmp_path):
+    from motifloom.sources import alignments
+
+    for k in range(3):
+        rows = {f"s{k}a": "AC..GT" * 20, f"s{k}b": "~CGT-A" * 20}
+        head = "\n".join(f" Name: {n}  oo  Len: 120  Check: 1  Weight: {0.5 + k}" for n in rows)
+        blocks = "\n\n".join("\n".join(f"{n}   {r[i : i + 10]} {r[i + 10 : i + 20]}" for n, r in rows.items()) for i in range(0, 120, 20))
+        (tmp_path / f"{k}.msf").write_text(f"PileUp\n\n MSF: 120 Type: P ..\n\n{head}\n\n//\n\n{blocks}\n")
+    got = alignments.read_msf(spark, str(tmp_path)).collect()
+    rows = {}
+    for r in sorted(got, key=lambda r: r.col):
+        rows.setdefault((r.seq_id, r.weight), []).append(r.symbol)
+    assert {k: "".join(v) for k, v in rows.items()} == {(f"s{k}{x}", 0.5 + k): t * 20 for k in range(3) for x, t in (("a", "AC--GT"), ("b", "-CGT-A"))}
