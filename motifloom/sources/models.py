@@ -118,6 +118,54 @@ def hmm1_text(m: Model, name: str = "") -> str:
     return "\n".join(out) + "\n"
 
 
+def sam_text(m: Model) -> str:
+    """The model as a SAM model in text: for each node what leads to it from the node before and its own letters' chances.
+
+    A node has three rows of steps (into its deletion, its match, and its
+    insertion; from deletion, match and insertion), then match and insertion chances
+    of the letters, five a row, of bases four. Nodes are Begin, the positions (the last
+    is numbered -1) and End. Alphabets are the twenty amino acids or four bases.
+    """
+    kinds = {20: "protein", 4: "DNA"}
+    if len(m.alphabet) not in kinds:
+        raise ValueError(f"no such alphabet of a SAM model: {m.alphabet}")
+    size, per = len(m.match), 5 if len(m.alphabet) == 20 else 4
+    none = dict.fromkeys(m.alphabet, 0.0)
+    out = [f"% model {m.name}".rstrip(), "MODEL:", f"alphabet {kinds[len(m.alphabet)]}"]
+
+    def rows(values: list[float], width: int) -> None:
+        out.extend(" ".join(f"{v:.6f}" for v in values[i : i + width]) for i in range(0, len(values), width))
+
+    for k in range(size + 2):
+        before, own = (m.trans[k - 1] if k else {}), (m.trans[k] if k <= size else {})
+        end = k > size
+        into = [0.0 if end else before.get(s + "d", 0.0) for s in "dmi"] + [before.get(s + "m", 0.0) for s in "dmi"]
+        stay = [own.get(s + "i", 0.0) if k or s != "d" else 0.0 for s in "dmi"]
+        out += ["", "Begin" if not k else "End" if end else "-1" if k == size else str(k)]
+        rows(into + stay, 3)
+        for chances in (m.match[k - 1] if 0 < k <= size else none, none if end else m.insert[k]):
+            rows([chances.get(a, 0.0) for a in m.alphabet], per)
+    return "\n".join([*out, "ENDMODEL"]) + "\n"
+
+
+def parse_sam(text: str) -> Model:
+    """What ``sam_text`` wrote."""
+    body = re.sub(r"(?m)^%.*$", "", text).split("MODEL:", 1)[1].split("ENDMODEL")[0].split()
+    m = Model(alphabet=AMINO if body[1] == "protein" else BASES)
+    n = len(m.alphabet)
+    nodes = [[float(v) for v in body[i + 1 : i + 10 + 2 * n]] for i in range(2, len(body), 10 + 2 * n)]
+    for k, node in enumerate(nodes):
+        if k:
+            m.trans[-1] |= {s + "d": v for s, v in zip("dmi", node[:3], strict=True)} | {s + "m": v for s, v in zip("dmi", node[3:6], strict=True)}
+        if k + 1 == len(nodes):
+            break
+        if k:
+            m.match.append(dict(zip(m.alphabet, node[9 : 9 + n], strict=True)))
+        m.insert.append(dict(zip(m.alphabet, node[9 + n :], strict=True)))
+        m.trans.append({s + "i": v for s, v in zip("dmi", node[6:9], strict=True)})
+    return m
+
+
 def reordered(null: dict[str, float], alphabet: str) -> dict[str, float]:
     """A null model in the order of a model's letters, summing to one over them; a letter it lacks is an error."""
     missing = [a for a in alphabet if a not in null]

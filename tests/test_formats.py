@@ -63,3 +63,23 @@ def test_msf_files(spark, tmp_path):
     for r in sorted(got, key=lambda r: r.col):
         rows.setdefault((r.seq_id, r.weight), []).append(r.symbol)
     assert {k: "".join(v) for k, v in rows.items()} == {(f"s{k}{x}", 0.5 + k): t * 20 for k in range(3) for x, t in (("a", "AC--GT"), ("b", "-CGT-A"))}
+
+
+def test_sam_models_round_trip():
+    import numpy as np
+    import pytest
+
+    from motifloom.sources import models
+
+    rng = np.random.default_rng(3)
+    for alphabet in (models.AMINO, models.BASES):
+        chances = lambda keys: {k: round(float(v), 6) for k, v in zip(keys, rng.dirichlet(np.ones(len(keys))), strict=True)}  # noqa: B023,E731
+        m = models.Model(name="x", alphabet=alphabet, match=[chances(alphabet) for _ in range(3)], insert=[chances(alphabet) for _ in range(4)], trans=[chances(models.STEPS) for _ in range(4)])
+        m.trans[0] |= {"di": 0.0}
+        m.trans[3] |= {"md": 0.0, "id": 0.0, "dd": 0.0}
+        text = models.sam_text(m)
+        back = models.parse_sam(text)
+        assert (back.alphabet, back.match, back.insert, back.trans) == (m.alphabet, m.match, m.insert, m.trans)
+        assert "\n-1\n" in text and text.endswith("ENDMODEL\n") and text.count("\n\n") == 5
+    with pytest.raises(ValueError):
+        models.sam_text(models.Model(alphabet="AB"))
