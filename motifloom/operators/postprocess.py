@@ -239,15 +239,16 @@ def flank_repeats(hits: DataFrame, target: str, top: float, cutoff: float, size:
     island repeats if its periodicity exceeds ``cutoff``; with ``least_norm``,
     only in sequences that have a hit of that normalised score. ``top`` is the
     score of a perfect repeat. An island, a run of close hits in one sequence,
-    is worked on as a whole.
+    is worked on as a whole. Hits of one place follow each other by score, the
+    lowest first, as their order counts at an island's ends.
     """
     begin = F.col("begin") - F.coalesce("pf_begin", F.lit(1)) + 1
     end = F.col("end") - F.coalesce("pf_end", F.lit(-1)) - 1
     own = hits.where(_is(target)).withColumns({"width": 1 + end - begin, "middle": (1 + end - begin) / 2 + begin})
-    own = islands(own, gap * size, middle=F.col("middle"), order=("begin", "end"))
+    own = islands(own, gap * size, middle=F.col("middle"), order=("begin", "end", "middle"))
     kind = f"seq_id {hits.schema['seq_id'].dataType.simpleString()}, island long, area double"
     rows = own.select("seq_id", "island", "begin", "end", F.coalesce(F.col("raw").cast("double"), F.lit(0.0)).alias("raw"), F.col("middle").cast("double"), F.col("width").cast("double"))
-    areas = rows.repartition("seq_id", "island").sortWithinPartitions("seq_id", "island", "begin", "end").mapInArrow(_periodicity(size, top), kind)
+    areas = rows.repartition("seq_id", "island").sortWithinPartitions("seq_id", "island", "begin", "end", "middle", "width", "raw").mapInArrow(_periodicity(size, top), kind)
     chosen = F.col("area") > cutoff
     if least_norm is not None:
         best = hits.where(_is(target)).groupBy("seq_id").agg(F.max("norm").alias("_best"))
