@@ -70,35 +70,56 @@ def regex_count(seq: Column, regex: str) -> Column:
     return F.regexp_count(seq, F.lit(regex))
 
 
-def scan(df: DataFrame, regex: str, column: str = "sequence", max_matches: int | None = None, overlap: bool = True, include: bool = False, max_x: int | None = None) -> DataFrame:
+#: Bytes of rows that one batch of matches repeats, beside its last row.
+REPEATED = 1 << 23
+
+
+def scan(df: DataFrame, regex: str, column: str = "sequence", max_matches: int | None = None, overlap: bool = True, include: bool = False, max_x: int | None = None, keep: bool = True) -> DataFrame:
     """df with one row for each match: match_no, begin, end (1-based, inclusive), matched.
 
     ``overlap``: the search goes on one letter after a match's begin, else at
     its end. A match that ends where an earlier one did or before is dropped
     unless ``include``. A pattern anchored at the begin is tried once; an empty
     match moves on by one letter. ``max_x`` bounds the letters X in a match.
-    Null sequences give no row.
+    ``keep=False`` leaves the sequence out. Null sequences give no row.
     """
 
+    bound = REPEATED
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rx = re.compile(regex)
         for batch in batches:
-            rows, no, begins, ends, texts = [], [], [], [], []
-            for i, seq in enumerate(batch.column(column).to_pylist()):
-                for n, (b, e) in enumerate(_matches(rx, seq or "", max_matches, overlap, include, max_x), 1):
+            whole, at = batch if keep else batch.drop_columns([column]), batch.schema.get_field_index(column)
+            mean = whole.nbytes // max(1, batch.num_rows)
+            rows, no, begins, ends, texts, size = [], [], [], [], [], 0
+
+            def pack():
+                out = whole.take(pa.array(rows, pa.int64()))  # noqa: B023
+                for name, values, kind in (("match_no", no, pa.int32()), ("begin", begins, pa.int32()), ("end", ends, pa.int32()), ("matched", texts, pa.string())):  # noqa: B023
+                    out = out.append_column(name, pa.array(values, kind))
+                    values.clear()
+                rows.clear()  # noqa: B023
+                return out
+
+            for i in range(batch.num_rows):
+                seq = batch.column(at)[i].as_py() or ""
+                for n, (b, e) in enumerate(_matches(rx, seq, max_matches, overlap, include, max_x), 1):
                     rows.append(i)
                     no.append(n)
                     begins.append(b + 1)
                     ends.append(e)
                     texts.append(seq[b:e])
-            out = batch.take(pa.array(rows, pa.int64()))
-            for name, values, kind in (("match_no", no, pa.int32()), ("begin", begins, pa.int32()), ("end", ends, pa.int32()), ("matched", texts, pa.string())):
-                out = out.append_column(name, pa.array(values, kind))
-            yield out
+                    size += 64 + e - b + mean + (len(seq) if keep else 0)
+                    if size >= bound:
+                        yield pack()
+                        size = 0
+            if rows:
+                yield pack()
 
     from pyspark.sql import types as T
 
-    kinds = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in (("match_no", T.IntegerType()), ("begin", T.IntegerType()), ("end", T.IntegerType()), ("matched", T.StringType()))])
+    kept = [f for f in df.schema.fields if keep or f.name != column]
+    kinds = T.StructType(kept + [T.StructField(n, t) for n, t in (("match_no", T.IntegerType()), ("begin", T.IntegerType()), ("end", T.IntegerType()), ("matched", T.StringType()))])
     return df.where(F.col(column).rlike(regex)).mapInArrow(step, kinds)
 
 

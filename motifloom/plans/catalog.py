@@ -170,7 +170,7 @@ places AS (SELECT doc_id, s, unnest(range(1, length(s) - 2)) AS i FROM d),
 hits AS (SELECT doc_id, i, substr(s, i, 4) AS matched FROM places WHERE regexp_full_match(substr(s, i, 4), '[TX][HEZX].[RNBX]'))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS match_no, i AS "begin", i + 3 AS "end", matched FROM hits""")
 def pattern_scan(spark, sf_dir):
-    hits = patterns.scan(_docs(spark, sf_dir), patterns.to_regex(PATTERN))
+    hits = patterns.scan(_docs(spark, sf_dir), patterns.to_regex(PATTERN), keep=False)
     return hits.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("match_no", "begin", "end")), "matched")
 
 
