@@ -175,7 +175,7 @@ def pattern_scan(spark, sf_dir):
 
 
 def _found(spark, sf_dir, pattern, ac):
-    hits = patterns.scan(_docs(spark, sf_dir), pattern)
+    hits = patterns.scan(_docs(spark, sf_dir), pattern, keep=False)
     return hits.select(F.col("doc_id").alias("seq_id"), F.lit(ac).alias("motif_ac"), F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
 
 

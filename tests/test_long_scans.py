@@ -18,3 +18,11 @@ def test_kept_texts_across_batches(spark, monkeypatch):
         monkeypatch.setattr(patterns, "REPEATED", size)
         assert sorted(map(tuple, patterns.scan(df, "A").collect())) == want
     assert patterns.scan(df, "A", keep=False).columns == ["k", "other", "match_no", "begin", "end", "matched"]
+
+
+def test_overlaps_in_one_long_text(spark, tmp_path):
+    n = 20_000
+    spark.createDataFrame([(1, "exthabce" * n)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.overlap(spark, str(tmp_path)).selectExpr("count(*)", "count(DISTINCT a_begin)", "sum(b_begin - a_begin)").first()
+    assert tuple(got) == (n, n, -2 * n)
+    assert tuple(catalog.containment(spark, str(tmp_path)).selectExpr("count(*)", "count_if(inside)").first()) == (n, 0)
