@@ -106,61 +106,84 @@ def make_profile(msa: DataFrame, matrix: DataFrame, alphabet: str, mode: str = "
     return Profile(alphabet, match, insert, extend, trans, {"b0": b0, "b1": b1, "e0": e0, "e1": e1}, 1 + tail, size - tail, consensus=consensus)
 
 
-#: Rows of a block that is compared with another block.
-BLOCK = 1024
+#: Rows of a group that meets another in one row: about GROUP_BYTES of them, a quarter of BLOCK at least and GROUP at most.
+BLOCK, GROUP, GROUP_BYTES = 1024, 8192, 1 << 20
 
 
-def _planes(rows: list[str], width: int, bits: int) -> np.ndarray:
-    """Rows of letters as bits: (row, bit of the letter's number, words of 64 columns)."""
-    codes = np.zeros((len(rows), width), np.uint32)
-    for k, row in enumerate(rows):
+def _planes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of letters as bits: (row, bit of the letter's number, words of 64 columns); letters are numbered anew, from those that occur."""
+    width = max(map(len, [*a, *b]), default=0)
+    codes = np.zeros((len(a) + len(b), width), np.uint32)
+    for k, row in enumerate([*a, *b]):
         own = np.frombuffer((row or "").encode("utf-32-le"), np.uint32)
         codes[k, : len(own)] = own
-    out = np.zeros((len(rows), bits, -(-width // 64) * 8), np.uint8)
+    seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    seen[codes] = True
+    codes = (np.cumsum(seen, dtype=np.uint32) - 1)[codes]
+    bits = max(1, int(seen.sum() - 1).bit_length())
+    out = np.zeros((len(codes), bits, -(-width // 64) * 8), np.uint8)
     for bit in range(bits):
         packed = np.packbits((codes >> bit & 1).astype(bool), axis=1)
         out[:, bit, : packed.shape[1]] = packed
-    return out.view(np.uint64)
+    out = out.view(np.uint64)
+    return out[: len(a)], out[len(a) :]
+
+
+def _compared(a: list[str], b: list[str]) -> Iterator[np.ndarray]:
+    """For each row of a its Hamming distances to all rows of b: columns whose letters differ in any bit, 64 at a time. What is given is overwritten by the next."""
+    x, y = _planes(a, b)
+    y = np.ascontiguousarray(y.transpose(1, 2, 0))
+    differ, one, total = np.empty(len(b), np.uint64), np.empty(len(b), np.uint64), np.empty(len(b), np.int32)
+    for row in x:
+        total[:] = 0
+        for word in range(x.shape[2]):
+            np.bitwise_xor(row[0, word], y[0, word], out=differ)
+            for bit in range(1, x.shape[1]):
+                np.bitwise_xor(row[bit, word], y[bit, word], out=one)
+                np.bitwise_or(differ, one, out=differ)
+            total += np.bitwise_count(differ)
+        yield total
 
 
 def distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Hamming distances of all rows of a to all rows of b: columns whose letters differ in any bit, 64 at a time."""
-    width = max(map(len, [*a, *b]), default=0)
-    bits = max((ord(max(x)) for x in [*a, *b] if x), default=1).bit_length()
-    if not width:
-        return np.zeros((len(a), len(b)), np.int64)
-    x, y = _planes(a, width, bits), _planes(b, width, bits)
-    out = np.zeros((len(a), len(b)), np.int64)
-    for k in range(len(a)):
-        differ = x[k, 0] ^ y[:, 0]
-        for bit in range(1, bits):
-            differ |= x[k, bit] ^ y[:, bit]
-        out[k] = np.bitwise_count(differ).sum(axis=1)
-    return out
+    """Hamming distances of all rows of a to all rows of b."""
+    return np.array([d.copy() for d in _compared(a, b)], np.int64).reshape(len(a), len(b))
+
+
+def _nearest_of(cands: list[str], seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least distance of each candidate; where its sequences begin, and the end; the sequences of that distance, candidate by candidate)."""
+    least, ties = np.zeros(len(cands), np.int64), []
+    for k, d in enumerate(_compared(cands, seqs)):
+        least[k] = d.min()
+        ties.append(np.flatnonzero(d == least[k]))
+    return least, np.cumsum([0, *map(len, ties)]).astype(np.int32), np.concatenate(ties)
 
 
 def nearest(candidates: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(cand_id, distance, seq_ids): for each candidate the sequences at the least Hamming distance, by blocks.
+    """(cand_id, distance, seq_ids): for each candidate the sequences at the least Hamming distance, by groups.
 
-    Both have an id and an ``aligned`` string. Rows are gathered into blocks; each
-    block of candidates meets each block of sequences, which gives a row a
-    candidate, with the least distance in the block and who has it; pairs of rows
-    are never made. No sequences: no rows.
+    Both have an id and an ``aligned`` string. Rows are gathered into groups of
+    about a megabyte; each group of candidates meets each group of sequences, which
+    gives a row a candidate, with the least distance in the group and who has it;
+    pairs of rows are never made, and no group is broadcast. No sequences: no rows.
     """
     ids, named = sequences.schema["seq_id"].dataType, candidates.schema["cand_id"].dataType
-    n_seq, n_cand = sequences.count(), candidates.count()
-    blocks = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // BLOCK)))).alias("block")).agg(F.collect_list(F.struct(key, "aligned")).alias("rows"))
-    left = blocks(candidates, "cand_id", n_cand).select("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n_seq // BLOCK) - 1)).cast("long"))).alias("other"))
-    met = left.join(blocks(sequences, "seq_id", n_seq).select(F.col("block").alias("other"), F.col("rows").alias("seqs")), "other").select("rows", "seqs")
+
+    def groups(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+        n, longest = df.agg(F.count("*"), F.max(F.length("aligned"))).first()
+        k = max(1, -(-n // max(BLOCK // 4, min(GROUP, GROUP_BYTES // ((longest or 0) + 32)))))
+        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(k)).alias(name)).agg(F.collect_list(F.struct(key, "aligned")).alias(f"{name}_rows")), k
+
+    (cands, n_cand), (seqs, n_seq) = groups(candidates, "cand_id", "c"), groups(sequences, "seq_id", "s")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    met = cands.withColumn("s", every(n_seq)).hint("merge").join(seqs.withColumn("c", every(n_cand)), ["c", "s"]).select("c_rows", "s_rows")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 cands, seqs = batch.column(0)[k].values, batch.column(1)[k].values
-                d = distances(cands.field("aligned").fill_null("").to_pylist(), seqs.field("aligned").fill_null("").to_pylist())
-                least = d.min(axis=1)
-                row, at = np.nonzero(d == least[:, None])
-                ties = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(d) + 1)).astype(np.int32)), seqs.field("seq_id").take(pa.array(at)))
+                least, starts, at = _nearest_of(cands.field("aligned").fill_null("").to_pylist(), seqs.field("aligned").fill_null("").to_pylist())
+                ties = pa.ListArray.from_arrays(pa.array(starts), seqs.field("seq_id").take(pa.array(at)))
                 yield pa.record_batch([cands.field("cand_id"), pa.array(least), ties], names=["cand_id", "distance", "seq_ids"])
 
     each = met.mapInArrow(step, T.StructType([T.StructField("cand_id", named), T.StructField("distance", T.LongType()), T.StructField("seq_ids", T.ArrayType(ids))]))
