@@ -7,6 +7,11 @@ sequence ends. Its protected letters are then locked and the search goes back,
 not to the begin but to a point before which no path that is still alive began.
 Among equal ways to a state a start comes first, then a deletion, a match, an
 insertion. Sequences stand side by side, each at a letter of its own.
+
+Where a path can start at any position of the profile and inserting costs, no
+path lives longer than some letters (``reach``) past which a start beats it. Then
+only the stretches around ends that reach the cutoff are walked through, and
+these ends are found for all letters at once.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ class Found:
 
 
 class _Lanes:
-    def __init__(self, p: K.Profile, codes: list[np.ndarray], cutoff: int, unique: bool, limit: int | None):
+    def __init__(self, p: K.Profile, codes: list[np.ndarray], cutoff: int, unique: bool, limit: int | None, heads: np.ndarray, tails: np.ndarray):
         self.p, self.codes, self.cutoff, self.unique, self.limit = p, codes, cutoff, unique, limit
+        self.heads, self.tails = heads, tails  # whether a lane begins and ends its sequence
+        self.ended = np.zeros(len(codes), bool)  # by a match without a free letter
         self.size = np.array([len(c) for c in codes], np.int64)
         self.locked = [np.zeros(len(c), bool) for c in codes]
         self.found: list[list[Found]] = [[] for _ in codes]
@@ -49,7 +56,7 @@ class _Lanes:
 
     def start(self, k: int) -> None:
         """Lane k anew from its point of return."""
-        p, first = self.p, self.back[k] == 0
+        p, first = self.p, bool(self.heads[k]) and self.back[k] == 0
         none = np.full((1, p.length + 1), K.NEG, np.int64)
         here = self._ready(none, none, np.zeros((1, p.length + 1, 3), np.int64), np.zeros((1, p.length + 1, 3), np.int64), {s: p.enter(s, first) for s in "mid"}, self.back[k : k + 1] + 1, self.size[k : k + 1])
         for s in "mid":
@@ -102,7 +109,7 @@ class _Lanes:
         ki, ri = np.maximum(i + self.insert[c], K.NEG), self.record["i"][live]
         row, size = at + 1, self.size[live]
         score, record, kd, rd = self._ready(km, ki, rm, ri, {s: p.enter(s, False) for s in "mid"}, row + 1, size)
-        tip = (row == size)[:, None]
+        tip = ((row == size) & self.tails[live])[:, None]
         ends = np.stack([k + np.where(tip, p.leave(s, True), p.leave(s, False)) for s, k in (("d", kd), ("m", km), ("i", ki))])
         each = ends.max(axis=0)
         k = each.argmax(axis=1)
@@ -134,7 +141,7 @@ class _Lanes:
             lane_ = int(live[j])
             s, begin, low, high, end = self.best[lane_].tolist()
             if self.locked[lane_][low - 1 : high].all():  # it passes over the protected positions: nothing new would come
-                going[j] = False
+                going[j], self.ended[lane_] = False, True
                 continue
             self.found[lane_].append(Found(s, begin, end, low, high))
             self.locked[lane_][low - 1 : high] = True
@@ -144,15 +151,91 @@ class _Lanes:
         return live[going]
 
 
+def reach(p: K.Profile, cutoff: int) -> int | None:
+    """Letters that a path lives at most, and one that ends with the cutoff has; None: no such bound is known.
+
+    A path of n letters matches each position once at most and opens one insertion
+    a position, so all others extend insertions. Each state has at least what a
+    path gives that started a letter ago and matched the worst letter.
+    """
+    allowed = lambda x: x[x > K.NEG // 2]
+    most = lambda *xs: int(max((allowed(np.asarray(x)).max(initial=K.NEG) for x in xs), default=K.NEG))
+    worst = p.match.min(axis=1)
+    if p.circular or not (worst > K.NEG // 2).all():
+        return None
+    lanes = _Lanes(p, [], cutoff, False, None, np.zeros(0, bool), np.zeros(0, bool))
+    none = np.full((1, p.length + 1), K.NEG, np.int64)
+    blank, one = np.zeros((1, p.length + 1, 3), np.int64), np.ones(1, np.int64)
+
+    def states(km: np.ndarray, ki: np.ndarray) -> dict[str, np.ndarray]:
+        return {s: v[0] for s, v in lanes._ready(km, ki, blank.copy(), blank.copy(), {s: p.enter(s, False) for s in "mid"}, one, one)[0].items()}
+
+    fresh = states(none, none)["m"][:-1]
+    if not (fresh > K.NEG // 2).all():
+        return None
+    km = none.copy()
+    km[0, 1:] = fresh + worst
+    low = states(km, none)
+    ki = np.where(low["i"] > K.NEG // 2, low["i"] + p.insert.min(axis=1), K.NEG)[None]
+    after = states(km, np.maximum(ki, K.NEG))
+    if any(((after[s] > K.NEG // 2) & (low[s] <= K.NEG // 2)).any() for s in "mid"):
+        return None
+    gain = most(p.insert) + most(p.trans["ii"])
+    if gain >= 0 or most(p.insert) <= K.NEG // 2:
+        return None
+    n = p.length + 1
+    top = max(0, most(*(p.enter(s, f) for s in "mid" for f in (True, False)))) + max(0, most(*(p.leave(s, f) for s in "mid" for f in (True, False))))
+    top += int(np.maximum(p.match.max(axis=1), 0).sum()) + n * max(0, most(p.insert)) + 4 * n * max(0, most(*p.trans.values())) + int(np.maximum(p.delete, 0).sum())
+    floor = min(cutoff, *(int(allowed(low[s]).min(initial=cutoff)) for s in "mid"))
+    return 2 * n + max(0, (top - floor) // -gain) + 2
+
+
+#: Letters whose ends are found at once.
+PIECE = 1 << 16
+
+
+def _stretches(p: K.Profile, codes: list[np.ndarray], cutoff: int) -> list[list[tuple[int, int]]]:
+    """For each sequence the stretches, from left to right, that hold all that its matches depend on."""
+    far = reach(p, cutoff)
+    if far is None:
+        return [[(0, len(c))] if len(c) else [] for c in codes]
+    pieces = [(k, max(0, at - far), at, min(len(c), at + PIECE)) for k, c in enumerate(codes) for at in range(0, len(c), PIECE)]
+    ends: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+    K.best_ends(p, [codes[k][low:to] for k, low, _, to in pieces], None, np.array([low == 0 for _, low, _, _ in pieces], bool), np.array([to == len(codes[k]) for k, _, _, to in pieces], bool), others=ends, enough=cutoff)
+    out: list[list[tuple[int, int]]] = [[] for _ in codes]
+    for (k, low, at, _), own in zip(pieces, ends, strict=True):
+        own = own + low
+        own = own[own > at]
+        if not len(own):
+            continue
+        cuts = np.flatnonzero(np.diff(own) > 4 * far)
+        for a, b in zip(own[np.r_[0, cuts + 1]].tolist(), own[np.r_[cuts, len(own) - 1]].tolist(), strict=True):
+            begin, end = max(0, a - 2 * far), min(len(codes[k]), b + 2 * far)
+            if out[k] and a - (out[k][-1][1] - 2 * far) <= 4 * far:  # one stretch with the last of the piece before
+                begin = out[k].pop()[0]
+            out[k].append((begin, end))
+    return out
+
+
 def found(p: K.Profile, codes: list[np.ndarray], cutoff: int, unique: bool = False, limit: int | None = None) -> list[list[Found]]:
     """Matches of at least ``cutoff`` in each sequence, in the order of acceptance; one that has no free letter for the protected positions ends the search."""
     if p.circular:
         raise ValueError("circular profiles are searched best first")
-    lanes = _Lanes(p, codes, cutoff, unique, limit)
-    live = np.flatnonzero(lanes.size > 0) if limit is None or limit > 0 else np.zeros(0, np.int64)
+    out: list[list[Found]] = [[] for _ in codes]
+    if limit is not None and limit <= 0:
+        return out
+    parts = [(k, a, b) for k, own in enumerate(_stretches(p, codes, cutoff)) for a, b in own]
+    lanes = _Lanes(p, [codes[k][a:b] for k, a, b in parts], cutoff, unique, limit, np.array([a == 0 for _, a, _ in parts], bool), np.array([b == len(codes[k]) for k, _, b in parts], bool))
+    live = np.flatnonzero(lanes.size > 0)
     while len(live):
         live = lanes.step(live)
-    return lanes.found
+    over = np.zeros(len(codes), bool)
+    for (k, a, _), own, ended in zip(parts, lanes.found, lanes.ended, strict=True):
+        if not over[k]:
+            out[k] += [Found(f.score, f.begin + a, f.end + a, f.protected_begin + a, f.protected_end + a) for f in own]
+            out[k] = out[k][: 1 if unique else limit]
+            over[k] = ended or (unique and len(out[k]) > 0) or (limit is not None and len(out[k]) >= limit)
+    return out
 
 
 def all_matches(p: K.Profile, codes: list[np.ndarray], seqs: list[str], cutoff: int, unique: bool = False, limit: int | None = None) -> list[list[K.Match]]:

@@ -156,8 +156,10 @@ def search(df: DataFrame, motifs: Sequence[Motif], key: str = "seq_id", column:
 
 def _search(motifs: list[Motif], align: bool, limit: int | None, repeats: bool = False):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a walk takes as many steps for many sequences as for one
+        letters = 1 << (22 if any(m.order == "sequence" for m in motifs) else 20)
         for batch in batches:
-            for part in _parts(batch, "_sequence"):
+            for part in _parts(batch, "_sequence", letters):
                 raw, starts = _letters(part.column("_sequence"))
                 known: dict[str, np.ndarray] = {}  # numbers of the letters by alphabet
                 rows, hits = [], []
