@@ -103,6 +103,41 @@ def folded_h_score(sequence: Column, profile: K.Profile) -> Column:
     return F.aggregate(table, start, fold, lambda state: state["total"])
 
 
+#: Positions up to which ``with_folded_h_score`` goes by diagonals: a column each, in one generated function.
+DIAGONAL = 32
+
+
+def with_folded_h_score(df: DataFrame, profile: K.Profile, column: str = "sequence", name: str = "h_score") -> DataFrame:
+    """df without the sequence, with its prefilter score by built-in functions alone; no Python runs.
+
+    Each sequence gives a row for each diagonal, whose values are columns in generated
+    code, and the best of each position is an aggregate; a task's rows of one sequence are
+    summed up before the shuffle. Longer profiles go by ``folded_h_score``.
+    """
+    rest = [c for c in df.columns if c != column]
+    if profile.circular or profile.length > DIAGONAL:
+        return df.withColumn(name, folded_h_score(F.col(column), profile)).select(*rest, name)
+    pad, low = len(profile.alphabet) + 1, -(1 << 28)
+    flag = pad + 1  # a sequence's first letter, whose values may be below zero
+    rows = [[int(max(v, -(1 << 20))) for v in own] + [low] for own in profile.match]
+    letters = F.transform(F.split(column, ""), lambda c, k: F.instr(F.lit(profile.alphabet), c) + (k == 0).cast("int") * flag)
+    own = F.when(F.length(column) > 0, letters).otherwise(F.array().cast("array<int>"))
+    side = F.array_repeat(F.lit(pad), profile.length - 1)
+    made = df.select(*rest, F.monotonically_increasing_id().alias("_row"), F.concat(side, own, side).alias("_codes"), F.coalesce(F.length(column), F.lit(0)).alias("_n"))
+    # a place after the last diagonal's is read by nothing; an empty sequence has a diagonal of padding
+    each = made.select(*rest, "_row", "_codes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_n") + (profile.length - 2), F.lit(0)))).alias("_at"))
+    best, v = [], F.lit(0)
+    for i, own in enumerate(rows):
+        code = F.get("_codes", F.col("_at") + i)
+        v = F.greatest((code >= flag).cast("int") * low, v + F.get(F.array(*map(F.lit, own + own)), code))
+        best.append(F.max(v).alias(f"_v{i}"))
+    found = each.groupBy("_row", *rest).agg(*best)
+    total = F.lit(0)
+    for i in range(profile.length):
+        total = total + F.greatest(F.coalesce(F.col(f"_v{i}"), F.lit(0)), F.lit(0))
+    return found.select(*rest, total.alias(name))
+
+
 def with_score(df: DataFrame, profile: K.Profile, column: str = "sequence", name: str = "score") -> DataFrame:
     """df with the best alignment score of each sequence; null for null, empty and impossible ones."""
 

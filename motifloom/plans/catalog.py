@@ -237,7 +237,7 @@ def h_score(spark, sf_dir):
 @query(_H_SQL)
 def h_score_folded(spark, sf_dir):
     """The prefilter score by built-in functions alone: no Python runs."""
-    return _docs(spark, sf_dir).select("doc_id", search.folded_h_score(F.col("sequence"), profile()).alias("h_score"))
+    return search.with_folded_h_score(_docs(spark, sf_dir), profile())
 
 
 @query(f"SELECT * FROM ({_H_SQL}) WHERE h_score >= {H_CUTOFF}")
